@@ -2,7 +2,7 @@
 
 from ledgerline.operators.filters import filter_master, filter_targets, restrict_customers
 from ledgerline.operators.master import build_master
-#from ledgerline.operators.named import run_named, run_sql
+from ledgerline.operators.named import run_named, run_sql
 from ledgerline.session import build_session
 from ledgerline.sources.tables import read_tables, standardise_dates
 from ledgerline.sources.validation import dedup, dedup_report, validate
@@ -18,8 +18,8 @@ __all__ = [
     "read_tables",
     "restrict_customers",
     "run_etl",
-#    "run_named",
-#    "run_sql",
+    "run_named",
+    "run_sql",
     "standardise_dates",
     "validate",
     "write_master",
