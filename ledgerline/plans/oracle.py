@@ -116,7 +116,7 @@ BLOCKS = {
         WHERE region_id IN (SELECT region_id FROM f) AND target_month LIKE '1997%'""",
     "rfm": """
         SELECT customer_id, customer_name, customer_segment,
-               date_diff('day', max(order_date), (SELECT max(order_date) FROM m)) AS recency,
+               date_diff('day', max(order_date), (SELECT max(order_date) FROM m))::INT AS recency,
                count(DISTINCT order_id) AS frequency, sum(net_revenue)::DOUBLE AS monetary,
                sum(discount_percentage)::DOUBLE / count(*) AS discount_percentage,
                sum(is_returned)::DOUBLE / count(*) AS is_returned
@@ -387,7 +387,7 @@ _add(
         FROM (SELECT "month", sum(net_revenue) AS net FROM f GROUP BY 1) WINDOW w AS (ORDER BY "month")""",
     k4_revenue_by_category="""
         SELECT category, sum(net_revenue)::DOUBLE AS net_revenue,
-               round(sum(net_revenue)::DOUBLE / (SELECT sum(net_revenue) FROM m)::DOUBLE, 9) AS share FROM m GROUP BY category""",
+               sum(net_revenue)::DOUBLE / (SELECT sum(net_revenue) FROM m)::DOUBLE AS share FROM m GROUP BY category""",
     k5_region_against_target="""
         SELECT coalesce(a.region_name, t.region_name) AS region_name, coalesce(net, 0)::DOUBLE AS net_revenue, coalesce(goal, 0)::DOUBLE AS target_revenue
         FROM (SELECT region_name, sum(net_revenue) AS net FROM f GROUP BY 1) a
@@ -401,7 +401,7 @@ _add(
                        -sum(cost_amount)::DOUBLE, sum(gross_profit)::DOUBLE]) AS amount FROM m""",
     k7_channel_mix="""
         SELECT sales_channel, sum(net_revenue)::DOUBLE AS net_revenue,
-               round(sum(net_revenue)::DOUBLE / (SELECT sum(net_revenue) FROM m)::DOUBLE, 9) AS share FROM m GROUP BY sales_channel""",
+               sum(net_revenue)::DOUBLE / (SELECT sum(net_revenue) FROM m)::DOUBLE AS share FROM m GROUP BY sales_channel""",
     k8_month_by_category="""SELECT "month", category, sum(net_revenue)::DOUBLE AS net_revenue FROM m GROUP BY "month", category""",
     k9_revenue_hierarchy="""
         SELECT CASE grouping(region_name, category, product_name) WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 3 THEN 1 ELSE 0 END AS level,

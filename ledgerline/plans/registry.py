@@ -420,9 +420,10 @@ query("a7_scenario_economics")(
 query("a8_monthly_features")(lambda w: _round(forecast.monthly_features(w.master), 6, "month_sin", "month_cos"))
 query("a9_forecast")(lambda w: forecast.forecast(w.master))
 query("a9_forecast_by_region_category")(lambda w: forecast.forecast(w.master, ["region_name", "category"]))
-query("a10_short_history")(
-    lambda w: forecast.forecast(w.master.filter(F.col("month").isin("1996-01", "1996-02", "1996-03", "1996-04")), ["region_name"])
-)
+@query("a10_short_history")
+def _(w):
+    few = w.master.filter(F.col("month").isin("1996-01", "1996-02", "1996-03", "1996-04"))
+    return _round(forecast.forecast(few, ["region_name"]), 4, "forecasted_revenue", "lower_ci", "upper_ci")
 
 
 def _features(w: Warehouse):

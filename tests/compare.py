@@ -23,6 +23,11 @@ def _rows(columns, rows):
     return sorted(columns), sorted((tuple(r[i] for i in order) for r in rows), key=_key)
 
 
+TYPES = {
+    "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+}
+
+
 def differences(df, con, sql, limit=3) -> list[str]:
     """What differs between a DataFrame and a SQL text; empty when they agree exactly."""
     got_columns, got = _rows(df.columns, df.collect())
@@ -32,7 +37,8 @@ def differences(df, con, sql, limit=3) -> list[str]:
         return [f"columns {got_columns} != {want_columns}"]
     if len(got) != len(want):
         return [f"{len(got)} rows != {len(want)}", f"{got[:1]}", f"{want[:1]}"]
-    out = []
+    kinds = {d[0]: str(d[1]) for d in cur.description}
+    out = [f"{c}: {t} is not {kinds[c]}" for c, t in df.dtypes if TYPES.get(t) != kinds[c]]
     for g, w in zip(got, want):
         for c, a, b in zip(got_columns, g, w):
             if type(a) is not type(b) or a != b or (isinstance(a, float) and math.isnan(a)):
