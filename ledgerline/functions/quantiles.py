@@ -12,7 +12,7 @@ from math import ceil, floor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ONE_BUFFER_ROWS = 1_000_000
+ONE_BUFFER_ROWS = 100_000
 ACCURACY = 10_000
 
 
@@ -41,6 +41,13 @@ class _Bracket:
             condition = condition & (value <= self.high)
         return condition
 
+    def cuts(self, margin: float) -> list[float]:
+        """Shares of the interval's rows between which the wanted rows should lie."""
+        return [
+            max(0.0, (self.first - self.below) / self.inside - margin),
+            min(1.0, (self.last - self.below + 1) / self.inside + margin),
+        ]
+
     def settled(self, rows: int) -> bool:
         return self.inside <= rows or (self.low is not None and self.low == self.high)
 
@@ -72,18 +79,25 @@ def _narrow(values: DataFrame, brackets: list[_Bracket], rows: int) -> None:
     """Shrink every bracket until few rows are inside, or one value fills it."""
     margin = 4 / ACCURACY
     while open_ := [b for b in brackets if not b.settled(rows)]:
-        guesses = values.agg(
-            *[
-                F.percentile_approx(
-                    F.when(b.holds(), F.col(b.column)),
-                    [max(0.0, (b.first - b.below) / b.inside - margin),
-                     min(1.0, (b.last - b.below + 1) / b.inside + margin)],
-                    ACCURACY,
-                ).alias(f"g{i}")
-                for i, b in enumerate(open_)
-            ]
-        ).first()
-        tried = [_Bracket(b.column, b.first, b.last, b.weight, 0, 0, *guesses[f"g{i}"]) for i, b in enumerate(open_)]
+        # Brackets that still share an interval share one sketch of it.
+        shared: dict[tuple, list[_Bracket]] = {}
+        for b in open_:
+            shared.setdefault((b.column, b.low, b.high), []).append(b)
+        sketches = [
+            F.percentile_approx(
+                F.when(group[0].holds(), F.col(group[0].column)),
+                [cut for b in group for cut in b.cuts(margin)],
+                ACCURACY,
+            ).alias(f"g{i}")
+            for i, group in enumerate(shared.values())
+        ]
+        guesses = values.agg(*sketches).first()
+        open_ = [b for group in shared.values() for b in group]
+        edges = [edge for guess in guesses for edge in guess]
+        tried = [
+            _Bracket(b.column, b.first, b.last, b.weight, 0, 0, edges[2 * i], edges[2 * i + 1])
+            for i, b in enumerate(open_)
+        ]
         counted = values.agg(
             *[F.count_if(t.under()).alias(f"u{i}") for i, t in enumerate(tried)],
             *[F.count_if(t.holds()).alias(f"h{i}") for i, t in enumerate(tried)],

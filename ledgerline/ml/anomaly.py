@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.quantiles import exact_quantiles
 from ledgerline.ml.saved import load_or_train
+from ledgerline.session import materialize
 
 FEATURES = ["gross_revenue", "discount_percentage", "delay_days", "profit_margin", "is_returned"]
 NODE = "tree int, node int, feature int, cut double, left int, right int, depth double"
@@ -36,22 +37,25 @@ def _features(m: DataFrame) -> DataFrame:
 
 
 def sample_for_trees(x: DataFrame, rows: int, trees: int, per_tree: int, seed: int) -> DataFrame:
-    """An independent sample of ``per_tree`` rows for each tree, in one pass.
+    """A sample of ``per_tree`` rows for each tree, in one pass.
 
-    A row draws one number; hashing it with a tree's number decides whether the
-    tree sees the row. The draw takes about twice what is needed, and the rows
-    with the lowest hash are kept, so a tree's group is small by construction.
+    A row draws one number. Most rows of a large fact drop out on it at once;
+    for the rest, hashing the number with a tree's number decides whether that
+    tree sees the row. About twice what is needed is drawn and the rows with the
+    lowest hash are kept, so a tree's group is small by construction.
     """
-    keep = min(1.0, 2.0 * per_tree / max(rows, 1))
-    if rows <= 2 * per_tree:
-        keep = 1.0
-    top = F.lit(2.0**63)
-    lottery = lambda t: F.xxhash64(F.col("draw"), t, F.lit(seed))
-    drawn = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), lottery(t).alias("ticket")))
-    chosen = F.filter(drawn, lambda s: (s["ticket"].cast("double") + top) / (top * 2) < keep)
+    keep = 1.0 if rows <= 2 * per_tree else 2.0 * per_tree / rows
+    thin = min(1.0, trees * keep)
+    half = F.lit(2.0**63)
+    tickets = F.transform(
+        F.sequence(F.lit(0), F.lit(trees - 1)),
+        lambda t: F.struct(t.alias("tree"), F.xxhash64(F.col("draw"), t, F.lit(seed)).alias("ticket")),
+    )
+    chosen = F.filter(tickets, lambda s: (s["ticket"].cast("double") + half) / (half * 2) < keep / thin)
     best = Window.partitionBy("tree").orderBy("ticket")
     return (
         x.withColumn("draw", F.rand(seed))
+        .filter(F.col("draw") < thin)
         .select(*FEATURES, F.inline(chosen))
         .withColumn("place", F.row_number().over(best))
         .filter(F.col("place") <= per_tree)
@@ -121,7 +125,8 @@ class AnomalyDetector:
         sample = sample_for_trees(x, rows, trees, ROWS_PER_TREE, seed)
         nodes = sample.groupBy("tree").applyInPandas(partial(_grow, seed=seed), NODE).toPandas()
         model = cls(nodes.sort_values(["tree", "node"]).reset_index(drop=True), min(ROWS_PER_TREE, rows))
-        raw = model._raw_scores(m)
+        # Stored, because finding the quantile reads the scores several times.
+        raw = materialize(model._raw_scores(m).select("raw_score"), "anomaly-scores")
         model.offset = exact_quantiles(raw, ["raw_score"], [contamination])["raw_score"][0]
         return model
 

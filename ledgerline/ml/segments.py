@@ -1,5 +1,6 @@
 """Customer segments: features per customer, k-means, persona names."""
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -65,10 +66,12 @@ class Segmenter:
         scaler = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(raw)
         scaled = scaler.transform(raw).select("scaled").persist()
         try:
-            fits = [
-                KMeans(k=k, seed=seed + i, featuresCol="scaled", predictionCol="cluster").fit(scaled)
-                for i in range(restarts)
+            # Restarts are independent jobs over the same cached rows.
+            starts = [
+                KMeans(k=k, seed=seed + i, featuresCol="scaled", predictionCol="cluster") for i in range(restarts)
             ]
+            with ThreadPoolExecutor(restarts) as pool:
+                fits = list(pool.map(lambda start: start.fit(scaled), starts))
         finally:
             scaled.unpersist()
             raw.unpersist()

@@ -42,22 +42,36 @@ def describe(m: DataFrame, columns: list[str] = NUMERIC) -> DataFrame:
 
 
 def correlation(m: DataFrame, columns: list[str] = NUMERIC) -> DataFrame:
-    """Pearson correlation of every pair of the columns that are present, long form, 4 digits."""
+    """Pearson correlation of every pair of the columns that are present, long form, 4 digits.
+
+    A pair uses the rows where both are known. Columns without a NULL share
+    their sums around the mean, which is far cheaper than a `corr` per pair.
+    """
     names = [c for c in columns if c in m.columns]
     x = m.select(*[F.col(c).cast("double").alias(c) for c in names])
-    pairs = list(combinations(names, 2)) + [(c, c) for c in names]
+    known = x.agg(
+        F.count("*").alias("rows"), *[F.count(c).alias(f"n_{c}") for c in names], *[F.avg(c).alias(f"mean_{c}") for c in names]
+    ).first()
+    full = {c for c in names if known[f"n_{c}"] == known["rows"] and known["rows"] > 0}
+    around = {c: F.col(c) - F.lit(known[f"mean_{c}"]) for c in full}
+    n = F.lit(float(known["rows"]))
+
+    def product(a: str, b: str) -> Column:
+        return F.sum(around[a] * around[b]) - F.sum(around[a]) * F.sum(around[b]) / n
 
     def value(a: str, b: str) -> Column:
-        r = F.corr(a, b)
+        if a in full and b in full:
+            r = F.try_divide(product(a, b), F.sqrt(product(a, a)) * F.sqrt(product(b, b)))
+        else:
+            r = F.corr(a, b)
         return F.round(F.when(~F.isnan(r), r), 4) + F.lit(0.0)
 
-    computed = [
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), value(a, b).alias("corr")) for a, b in pairs
-    ]
+    pairs = list(combinations(names, 2)) + [(c, c) for c in names]
+    computed = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), value(a, b).alias("corr")) for a, b in pairs]
     rows = x.agg(F.array(*computed).alias("rows")).select(F.inline("rows"))
-    return rows.unionByName(
-        rows.filter("a != b").select(F.col("b").alias("a"), F.col("a").alias("b"), "corr")
-    ).toDF("col_a", "col_b", "corr")
+    mirrored = [F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))]
+    both = F.when(F.col("a") == F.col("b"), F.array(mirrored[0])).otherwise(F.array(*mirrored))
+    return rows.select(F.inline(both), "corr").toDF("col_a", "col_b", "corr")
 
 
 def outliers_iqr(m: DataFrame, column: str, threshold: float = 1.5) -> DataFrame:

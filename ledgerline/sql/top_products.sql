@@ -1,14 +1,19 @@
 -- Product totals over orders that were not cancelled; ranked within category by the runner.
-FROM order_items
+-- Items are summed per product before they meet the product table.
+WITH kept_orders AS (
+  FROM orders |> WHERE order_status != 'Cancelled' |> LEFT JOIN discounts USING (order_id)
+  |> SELECT order_id, coalesce(discount_percentage, 0) AS pct
+), sold AS (
+  FROM order_items
+  |> JOIN kept_orders USING (order_id)
+  |> AGGREGATE
+       sum(quantity) AS total_quantity_sold,
+       sum(quantity * unit_price) AS gross_total,
+       sum(cast(quantity * unit_price * (1 - pct) AS decimal(18, 4))) AS net_total
+     GROUP BY product_id
+)
+FROM sold
 |> JOIN products USING (product_id)
-|> JOIN orders USING (order_id)
-|> LEFT JOIN discounts USING (order_id)
-|> WHERE order_status != 'Cancelled'
-|> EXTEND quantity * unit_price AS gross
-|> EXTEND gross - gross * coalesce(discount_percentage, 0) AS net
-|> AGGREGATE
-     sum(quantity) AS total_quantity_sold,
-     sum(gross) AS gross_total,
-     cast(sum(net) AS decimal(38, 4)) AS net_total,
-     cast(sum(net - quantity * cost_price) AS decimal(38, 4)) AS profit_total
-   GROUP BY product_id, product_name, category
+|> SELECT
+     product_id, product_name, category, total_quantity_sold, gross_total, net_total,
+     net_total - total_quantity_sold * cost_price AS profit_total
