@@ -34,10 +34,11 @@ def _rank_by_ranges(df: DataFrame, value: str, out: str, by: list[str]) -> DataF
     keys = [*by, value]
     counts = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
     cuts = [i / BUCKETS for i in range(1, BUCKETS)]
-    edges = df.select(F.percentile_approx(value, cuts, 10_000)).scalar()
-    # NULL values rank last: no edge is below them, so they share range -1.
-    bucket = F.coalesce(F.size(F.filter(edges, lambda e: e <= F.col(value))), F.lit(-1))
-    bucket = F.when(F.col(value).isNull(), -1).otherwise(bucket)
+    kind = df.schema[value].dataType.simpleString()
+    found = df.agg(F.percentile_approx(value, cuts, 10_000)).first()[0] or []  # at most BUCKETS numbers
+    edges = F.array(*[F.lit(e) for e in found]).cast(f"array<{kind}>")
+    # NULL ranks last, in a range of its own.
+    bucket = F.when(F.col(value).isNull(), -1).otherwise(F.size(F.filter(edges, lambda e: e <= F.col(value))))
     counts = counts.withColumn("_bucket", bucket)
 
     above = Window.partitionBy(*by).orderBy(F.col("_bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)

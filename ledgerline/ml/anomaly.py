@@ -7,7 +7,6 @@ thousand numbers, shipped to the tasks, and rows stream past it in Arrow batches
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
 from math import ceil, log2
 
 import numpy as np
@@ -123,7 +122,11 @@ class AnomalyDetector:
         x = _features(m)
         rows = x.count()
         sample = sample_for_trees(x, rows, trees, ROWS_PER_TREE, seed)
-        nodes = sample.groupBy("tree").applyInPandas(partial(_grow, seed=seed), NODE).toPandas()
+
+        def grow(rows: pd.DataFrame) -> pd.DataFrame:
+            return _grow(rows, seed)
+
+        nodes = sample.groupBy("tree").applyInPandas(grow, NODE).toPandas()
         model = cls(nodes.sort_values(["tree", "node"]).reset_index(drop=True), min(ROWS_PER_TREE, rows))
         # Stored, because finding the quantile reads the scores several times.
         raw = materialize(model._raw_scores(m).select("raw_score"), "anomaly-scores")

@@ -5,7 +5,6 @@ group is fitted in one small task and the groups run in parallel.
 """
 
 from collections.abc import Sequence
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -83,14 +82,6 @@ def forecast_series(months: list[str], revenue: list[float], horizon: int) -> pd
     return pd.DataFrame(out, columns=["month", "step", "forecasted_revenue", "lower_ci", "upper_ci"])
 
 
-def _forecast_group(group: pd.DataFrame, keys: list[str], horizon: int) -> pd.DataFrame:
-    group = group.sort_values("month")
-    out = forecast_series(group["month"].tolist(), group["net_revenue"].tolist(), horizon)
-    for position, key in enumerate(keys):
-        out.insert(position, key, group[key].iloc[0])
-    return out
-
-
 def forecast(m: DataFrame, keys: Sequence[str] = (), horizon: int = 6) -> DataFrame:
     """The next ``horizon`` months of net revenue with a 95 percent band, per group of ``keys``.
 
@@ -99,6 +90,12 @@ def forecast(m: DataFrame, keys: Sequence[str] = (), horizon: int = 6) -> DataFr
     keys = list(keys)
     monthly = monthly_revenue(m, keys)
     key_types = "".join(f"`{k}` {monthly.schema[k].dataType.simpleString()}, " for k in keys)
-    return monthly.groupBy(*keys).applyInPandas(
-        partial(_forecast_group, keys=keys, horizon=horizon), key_types + SCHEMA
-    )
+
+    def one_group(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("month")
+        out = forecast_series(group["month"].tolist(), group["net_revenue"].tolist(), horizon)
+        for position, key in enumerate(keys):
+            out.insert(position, key, group[key].iloc[0])
+        return out
+
+    return monthly.groupBy(*keys).applyInPandas(one_group, key_types + SCHEMA)
