@@ -13,32 +13,43 @@ NUMERIC = [
 ]
 
 
-def _sample_skewness(x: Column, n: Column) -> Column:
-    return F.when(n > 2, F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2))
-
-
-def _sample_kurtosis(x: Column, n: Column) -> Column:
-    return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(x) + 6))
-
-
 def describe(m: DataFrame, columns: list[str] = NUMERIC) -> DataFrame:
-    """One row per numeric column; sample (n-1) moments, exact quartiles, 4 digits."""
+    """One row per numeric column; sample (n-1) moments, exact quartiles, 4 digits.
+
+    The third and fourth moment come from power sums around the mean: plain
+    sums, where the built-in aggregates would each keep a state of their own.
+    """
     x = m.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    centers = x.agg(*[F.avg(c).alias(c) for c in columns]).first()
     quartiles = exact_quantiles(x, columns, [0.25, 0.5, 0.75])
-    fields = ["mean", "std", "min", "p25", "p50", "p75", "max", "median", "var", "skewness", "kurtosis"]
 
-    def moments(c: str) -> Column:
-        v, n = F.col(c), F.count(c).cast("double")
+    def sums(c: str) -> Column:
+        d = F.col(c) - F.lit(centers[c]).cast("double")
         return F.struct(
-            F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-            F.min(v).alias("min"), F.max(v).alias("max"), F.var_samp(v).alias("var"),
-            _sample_skewness(v, n).alias("skewness"), _sample_kurtosis(v, n).alias("kurtosis"),
+            F.lit(c).alias("column"), F.count(c).alias("count"), F.min(c).alias("min"), F.max(c).alias("max"),
+            F.avg(c).alias("mean"), F.var_samp(c).alias("var"),
+            F.sum(d).alias("s1"), F.sum(d * d).alias("s2"), F.sum(d * d * d).alias("s3"), F.sum(d * d * d * d).alias("s4"),
             *[F.lit(q).cast("double").alias(f) for f, q in zip(["p25", "p50", "p75"], quartiles[c])],
         )
 
-    rows = x.agg(F.array(*[moments(c) for c in columns]).alias("rows")).select(F.inline("rows"))
-    rows = rows.withColumn("median", F.col("p50"))
-    return rows.select("column", "count", *[F.round(F.col(f), 4).alias(f) for f in fields])
+    n = F.col("count").cast("double")
+    shift = F.try_divide(F.col("s1"), n)  # rounding left over from the center
+    m2 = F.try_divide(F.col("s2"), n) - shift * shift
+    m3 = F.try_divide(F.col("s3"), n) - 3 * shift * F.try_divide(F.col("s2"), n) + 2 * shift**3
+    m4 = (
+        F.try_divide(F.col("s4"), n) - 4 * shift * F.try_divide(F.col("s3"), n)
+        + 6 * shift**2 * F.try_divide(F.col("s2"), n) - 3 * shift**4
+    )
+    skewness = F.try_divide(m3, m2 * F.sqrt(m2)) * F.sqrt(n * (n - 1)) / (n - 2)
+    excess = F.try_divide(m4, m2 * m2) - 3
+    kurtosis = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * excess + 6)
+    fields = {
+        "mean": F.col("mean"), "std": F.sqrt("var"), "min": F.col("min"),
+        "p25": F.col("p25"), "p50": F.col("p50"), "p75": F.col("p75"), "max": F.col("max"), "median": F.col("p50"),
+        "var": F.col("var"), "skewness": F.when(n > 2, skewness), "kurtosis": F.when(n > 3, kurtosis),
+    }
+    rows = x.agg(F.array(*[sums(c) for c in columns]).alias("rows")).select(F.inline("rows"))
+    return rows.select("column", "count", *[F.round(value, 4).alias(f) for f, value in fields.items()])
 
 
 def correlation(m: DataFrame, columns: list[str] = NUMERIC) -> DataFrame:

@@ -23,6 +23,7 @@ def build_session(master: str = "local[*]", app: str = "ledgerline", **conf) ->
         settings |= {
             "spark.driver.memory": "12g",
             "spark.sql.shuffle.partitions": "8",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
             "spark.ui.enabled": "false",
         }
     settings |= {k.replace("__", "."): str(v) for k, v in conf.items()}
