@@ -59,31 +59,45 @@ def _rank_by_ranges(df: DataFrame, value: str, out: str, by: list[str]) -> DataF
     return _null_safe_join(df, ranks, keys)
 
 
-def running_number(df: DataFrame, key: str, bucket: str, tie: str, out: str) -> DataFrame:
+def running_number(
+    df: DataFrame, key: str, bucket: str, tie: str, out: str, one_task_rows: int = ONE_TASK_ROWS
+) -> DataFrame:
     """1-based running number of the rows of each key, ordered by (bucket, tie).
 
     Equal to ``row_number() over (partition by key order by bucket, tie)``, but
     no task holds a whole key: rows are numbered within (key, bucket), and the
-    rows of earlier buckets come from counts, one row per key and bucket.
-    ``bucket`` must be a coarse column such as a date, so that the counts of a
-    key stay few.
+    rows of earlier buckets come from counts. ``bucket`` is a coarse column such
+    as a date, so the counts of a key stay few. Where one key and bucket still
+    holds too many rows, buckets are cut further into ranges of ``tie``.
+
+    The input is stored first, since it is read several times.
     """
-    day = Window.partitionBy(key, bucket).orderBy(F.col(tie).asc_nulls_last())
-    numbered = df.withColumn("_in_bucket", F.row_number().over(day))
+    stored = materialize(df, "to-number")
+    parts = [bucket]
+    largest = stored.groupBy(key, bucket).count().agg(F.max("count")).first()[0] or 0
+    if largest > one_task_rows:
+        # A sample of ties that depends on their values alone, hence repeatable.
+        sample = stored.select(tie).orderBy(F.xxhash64(tie), tie).limit(BUCKETS).collect()
+        edges = F.array(*[F.lit(r[0]) for r in sample if r[0] is not None])
+        stored = stored.withColumn("_range", F.size(F.filter(edges, lambda e: e <= F.col(tie))))
+        parts.append("_range")
+
+    inside = Window.partitionBy(key, *parts).orderBy(F.col(tie).asc_nulls_last())
+    numbered = stored.withColumn("_in_bucket", F.row_number().over(inside))
     earlier = (
         Window.partitionBy(key)
-        .orderBy(F.col(bucket).asc_nulls_last())
+        .orderBy(*[F.col(p).asc_nulls_last() for p in parts])
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = (
-        df.groupBy(key, bucket)
+        stored.groupBy(key, *parts)
         .agg(F.count("*").alias("_rows"))
-        .select(key, bucket, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_earlier"))
+        .select(key, *parts, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_earlier"))
     )
     return (
-        _null_safe_join(numbered, offsets, [key, bucket])
+        _null_safe_join(numbered, offsets, [key, *parts])
         .withColumn(out, F.when(F.col(key).isNotNull(), F.col("_earlier") + F.col("_in_bucket")))
-        .drop("_in_bucket", "_earlier")
+        .drop("_in_bucket", "_earlier", "_range")
     )
 
 

@@ -50,11 +50,11 @@ def explain(model: DemandModel, rows: DataFrame, background: DataFrame) -> DataF
         F.when(mask.bitwiseAND(1 << i) != 0, F.col(f"x.{f}")).otherwise(F.col(f"b.{f}")).alias(f)
         for i, f in enumerate(FEATURES)
     ]
-    # Each row fans out 6,400-fold, so rows are spread over all slots beforehand;
-    # dropping the repeats then needs no shuffle of its own.
+    # Repeats go first, so copies never meet in one task. What is left fans out
+    # 6,400-fold per row and is therefore spread over all slots.
     slots = 4 * rows.sparkSession.sparkContext.defaultParallelism
     vectors = (
-        rows.repartition(slots, *FEATURES).select(*FEATURES).dropDuplicates()
+        rows.select(*FEATURES).distinct().repartition(slots)
         .select(F.struct(*FEATURES).alias("x"), F.explode(known).alias("b"))
         .select("x", "b", F.explode(F.sequence(F.lit(0), F.lit(2**_N - 1))).alias("mask"))
         .select("x", "mask", *mixed)

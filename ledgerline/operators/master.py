@@ -1,14 +1,16 @@
 """Build the order-item fact: joins, money, leakage and customer features.
 
-Layout of the build, chosen so that the item table is shuffled on its order id
-and nothing else is shuffled at item grain:
+Layout of the build, chosen so that wide item rows are shuffled once, on their
+order id:
 
 * everything known per order (customer, region, rep, discount, return, order
   rank, customer features) is joined at order grain first;
-* items get their product and then meet that one order frame.
+* items get their product and then meet that one order frame;
+* customer features come from narrow item rows that are summed per customer
+  before they are shuffled.
 
-A hot customer therefore never gathers items, only orders, and those joins are
-plain left joins whose large side AQE may split.
+No step gathers the items of a customer. Every large join is a plain left join
+with nothing clustered on its key behind it, so AQE may split a hot key.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -181,33 +183,28 @@ def with_season(df: DataFrame) -> DataFrame:
 # --- customer features -----------------------------------------------------
 
 
-def order_totals(items: DataFrame) -> DataFrame:
-    """One row per order from item rows that carry money, leakage and flags."""
-    return items.groupBy("order_id", "customer_id", "order_date").agg(
-        F.count("*").alias("items"),
-        F.sum("net_revenue").alias("net"),
-        F.sum("is_returned").alias("returned"),
-        F.sum("leakage_score").alias("score"),
-    )
+def orders_with_items(tables: dict[str, DataFrame]) -> DataFrame:
+    """Orders that the fact will hold, with what ranks them."""
+    used = tables["order_items"].select("order_id").distinct()
+    return tables["orders"].select("order_id", "customer_id", "order_date").join(used, "order_id", "left_semi")
 
 
-def order_ranks(orders_with_items: DataFrame) -> DataFrame:
+def order_ranks(orders: DataFrame) -> DataFrame:
     """Running number of each order among its customer's orders, by date."""
     return running_number(
-        orders_with_items.select("order_id", "customer_id", "order_date"),
-        key="customer_id", bucket="order_date", tie="order_id", out="customer_order_rank",
+        orders, key="customer_id", bucket="order_date", tie="order_id", out="customer_order_rank"
     ).select("order_id", "customer_order_rank")
 
 
-def customer_features(totals: DataFrame) -> DataFrame:
+def customer_features(items: DataFrame) -> DataFrame:
     """Lifetime value and risk flag per customer, weighted by items."""
-    return_rate = ratio(F.sum("returned"), F.sum("items"))
-    score = F.try_divide(F.sum("score"), F.sum("items").cast("double"))
+    return_rate = ratio(F.sum("is_returned"), F.count("*"))
+    score = F.try_divide(F.sum("leakage_score"), F.count("*").cast("double"))
     return (
-        totals.filter(F.col("customer_id").isNotNull())
+        items.filter(F.col("customer_id").isNotNull())
         .groupBy("customer_id")
         .agg(
-            money(F.sum("net")).alias("customer_ltv"),
+            money(F.sum("net_revenue")).alias("customer_ltv"),
             F.when((return_rate > RISKY_RETURN_RATE) | (score > RISKY_LEAKAGE_SCORE), 1)
             .otherwise(0)
             .alias("high_risk_customer"),
@@ -221,7 +218,7 @@ def with_repeat_indicator(df: DataFrame) -> DataFrame:
 
 def priced_items(tables: dict[str, DataFrame]) -> DataFrame:
     """Items with what the customer features need, and no more columns."""
-    orders = tables["orders"].select("order_id", "customer_id", "order_date", "order_status", "delay_days")
+    orders = tables["orders"].select("order_id", "customer_id", "order_status", "delay_days")
     per_order = join_discounts(orders, tables["discounts"])
     products = tables["products"].select("product_id", "base_price", "cost_price")
     items = join_orders(join_products(tables["order_items"], products), per_order)
@@ -229,27 +226,24 @@ def priced_items(tables: dict[str, DataFrame]) -> DataFrame:
     return with_order_flags(with_leakage(with_amounts(items)))
 
 
-def order_frame(tables: dict[str, DataFrame], totals: DataFrame) -> DataFrame:
+def order_frame(tables: dict[str, DataFrame]) -> DataFrame:
     """Everything the fact holds per order, one row per order."""
-    features = customer_features(totals)
     # Joined at customer grain, so that orders meet customers once.
-    people = tables["customers"].join(features, "customer_id", "full_outer")
+    people = tables["customers"].join(customer_features(priced_items(tables)), "customer_id", "full_outer")
     orders = join_customers_regions(tables["orders"], people, tables["regions"])
     orders = join_reps(orders, tables["reps"])
     orders = join_discounts(orders, tables["discounts"])
     orders = join_returns(orders, tables["returns"])
-    return orders.join(order_ranks(totals), "order_id", "left")
+    return orders.join(order_ranks(orders_with_items(tables)), "order_id", "left")
 
 
-def build_master(tables: dict[str, DataFrame], stage=lambda df: df) -> DataFrame:
+def build_master(tables: dict[str, DataFrame]) -> DataFrame:
     """The fact, one row per order item, 54 columns.
 
-    Keys of the joined tables must be unique, which `validate` checks. ``stage``
-    may store the per-order totals, which two later steps read.
+    Keys of the joined tables must be unique, which `validate` checks.
     """
-    totals = stage(order_totals(priced_items(tables)))
     items = join_products(tables["order_items"], tables["products"])
-    fact = join_orders(items, order_frame(tables, totals))
+    fact = join_orders(items, order_frame(tables))
     # An item without an order has no discount or return row either.
     fact = with_return_defaults(with_discount_defaults(fact))
     fact = with_leakage(with_profit_margin(with_amounts(fact)))

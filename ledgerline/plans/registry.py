@@ -227,19 +227,18 @@ _order_level("m16_season", lambda o: mst.with_season(mst.with_date_parts(o)), "s
 
 @query("m17_customer_order_rank")
 def _(w):
-    totals = mst.order_totals(mst.priced_items(w.tables))
-    return mst.with_repeat_indicator(mst.order_ranks(totals))
+    return mst.with_repeat_indicator(mst.order_ranks(mst.orders_with_items(w.tables)))
 
 
 @query("m18_customer_ltv")
 def _(w):
-    features = mst.customer_features(mst.order_totals(mst.priced_items(w.tables)))
+    features = mst.customer_features(mst.priced_items(w.tables))
     return _as_double(features.select("customer_id", "customer_ltv"))
 
 
 @query("m19_high_risk_customer")
 def _(w):
-    features = mst.customer_features(mst.order_totals(mst.priced_items(w.tables)))
+    features = mst.customer_features(mst.priced_items(w.tables))
     return features.select("customer_id", "high_risk_customer")
 
 

@@ -41,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
     Where it is unset, a temporary folder is used on a local master (tests, a
     laptop); on a cluster that would be machine-local, so it is an error there.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

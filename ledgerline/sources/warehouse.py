@@ -72,7 +72,7 @@ def run_etl(spark: SparkSession, raw_dir: str, out: str, fmt: str = "csv") -> Wa
     clean = standardise_dates({name: dedup(df) for name, df in raw.items()})
     write_tables(clean, f"{out}/tables")
     tables = stored_tables(spark, f"{out}/tables")
-    write_master(build_master(tables, stage=partial(materialize, name="order-totals")), f"{out}/master")
+    write_master(build_master(tables), f"{out}/master")
     write_master_csv(read_master(spark, f"{out}/master"), f"{out}/master_csv")
     return Warehouse(tables, read_master(spark, f"{out}/master"))
 
@@ -91,7 +91,7 @@ def star_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
         slug = hashlib.sha256(sf_dir.encode()).hexdigest()[:12]
         out = f"{shared_dir(spark)}/{key[0]}/star-{slug}"
         tables = star_tables(spark, sf_dir, stage=partial(materialize, name="order-heads"))
-        write_master(build_master(tables, stage=partial(materialize, name="order-totals")), f"{out}/master")
+        write_master(build_master(tables), f"{out}/master")
         _open[key] = Warehouse(tables, read_master(spark, f"{out}/master"))
     return _open[key]
 

@@ -35,12 +35,14 @@ def test_filters_and_columns_reach_the_scan(star):
     assert "net_revenue" in read and "gross_profit" not in read and "customer_id" not in read
 
 
-def test_items_are_shuffled_once_for_the_fact(spark, star):
-    """Item-grain exchanges: one for the wide fact, one for the narrow per-order totals."""
+def test_wide_items_are_shuffled_once(star):
+    """No exchange on the customer carries item rows: a hot customer cannot gather them."""
     from ledgerline.operators.master import build_master
 
     text = plan(build_master(star.tables))
-    assert "Window" in text and "CartesianProduct" not in text
+    exchanges = [block for block in text.split("\n\n") if ") Exchange" in block.split("\n")[0]]
+    with_items = [b for b in exchanges if "order_item_id" in b]
+    assert len(with_items) == 1 and "hashpartitioning(order_id" in with_items[0]
 
 
 def test_no_library_code_checkpoints_locally():

@@ -38,8 +38,9 @@ def test_running_number_equals_window(spark):
     df = skewed(spark)
     plain = Window.partitionBy("k").orderBy("day", "id")
     want = {r.id: r.n if r.k is not None else None for r in df.withColumn("n", F.row_number().over(plain)).collect()}
-    got = {r.id: r.n for r in running_number(df, "k", "day", "id", "n").collect()}
-    assert got == want
+    for limit in (10, 10**6):
+        got = {r.id: r.n for r in running_number(df, "k", "day", "id", "n", one_task_rows=limit).collect()}
+        assert got == want
 
 
 @pytest.mark.parametrize("limit", [0, 5, 100, 10**6])
