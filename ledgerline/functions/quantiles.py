@@ -53,9 +53,10 @@ class _Bracket:
 
 
 def exact_quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], one_buffer_rows: int = ONE_BUFFER_ROWS
+    df: DataFrame, columns: list[str], probs: list[float], one_buffer_rows: int | None = None
 ) -> dict[str, list[float | None]]:
     """{column: [value for each prob]}; NULLs are ignored, an empty column gives None."""
+    one_buffer_rows = ONE_BUFFER_ROWS if one_buffer_rows is None else one_buffer_rows
     values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     counts = values.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
     if max(counts.values()) <= one_buffer_rows:

@@ -12,8 +12,12 @@ ONE_TASK_ROWS = 200_000
 BUCKETS = 256
 
 
+def _limit(rows: int | None) -> int:
+    return ONE_TASK_ROWS if rows is None else rows
+
+
 def rank_descending(
-    df: DataFrame, value: str, out: str, by: Sequence[str] = (), one_task_rows: int = ONE_TASK_ROWS
+    df: DataFrame, value: str, out: str, by: Sequence[str] = (), one_task_rows: int | None = None
 ) -> DataFrame:
     """SQL ``RANK() OVER ([PARTITION BY by] ORDER BY value DESC)`` at any size.
 
@@ -24,7 +28,7 @@ def rank_descending(
     """
     stored = materialize(df, "to-rank")
     by = list(by)
-    if stored.count() <= one_task_rows:
+    if stored.count() <= _limit(one_task_rows):
         window = Window.partitionBy(*by).orderBy(F.col(value).desc_nulls_last())
         return stored.withColumn(out, F.rank().over(window))
     return _rank_by_ranges(stored, value, out, by)
@@ -60,7 +64,7 @@ def _rank_by_ranges(df: DataFrame, value: str, out: str, by: list[str]) -> DataF
 
 
 def running_number(
-    df: DataFrame, key: str, bucket: str, tie: str, out: str, one_task_rows: int = ONE_TASK_ROWS
+    df: DataFrame, key: str, bucket: str, tie: str, out: str, one_task_rows: int | None = None
 ) -> DataFrame:
     """1-based running number of the rows of each key, ordered by (bucket, tie).
 
@@ -75,7 +79,7 @@ def running_number(
     stored = materialize(df, "to-number")
     parts = [bucket]
     largest = stored.groupBy(key, bucket).count().agg(F.max("count")).first()[0] or 0
-    if largest > one_task_rows:
+    if largest > _limit(one_task_rows):
         # A sample of ties that depends on their values alone, hence repeatable.
         sample = stored.select(tie).orderBy(F.xxhash64(tie), tie).limit(BUCKETS).collect()
         edges = F.array(*[F.lit(r[0]) for r in sample if r[0] is not None])

@@ -452,13 +452,18 @@ _add(
     r4_spikes="SELECT *, (discount_spike > 0.02)::INT AS discount_alert, (return_spike > 0.03)::INT AS return_alert FROM spike",
     r5_revenue_drop_message="""
         SELECT c.*, a.category AS top_dropping_category, a.drop_amount AS category_drop_amount, b.region_name AS top_dropping_region,
-               b.drop_amount AS region_drop_amount, s.discount_spike, s.return_spike,
-               format('Revenue declined by ${:,.2f} (-{:.2f}%) from {} to {}.', abs(change_amount), abs(change_pct), prev_month, latest_month)
-               || format(' Hardest hit category: {}, down ${:,.2f}.', a.category, abs(a.drop_amount))
-               || format(' Hardest hit region: {}, down ${:,.2f}.', b.region_name, abs(b.drop_amount))
-               || CASE WHEN discount_spike > 0.02 THEN format(' Average discount rose by {:.1f} percentage points.', discount_spike * 100) ELSE '' END
-               || CASE WHEN return_spike > 0.03 THEN format(' Return rate rose by {:.1f} percentage points.', return_spike * 100) ELSE '' END AS message
-        FROM change c JOIN cat_drop a ON true JOIN reg_drop b ON true JOIN spike s ON true""",
+               b.drop_amount AS region_drop_amount, CASE WHEN c.status = 'decline' THEN s.discount_spike END AS discount_spike,
+               CASE WHEN c.status = 'decline' THEN s.return_spike END AS return_spike,
+               CASE c.status WHEN 'growth' THEN
+                   format('Revenue grew by ${:,.2f} ({:.2f}%) from {} to {}.', abs(change_amount), abs(change_pct), prev_month, latest_month)
+               WHEN 'decline' THEN
+                   format('Revenue declined by ${:,.2f} (-{:.2f}%) from {} to {}.', abs(change_amount), abs(change_pct), prev_month, latest_month)
+                   || format(' Hardest hit category: {}, down ${:,.2f}.', a.category, abs(a.drop_amount))
+                   || format(' Hardest hit region: {}, down ${:,.2f}.', b.region_name, abs(b.drop_amount))
+                   || CASE WHEN discount_spike > 0.02 THEN format(' Average discount rose by {:.1f} percentage points.', discount_spike * 100) ELSE '' END
+                   || CASE WHEN return_spike > 0.03 THEN format(' Return rate rose by {:.1f} percentage points.', return_spike * 100) ELSE '' END
+               ELSE 'Not enough history to compare.' END AS message
+        FROM change c LEFT JOIN cat_drop a ON true LEFT JOIN reg_drop b ON true LEFT JOIN spike s ON true""",
     r6_ineffective_marketing="SELECT * FROM wasted",
     r7_leakage_drivers="""
         SELECT sales_rep_name AS top_leakage_sales_rep, region_name AS top_leakage_rep_region, v::DOUBLE AS top_leakage_rep_amount,
