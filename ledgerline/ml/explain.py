@@ -17,6 +17,7 @@ from ledgerline.session import materialize
 
 BACKGROUND_ROWS = 100
 IMPORTANCE_ROWS, BEESWARM_ROWS = 300, 200
+# How features are named in results.
 LABELS = dict(zip(FEATURES, ["Category", "Unit Price", "Discount %", "Region", "Sales Channel", "Month"]))
 _N = len(FEATURES)
 

@@ -16,6 +16,20 @@ from ledgerline.schemas import LEAKAGE_CAUSES
 FALLBACK_MONTHS = 6
 MIN_ITEMS_PER_DELAY = 3
 
+# Steps of the sales bridge (label, measure, column, sign).
+BRIDGE = [
+    ("Gross Revenue", "relative", "gross_revenue", 1),
+    ("Discounts", "relative", "discount_amount", -1),
+    ("Net Revenue", "total", "net_revenue", 1),
+    ("Cost of Goods", "relative", "cost_amount", -1),
+    ("Net Profit", "total", "gross_profit", 1),
+]
+
+# Lines of the financial statement.
+STATEMENT = [
+    "Gross Invoiced Sales", "Campaign Discounts Issued", "Net Realized Revenue", "Gross Cost Basis", "Net Realized Profit",
+]
+
 
 def filter_values(m: DataFrame) -> DataFrame:
     """Distinct values of the five filter fields as (field, value), sorted."""
@@ -116,20 +130,13 @@ def region_against_target(
 
 def sales_bridge(m: DataFrame, filters: dict | None = None) -> DataFrame:
     """Gross revenue to net profit in five ordered steps."""
-    steps = [
-        ("Gross Revenue", "relative", "gross_revenue", 1),
-        ("Discounts", "relative", "discount_amount", -1),
-        ("Net Revenue", "total", "net_revenue", 1),
-        ("Cost of Goods", "relative", "cost_amount", -1),
-        ("Net Profit", "total", "gross_profit", 1),
-    ]
-    sums = filter_master(m, filters).agg(*[total(c).alias(c) for _, _, c, _ in steps])
+    sums = filter_master(m, filters).agg(*[total(c).alias(c) for _, _, c, _ in BRIDGE])
     rows = [
         F.struct(
             F.lit(i).alias("step_index"), F.lit(label).alias("step"), F.lit(kind).alias("measure"),
             (F.col(c) * sign).alias("amount"),
         )
-        for i, (label, kind, c, sign) in enumerate(steps, start=1)
+        for i, (label, kind, c, sign) in enumerate(BRIDGE, start=1)
     ]
     return sums.select(F.inline(F.array(*rows))).orderBy("step_index")
 
@@ -293,18 +300,18 @@ def financial_statement(m: DataFrame, targets: DataFrame, filters: dict | None =
     achieved = F.when(F.col("goal") > 0, ratio("net_revenue", "goal") * 100).otherwise(F.lit(100.0))
     none = F.lit(None).cast("double")
     lines = [
-        ("Gross Invoiced Sales", F.col("gross_revenue"), F.lit(100.0), none, none),
-        ("Campaign Discounts Issued", -F.col("discount_amount"), ratio("discount_amount", "gross_revenue") * 100, none, none),
-        ("Net Realized Revenue", F.col("net_revenue"), ratio("net_revenue", "gross_revenue") * 100, F.col("goal"), achieved),
-        ("Gross Cost Basis", -F.col("cost_amount"), ratio("cost_amount", "net_revenue") * 100, none, none),
-        ("Net Realized Profit", F.col("gross_profit"), ratio_if_positive("gross_profit", "net_revenue") * 100, none, none),
+        (F.col("gross_revenue"), F.lit(100.0), none, none),
+        (-F.col("discount_amount"), ratio("discount_amount", "gross_revenue") * 100, none, none),
+        (F.col("net_revenue"), ratio("net_revenue", "gross_revenue") * 100, F.col("goal"), achieved),
+        (-F.col("cost_amount"), ratio("cost_amount", "net_revenue") * 100, none, none),
+        (F.col("gross_profit"), ratio_if_positive("gross_profit", "net_revenue") * 100, none, none),
     ]
     structs = [
         F.struct(
             F.lit(i).alias("line"), F.lit(label).alias("metric"), amount.alias("amount"), pct.alias("pct"),
             target.alias("target_revenue"), done.alias("target_achievement_pct"),
         )
-        for i, (label, amount, pct, target, done) in enumerate(lines, start=1)
+        for i, (label, (amount, pct, target, done)) in enumerate(zip(STATEMENT, lines), start=1)
     ]
     return sums.select(F.inline(F.array(*structs))).orderBy("line")
 
