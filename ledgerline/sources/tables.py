@@ -36,12 +36,19 @@ def _read(spark: SparkSession, path: str, fmt: str, schema: T.StructType | None)
     if fmt == "parquet":
         return spark.read.parquet(path)
     raw = spark.read.option("header", True).csv(path)
-    if schema is None:
-        return raw
-    # Columns are matched by header name, not by position; a missing one stays missing.
+    return raw if schema is None else _typed(raw, schema)
+
+
+def _typed(raw: DataFrame, schema: T.StructType) -> DataFrame:
+    """Declared columns by name with their types; a missing one stays missing."""
     return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema if f.name in raw.columns])
 
 
+def typed_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The declared columns and types of tables that passed `validate`."""
+    return {name: _typed(df, TABLES[name]) for name, df in tables.items()}
+
+
 def standardise_dates(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Date columns as DATE; text that is not a date becomes NULL."""
     out = dict(tables)

@@ -10,7 +10,7 @@ from ledgerline.operators.master import build_master
 from ledgerline.schemas import MASTER, MASTER_COLUMNS, TABLES
 from ledgerline.session import materialize, shared_dir
 from ledgerline.sources.star import star_tables
-from ledgerline.sources.tables import read_tables, standardise_dates
+from ledgerline.sources.tables import read_tables, standardise_dates, typed_tables
 from ledgerline.sources.validation import dedup, validate
 
 
@@ -65,11 +65,11 @@ def run_etl(spark: SparkSession, raw_dir: str, out: str, fmt: str = "csv") -> Wa
 
     Raises ValueError with every finding when validation fails.
     """
-    raw = read_tables(spark, raw_dir, fmt)
-    findings = validate(raw).collect()
+    raw = read_tables(spark, raw_dir, fmt, typed=False)
+    findings = validate(raw, text=fmt == "csv").collect()
     if findings:
         raise ValueError("\n".join(f"{r.table}.{r.column}: {r.error}" for r in findings))
-    clean = standardise_dates({name: dedup(df) for name, df in raw.items()})
+    clean = typed_tables(standardise_dates({name: dedup(df) for name, df in raw.items()}))
     write_tables(clean, f"{out}/tables")
     tables = stored_tables(spark, f"{out}/tables")
     write_master(build_master(tables), f"{out}/master")

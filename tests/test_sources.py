@@ -106,6 +106,15 @@ def test_etl_refuses_bad_tables(spark, tmp_path):
         run_etl(spark, str(tmp_path), str(tmp_path / "out"))
 
 
+def test_etl_refuses_values_that_are_not_numbers(spark, tmp_path):
+    write_csv(tmp_path)
+    items = (tmp_path / "order_items.csv").read_text().replace("I1,O1,P1,2,", "I1,O1,P1,two,").replace("I2,O1,P2,1,", "I2,O1,P2,1.5,")
+    (tmp_path / "order_items.csv").write_text(items)
+    with pytest.raises(ValueError, match="order_items.quantity: 2 values are not int"):
+        run_etl(spark, str(tmp_path), str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists()
+
+
 def test_forecast_table_and_fallback(spark, tmp_path):
     m = facts(spark, [{"net_revenue": 10}, {"net_revenue": 20}])
     assert load_forecast(spark, str(tmp_path)) is None
