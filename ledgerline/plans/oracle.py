@@ -277,8 +277,7 @@ _add(
         UNION ALL SELECT 'discounts', 'discount_percentage', 'expected float, got string'
         UNION ALL SELECT 'products', 'base_price', count(*) || ' values are not float' FROM t_products""",
     s4_dedup_report="""
-        SELECT 'discounts' AS "table", count(*) + count(*) FILTER (order_id::BIGINT % 3 = 0) AS before, count(*) AS after,
-               count(*) FILTER (order_id::BIGINT % 3 = 0) AS removed FROM t_discounts
+        SELECT 'discounts' AS "table", 2 * count(*) AS before, count(*) AS after, count(*) AS removed FROM t_discounts
         UNION ALL SELECT 'order_items', (SELECT count(*) FROM t_items), count(*), (SELECT count(*) FROM t_items) - count(*)
         FROM (SELECT DISTINCT * FROM t_items)""",
     s5_standardise_dates="""
@@ -537,11 +536,10 @@ _add(
             FROM months WINDOW w AS (ORDER BY "month"))
         WHERE lag_3 IS NOT NULL""",
     a10_short_history="""
-        SELECT region_name, 'Future Month ' || step AS "month", step::INT AS step, round(mean, 4) + 0.0 AS forecasted_revenue,
-               round(mean * 0.9, 4) + 0.0 AS lower_ci, round(mean * 1.1, 4) + 0.0 AS upper_ci
-        FROM (SELECT region_name, avg(net::DOUBLE) AS mean
-              FROM (SELECT region_name, "month", sum(net_revenue) AS net FROM m
-                    WHERE "month" IN ('1996-01', '1996-02', '1996-03', '1996-04') GROUP BY 1, 2) GROUP BY 1),
+        SELECT customer_id, 'Future Month ' || step AS "month", step::INT AS step, mean AS forecasted_revenue,
+               mean * 0.9::DOUBLE AS lower_ci, mean * 1.1::DOUBLE AS upper_ci
+        FROM (SELECT customer_id, sum(net_revenue)::DOUBLE / count(DISTINCT "month") AS mean
+              FROM m GROUP BY 1 HAVING count(DISTINCT "month") < 6),
              (SELECT unnest(generate_series(1, 6)) AS step)""",
 )
 BODIES["s10_named_query_bind"] = BODIES["q6_revenue_leakage_by_category"]

@@ -172,9 +172,10 @@ def test_forecast_band_widens_and_is_clamped():
     assert (width.diff().dropna() > 0).all() and (out.lower_ci >= 0).all()
 
 
-def test_short_histories():
-    out = forecast.forecast_series(history(5), [10.0, 20, 30, 40, 50], 2)
-    assert out.values.tolist() == [["Future Month 1", 1, 30.0, 27.0, 33.0], ["Future Month 2", 2, 30.0, 27.0, 33.0]]
+def test_short_histories(spark):
+    m = facts(spark, [{"order_date": f"{month}-05", "net_revenue": 10 * (i + 1)} for i, month in enumerate(history(5))])
+    rows = [tuple(r) for r in forecast.forecast(m, horizon=2).collect()]
+    assert rows == [("Future Month 1", 1, 30.0, 27.0, 33.0), ("Future Month 2", 2, 30.0, 27.0, 33.0)]
     seven = forecast.forecast_series(history(7), [1.0, 5, 2, 8, 3, 9, 4], 3)
     assert seven.lower_ci.isna().all() and seven.forecasted_revenue.notna().all()
 
