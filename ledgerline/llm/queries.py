@@ -4,8 +4,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerline.llm import piece_codec, token_counts
+from ledgerline.llm import (
+    decontaminate, exact_dedup, html_text, id_files, near_dedup, piece_codec, token_counts, url_templates,
+)
 from ledgerline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,13 +25,60 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op1_near_duplicates")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 @query("op2_token_counts")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query("op5_main_text")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op6_id_files")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_files.round_trip(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, vocabulary=49_408
+    )
+
+
+@query("op7_exact_duplicates", r"""
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    n AS (SELECT doc_id, length(text) AS size, sha256(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS text_sha256,
+                 regexp_replace(text, '[\x20\x09-\x0D]', '', 'g') AS bare FROM t),
+    g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY bare ORDER BY size DESC, doc_id) AS keep_id,
+                 count(*) OVER (PARTITION BY bare) AS group_size FROM n)
+    SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
+""".replace("\\", "\\"))
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op8_decontamination")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op9_sentencepiece")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_decode(
         table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digest=True
     )
+
+
+@query("op10_url_templates")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is that of the document it shows, whose number ends its path: bad if of low quality or toxic."""
+    pages = table(spark, sf_dir, "pages")
+    shown = F.regexp_extract(url_templates.path_of(F.col("url")), r"/(\d{1,18})(?:\.html)?/?$", 1)
+    labels = (
+        pages.select("page_id", F.when(shown != "", shown.cast("long")).alias("doc_id"))
+        .join(table(spark, sf_dir, "labels"), "doc_id")
+        .select("page_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    )
+    return url_templates.url_filter(pages, labels)
