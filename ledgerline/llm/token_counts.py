@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import arrow_map, file_of
 from ledgerline.llm.pieces import LONGEST_CACHED, check, keys, library_lengths
+from ledgerline.session import materialize
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -23,24 +24,31 @@ def trimmed(counts: Counter, entries: int) -> Counter:
 
 def _summaries(source, entries: int) -> Iterator[dict]:
     counts: Counter = Counter()
+    seen = 0
     for batch in source:
         for text in batch["text"]:
-            counts.update(keys(text or ""))
+            found = keys(text or "")
+            counts.update(found)
+            seen += len(found)
             if len(counts) > 8 * entries:
                 counts = trimmed(counts, entries)
     top = [(k, n) for k, n in trimmed(counts, entries).items() if len(k) <= LONGEST_CACHED]
-    yield {"key": [k for k, _ in top], "n": [n for _, n in top]}
+    yield {"key": [None, *(k for k, _ in top)], "n": [0, *(n for _, n in top)], "seen": [seen, *[0] * len(top)]}
 
 
 def frequent_lengths(docs: DataFrame, model_path: str, entries: int) -> tuple[list[str], bytes]:
-    """The `entries` most frequent pre-tokens of all texts and, a byte each, their numbers of ids.
+    """The pre-tokens that make at least one in `entries` of all texts' pre-tokens and, a byte each, their numbers of ids.
 
-    A task sends a summary of at most `entries` keys, whatever it reads; the pre-tokens themselves stay where
-    they are. A summary may miss keys that are rare in its task, which costs time later and never changes a count.
+    There are at most `entries` of them. A task sends a summary of at most that many keys, whatever it reads; the pre-tokens
+    themselves stay where they are. A summary's counts may be a little low, which costs time later and never changes a result.
     """
+    summaries = materialize(
+        arrow_map(docs, ["text"], "key string, n long, seen long", lambda source: _summaries(source, entries)), "summaries"
+    )
+    seen = summaries.where("key IS NULL").agg(F.sum("seen")).first()[0] or 0
     top = (
-        arrow_map(docs, ["text"], "key string, n long", lambda source: _summaries(source, entries))
-        .groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(entries).collect()
+        summaries.where("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n"))
+        .where(F.col("n") * entries >= seen).orderBy("key").collect()
     )
     model = sentencepiece.SentencePieceProcessor(model_file=model_path)
     check(model)
@@ -76,12 +84,12 @@ def _counts(source, model, table, cache_entries: int, limit: int) -> Iterator[di
 
 
 def token_counts(
-    docs: DataFrame, model_path: str, limit: int = 4096, frequent: int = 16_384, cache_entries: int = 300_000
+    docs: DataFrame, model_path: str, limit: int = 4096, frequent: int = 20_000, cache_entries: int = 300_000
 ) -> DataFrame:
     """Bytes and tokens of every row, by a SentencePiece BPE model, without begin and end ids.
 
-    First tier: a broadcast table of the `frequent` most frequent pre-tokens, at most 64 characters each, so its
-    size is bounded. Second tier: each worker encodes what it misses with the library, once while it is cached.
+    First tier: a broadcast table of the pre-tokens that make at least one in `frequent` of all, at most 64 characters
+    each, so its size is bounded. Second tier: each worker encodes what it misses with the library, once while it is cached.
     One row for each row of `docs`, repeated rows and null `doc_id` included; null and empty texts have 0.
     """
     context = docs.sparkSession.sparkContext
