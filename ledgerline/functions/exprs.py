@@ -50,3 +50,9 @@ def present(*names: str) -> Column:
     for name in names:
         condition = condition & F.col(name).isNotNull()
     return condition
+
+
+def uniform(*columns: str, seed: int = 0) -> Column:
+    """A number from 0 up to 1 that depends on the columns' values alone: the first 48 bits of their MD5."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / F.lit(float(2**48))

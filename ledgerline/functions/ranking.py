@@ -5,45 +5,29 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.session import materialize
 
-# Up to this many rows one window task is cheaper than the passes below.
-ONE_TASK_ROWS = 200_000
-BUCKETS = 256
+def _ranges(df: DataFrame) -> int:
+    """Ranges that ordered values are cut into: as many as a shuffle has partitions, so a range grows no faster."""
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _limit(rows: int | None) -> int:
-    return ONE_TASK_ROWS if rows is None else rows
-
-
-def rank_descending(
-    df: DataFrame, value: str, out: str, by: Sequence[str] = (), one_task_rows: int | None = None
-) -> DataFrame:
+def rank_descending(df: DataFrame, value: str, out: str, by: Sequence[str] = ()) -> DataFrame:
     """SQL ``RANK() OVER ([PARTITION BY by] ORDER BY value DESC)`` at any size.
 
-    The input is stored first, since it is read several times. A small input is
-    ranked by a plain window. A larger one is ranked over its distinct values:
-    they are counted (so ties shrink to one row), cut into value ranges, and
-    each range gets the number of rows above it.
+    Rows are ranked over their distinct values: they are counted (so ties shrink
+    to one row), cut into value ranges, and each range gets the number of rows
+    above it. Lazy: the edges of the ranges are a scalar subquery.
     """
-    stored = materialize(df, "to-rank")
     by = list(by)
-    if stored.count() <= _limit(one_task_rows):
-        window = Window.partitionBy(*by).orderBy(F.col(value).desc_nulls_last())
-        return stored.withColumn(out, F.rank().over(window))
-    return _rank_by_ranges(stored, value, out, by)
-
-
-def _rank_by_ranges(df: DataFrame, value: str, out: str, by: list[str]) -> DataFrame:
     keys = [*by, value]
     counts = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    cuts = [i / BUCKETS for i in range(1, BUCKETS)]
+    n = _ranges(df)
     kind = df.schema[value].dataType.simpleString()
-    found = df.agg(F.percentile_approx(value, cuts, 10_000)).first()[0] or []  # at most BUCKETS numbers
-    edges = F.array(*[F.lit(e) for e in found]).cast(f"array<{kind}>")
+    edges = df.agg(F.percentile_approx(value, [i / n for i in range(1, n)], 10_000)).scalar()  # n - 1 numbers
+    edges = F.coalesce(edges.cast(f"array<{kind}>"), F.array().cast(f"array<{kind}>"))
     # NULL ranks last, in a range of its own.
-    bucket = F.when(F.col(value).isNull(), -1).otherwise(F.size(F.filter(edges, lambda e: e <= F.col(value))))
-    counts = counts.withColumn("_bucket", bucket)
+    bucket = F.when(F.col(value).isNull(), -1).otherwise(F.size(F.filter("_edges", lambda e: e <= F.col(value))))
+    counts = counts.withColumn("_edges", edges).withColumn("_bucket", bucket).drop("_edges")
 
     above = Window.partitionBy(*by).orderBy(F.col("_bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -63,28 +47,21 @@ def _rank_by_ranges(df: DataFrame, value: str, out: str, by: list[str]) -> DataF
     return _null_safe_join(df, ranks, keys)
 
 
-def running_number(
-    df: DataFrame, key: str, bucket: str, tie: str, out: str, one_task_rows: int | None = None
-) -> DataFrame:
+def running_number(df: DataFrame, key: str, bucket: str, tie: str, out: str) -> DataFrame:
     """1-based running number of the rows of each key, ordered by (bucket, tie).
 
     Equal to ``row_number() over (partition by key order by bucket, tie)``, but
-    no task holds a whole key: rows are numbered within (key, bucket), and the
-    rows of earlier buckets come from counts. ``bucket`` is a coarse column such
-    as a date, so the counts of a key stay few. Where one key and bucket still
-    holds too many rows, buckets are cut further into ranges of ``tie``.
-
-    The input is stored first, since it is read several times.
+    no task holds a whole key: rows are numbered within (key, bucket, range of
+    tie), and the rows of earlier ranges come from counts. ``bucket`` is a coarse
+    column such as a date, so the counts of a key stay few. Lazy: the edges of
+    the ranges, a sample of ties that depends on their values alone, are a
+    scalar subquery.
     """
-    stored = materialize(df, "to-number")
-    parts = [bucket]
-    largest = stored.groupBy(key, bucket).count().agg(F.max("count")).first()[0] or 0
-    if largest > _limit(one_task_rows):
-        # A sample of ties that depends on their values alone, hence repeatable.
-        sample = stored.select(tie).orderBy(F.xxhash64(tie), tie).limit(BUCKETS).collect()
-        edges = F.array(*[F.lit(r[0]) for r in sample if r[0] is not None])
-        stored = stored.withColumn("_range", F.size(F.filter(edges, lambda e: e <= F.col(tie))))
-        parts.append("_range")
+    sample = df.select(tie).where(F.col(tie).isNotNull()).distinct().orderBy(F.xxhash64(tie), tie).limit(_ranges(df))
+    edges = sample.agg(F.collect_list(tie)).scalar()
+    stored = df.withColumn("_edges", edges)
+    stored = stored.withColumn("_range", F.size(F.filter("_edges", lambda e: e <= F.col(tie)))).drop("_edges")
+    parts = [bucket, "_range"]
 
     inside = Window.partitionBy(key, *parts).orderBy(F.col(tie).asc_nulls_last())
     numbered = stored.withColumn("_in_bucket", F.row_number().over(inside))

@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.quantiles import exact_quantiles
+from ledgerline.functions.exprs import uniform
 from ledgerline.ml.saved import load_or_train
+from ledgerline.schemas import ANOMALY_FEATURES as FEATURES
 from ledgerline.session import materialize
 
-FEATURES = ["gross_revenue", "discount_percentage", "delay_days", "profit_margin", "is_returned"]
 NODE = "tree int, node int, feature int, cut double, left int, right int, depth double"
 TREES, ROWS_PER_TREE, CONTAMINATION, SEED = 100, 256, 0.06, 42
 EULER_GAMMA = 0.5772156649015329
@@ -31,14 +32,14 @@ def expected_depth(n: float) -> float:
     return 1.0 if n == 2 else 2.0 * (np.log(n - 1.0) + EULER_GAMMA) - 2.0 * (n - 1.0) / n
 
 
-def _features(m: DataFrame) -> DataFrame:
-    return m.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in FEATURES])
+def _features(m: DataFrame, *keep: str) -> DataFrame:
+    return m.select(*keep, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in FEATURES])
 
 
 def sample_for_trees(x: DataFrame, rows: int, trees: int, per_tree: int, seed: int) -> DataFrame:
     """A sample of ``per_tree`` rows for each tree, in one pass.
 
-    A row draws one number. Most rows of a large fact drop out on it at once;
+    A row draws one number, by a hash of its key and values, so the sample does not depend on how rows are stored. Most rows of a large fact drop out on it at once;
     for the rest, hashing the number with a tree's number decides whether that
     tree sees the row. About twice what is needed is drawn and the rows with the
     lowest hash are kept, so a tree's group is small by construction.
@@ -51,9 +52,9 @@ def sample_for_trees(x: DataFrame, rows: int, trees: int, per_tree: int, seed: i
         lambda t: F.struct(t.alias("tree"), F.xxhash64(F.col("draw"), t, F.lit(seed)).alias("ticket")),
     )
     chosen = F.filter(tickets, lambda s: (s["ticket"].cast("double") + half) / (half * 2) < keep / thin)
-    best = Window.partitionBy("tree").orderBy("ticket")
+    best = Window.partitionBy("tree").orderBy("ticket", *FEATURES)
     return (
-        x.withColumn("draw", F.rand(seed))
+        x.withColumn("draw", uniform("order_item_id", *FEATURES, seed=seed))
         .filter(F.col("draw") < thin)
         .select(*FEATURES, F.inline(chosen))
         .withColumn("place", F.row_number().over(best))
@@ -65,7 +66,7 @@ def sample_for_trees(x: DataFrame, rows: int, trees: int, per_tree: int, seed: i
 def _grow(sample: pd.DataFrame, seed: int) -> pd.DataFrame:
     """Split a tree's rows at random until alone or at the depth limit."""
     tree = int(sample["tree"].iloc[0])
-    data = sample[FEATURES].to_numpy(dtype=float)
+    data = sample.sort_values(FEATURES)[FEATURES].to_numpy(dtype=float)  # rows arrive in any order
     rng = np.random.default_rng([seed, tree])
     limit = ceil(log2(max(len(data), 2)))
     nodes: list[list] = []
@@ -119,7 +120,7 @@ class AnomalyDetector:
     def train(cls, m: DataFrame, contamination: float = CONTAMINATION, trees: int = TREES, seed: int = SEED) -> "AnomalyDetector":
         # Splits are drawn between the least and the greatest value of a column,
         # so standardising the columns first would not change any tree.
-        x = _features(m)
+        x = _features(m, "order_item_id")
         rows = x.count()
         sample = sample_for_trees(x, rows, trees, ROWS_PER_TREE, seed)
 

@@ -2,19 +2,18 @@
 
 from dataclasses import dataclass, field
 
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.functions.exprs import uniform
+from ledgerline.functions.ranking import running_number
 from ledgerline.ml.saved import load_or_train
+from ledgerline.schemas import DEMAND_FEATURES as FEATURES
+from ledgerline.session import materialize
 
-FEATURES = ["category", "unit_price", "discount_percentage", "region_id", "sales_channel", "month_num"]
 LABELLED = {"category": "category", "region_id": "region_name", "sales_channel": "sales_channel"}
-MAX_LABELS = 1_000
-# Remembering each row's node in each tree is faster, but costs 4 bytes per row and tree.
-CACHED_NODE_ROWS = 5_000_000
 
 # Label codes and the cost share of each category's price.
 CODES = {
@@ -25,30 +24,29 @@ CODES = {
 COST_SHARE = {"Software": 0.2, "Hardware": 0.63, "Consulting": 0.58, "Support": 0.45}
 OTHER_COST_SHARE = 0.5
 
-Codes = dict[str, dict[str, int]]
+CODE_SCHEMA = "feature string, label string, code int"
 
 
-def codes_from(m: DataFrame) -> Codes:
-    """Codes 0, 1, ... of the sorted labels that occur, for data with its own labels."""
-    codes = {}
-    for feature, column in LABELLED.items():
-        labels = m.select(column).distinct().filter(F.col(column).isNotNull())
-        found = [r[0] for r in labels.limit(MAX_LABELS + 1).collect()]
-        if len(found) > MAX_LABELS:
-            raise ValueError(f"more than {MAX_LABELS} labels in {column}")
-        codes[feature] = {label: i for i, label in enumerate(sorted(found))}
-    return codes
+def fixed_codes(spark: SparkSession) -> DataFrame:
+    """The table of CODES."""
+    rows = [(f, label, code) for f, labels in CODES.items() for label, code in labels.items()]
+    return spark.createDataFrame(rows, CODE_SCHEMA)
 
 
-def _code(column: Column, codes: dict[str, int], unknown: int) -> Column:
-    pairs = [F.lit(x) for pair in codes.items() for x in pair]
-    known = F.create_map(*pairs)[column] if pairs else F.lit(None)
-    return F.coalesce(known, F.lit(unknown)).cast("double")
+def codes_from(m: DataFrame) -> DataFrame:
+    """Codes 0, 1, ... of the sorted labels that occur, for data with its own labels; as many as there are."""
+    entries = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(c).alias("label")) for f, c in LABELLED.items()])
+    labels = m.select(F.inline(entries)).where("label IS NOT NULL").distinct().withColumn("all", F.lit(0))
+    numbered = running_number(labels, "feature", "all", "label", "n")
+    return materialize(numbered.select("feature", "label", (F.col("n") - 1).cast("int").alias("code")), "codes")
 
 
-def encode(df: DataFrame, codes: Codes = CODES, unknown: int = -1, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The six model features as doubles, beside the columns in ``keep``."""
-    coded = {f: _code(F.col(c), codes[f], unknown) for f, c in LABELLED.items()}
+def encode(df: DataFrame, codes: DataFrame, unknown: int = -1, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The six model features as doubles, beside the columns in ``keep``; labels are joined with their codes."""
+    for f, c in LABELLED.items():
+        known = codes.where(F.col("feature") == f).select(F.col("label").alias(f"_label_{f}"), F.col("code").alias(f"_code_{f}"))
+        df = df.join(known, F.col(c) == F.col(f"_label_{f}"), "left")
+    coded = {f: F.coalesce(F.col(f"_code_{f}"), F.lit(unknown)).cast("double") for f in LABELLED}
     plain = {
         "unit_price": F.coalesce(F.col("unit_price").cast("double"), F.lit(0.0)),
         "discount_percentage": F.coalesce(F.col("discount_percentage").cast("double"), F.lit(0.0)),
@@ -58,10 +56,9 @@ def encode(df: DataFrame, codes: Codes = CODES, unknown: int = -1, keep: tuple[s
     return df.select(*[F.col(c) for c in keep], *[both[f].alias(f) for f in FEATURES])
 
 
-def training_rows(m: DataFrame, codes: Codes = CODES) -> DataFrame:
-    return encode(
-        m.withColumn("label", F.coalesce(F.col("quantity").cast("double"), F.lit(1.0))), codes, keep=("label",)
-    )
+def training_rows(m: DataFrame, codes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    labelled = m.withColumn("label", F.coalesce(F.col("quantity").cast("double"), F.lit(1.0)))
+    return encode(labelled, codes, keep=("label", *keep))
 
 
 def scenario_economics(df: DataFrame, quantity: str = "quantity") -> DataFrame:
@@ -82,28 +79,30 @@ def scenario_economics(df: DataFrame, quantity: str = "quantity") -> DataFrame:
 @dataclass
 class DemandModel:
     forest: RandomForestRegressionModel
-    codes: Codes = field(default_factory=lambda: CODES)
+    codes: DataFrame
     metrics: dict[str, float] = field(default_factory=dict)
 
     @classmethod
     def train(
-        cls, m: DataFrame, codes: Codes | None = None, trees: int = 100, depth: int = 8, seed: int = 42
+        cls, m: DataFrame, codes: DataFrame | None = None, trees: int = 100, depth: int = 8, seed: int = 42
     ) -> "DemandModel":
-        """Fit on a random 80 percent, measure on the rest. Codes default to the labels found."""
-        codes = codes or codes_from(m)
-        rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(training_rows(m, codes))
-        train, test = rows.select("features", "label").randomSplit([0.8, 0.2], seed=seed)
+        """Fit on 80 percent drawn by a hash of the item, measure on the rest. Codes default to the labels found."""
+        codes = codes_from(m) if codes is None else codes
+        draw = uniform("order_item_id", seed=seed) < 0.8
+        rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(
+            training_rows(m.withColumn("fit", draw), codes, keep=("fit",))
+        )
         forest = RandomForestRegressor(
-            numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="all", maxMemoryInMB=1024,
-            cacheNodeIds=m.count() <= CACHED_NODE_ROWS,
-        ).fit(train)
-        predicted = forest.transform(test).select("label", "prediction").persist()
-        try:
-            measure = lambda name: RegressionEvaluator(metricName=name).evaluate(predicted)
-            metrics = {"rmse": measure("rmse"), "r2": measure("r2"), "test_rows": float(predicted.count())}
-        finally:
-            predicted.unpersist()
-        return cls(forest, codes, metrics)
+            numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="all", maxMemoryInMB=1024, cacheNodeIds=True
+        ).fit(rows.where("fit").select("features", "label"))
+        test = forest.transform(rows.where("NOT fit")).select("label", "prediction")
+        error = F.col("label") - F.col("prediction")
+        row = test.agg(
+            F.sqrt(F.avg(error * error)).alias("rmse"),
+            (1 - F.try_divide(F.sum(error * error), F.regr_syy("label", F.lit(1.0)))).alias("r2"),
+            F.count("*").alias("test_rows"),
+        ).first()
+        return cls(forest, codes, {k: float(v) if v is not None else float("nan") for k, v in row.asDict().items()})
 
     def predict(self, features: DataFrame) -> DataFrame:
         """Add ``prediction`` to encoded feature rows."""
@@ -123,16 +122,11 @@ class DemandModel:
 
     def save(self, path: str) -> None:
         self.forest.write().overwrite().save(f"{path}/model")
-        rows = [(f, label, code) for f, labels in self.codes.items() for label, code in labels.items()]
-        SparkSession.active().createDataFrame(rows, "feature string, label string, code int").write.mode(
-            "overwrite"
-        ).parquet(f"{path}/codes")
+        self.codes.write.mode("overwrite").parquet(f"{path}/codes")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "DemandModel":
-        codes: Codes = {f: {} for f in LABELLED}
-        for r in spark.read.parquet(f"{path}/codes").collect():
-            codes[r.feature][r.label] = r.code
+        codes = spark.read.schema(CODE_SCHEMA).parquet(f"{path}/codes")
         return cls(RandomForestRegressionModel.load(f"{path}/model"), codes)
 
     @classmethod

@@ -1,36 +1,36 @@
-"""Attribution of demand predictions: exact interventional Shapley values.
+"""Attribution of demand predictions: exact interventional Shapley values against a whole background.
 
 For a set S of features, v(S) is the mean prediction when the features in S come
-from the explained row and the others from each background row. With six
-features there are 64 sets, so every row meets a fixed number of feature
-vectors; they are scored by the model as one frame and reduced by one
-aggregation per explained row.
+from the explained row and the others from each background row. A row and the
+background meet in the leaves: a leaf is reached if the row meets its conditions
+on S and the background row those on the other features. So one pass counts, for
+every leaf, how many background rows meet which of its conditions, and a table
+of leaves x sets, whose size depends on the forest alone, gives the values of
+any row exactly. No row meets another row.
 """
 
+from collections.abc import Iterator
 from math import factorial
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.ml.demand import FEATURES, DemandModel
-from ledgerline.session import materialize
+from ledgerline.schemas import DEMAND_LABELS
+from ledgerline.session import materialize, scratch
 
-BACKGROUND_ROWS = 100
-IMPORTANCE_ROWS, BEESWARM_ROWS = 300, 200
-# How features are named in results.
-LABELS = dict(zip(FEATURES, ["Category", "Unit Price", "Discount %", "Region", "Sales Channel", "Month"]))
+LABELS = dict(zip(FEATURES, DEMAND_LABELS))
 _N = len(FEATURES)
-
-
-def sample_rows(rows: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """At most n rows drawn at random."""
-    return rows.withColumn("_draw", F.rand(seed)).orderBy("_draw").limit(n).drop("_draw")
+_SETS = 2**_N
+_BINS = [f"_bin_{f}" for f in FEATURES]
 
 
 def _weights(feature: int) -> list[float]:
     """Factor of v(S) in the feature's Shapley value, for the set with each bit mask."""
     out = []
-    for mask in range(2**_N):
+    for mask in range(_SETS):
         has = bool(mask >> feature & 1)
         others = mask.bit_count() - has
         share = factorial(others) * factorial(_N - 1 - others) / factorial(_N)
@@ -38,42 +38,134 @@ def _weights(feature: int) -> list[float]:
     return out
 
 
+class _Forest:
+    """Leaves of all trees as intervals of feature bins; bins are cut at the forest's own thresholds."""
+
+    def __init__(self, model: DemandModel, spark) -> None:
+        path = scratch(spark, "forest")
+        model.forest.write().save(path)
+        nodes = spark.read.parquet(f"{path}/data").select(
+            "treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild",
+            F.col("nodeData.split.featureIndex").alias("feature"),
+            F.try_element_at("nodeData.split.leftCategoriesOrThreshold", F.lit(1)).alias("cut"),
+        ).collect()  # at most trees * 2**(depth + 1) rows
+        cuts = [sorted({n.cut for n in nodes if n.leftChild >= 0 and n.feature == f}) for f in range(_N)]
+        self.cuts = [np.array(c) for c in cuts]
+        place = [{v: i for i, v in enumerate(c)} for c in cuts]
+        trees: dict[int, dict[int, object]] = {}
+        for n in nodes:
+            trees.setdefault(n.treeID, {})[n.id] = n
+        self.values: list[np.ndarray] = []
+        self.meets: list[list[np.ndarray]] = []  # by tree and feature: bin x leaf, the feature's bit if the bin is inside
+        for _, tree in sorted(trees.items()):
+            leaves, todo = [], [(0, [-1] * _N, [len(c) for c in cuts])]
+            while todo:
+                at, low, high = todo.pop()
+                n = tree[at]
+                if n.leftChild < 0:
+                    leaves.append((n.prediction, low, high))
+                    continue
+                k = place[n.feature][n.cut]
+                todo.append((n.leftChild, low, [min(h, k) if f == n.feature else h for f, h in enumerate(high)]))
+                todo.append((n.rightChild, [max(x, k) if f == n.feature else x for f, x in enumerate(low)], high))
+            self.values.append(np.array([v for v, _, _ in leaves]))
+            low, high = np.array([x for _, x, _ in leaves]), np.array([x for _, _, x in leaves])
+            self.meets.append([
+                (((b := np.arange(len(c) + 1)[:, None]) > low[:, f]) & (b <= high[:, f])).astype(np.uint8) << f
+                for f, c in enumerate(cuts)
+            ])
+
+    def bins(self) -> list[Column]:
+        """Of each feature, the number of cuts below its value."""
+        def below(f: str):
+            return lambda cut: cut < F.col(f)
+
+        return [
+            F.size(F.filter(F.array(*[F.lit(float(v)) for v in c]).cast("array<double>"), below(f))).alias(b)
+            for f, b, c in zip(FEATURES, _BINS, self.cuts)
+        ]
+
+    def masks(self, tree: int, bins: np.ndarray) -> np.ndarray:
+        """rows x leaves: the features on which a row meets a leaf's conditions."""
+        out = self.meets[tree][0][bins[:, 0]]
+        for f in range(1, _N):
+            out = out | self.meets[tree][f][bins[:, f]]
+        return out
+
+
+def _count(batches: Iterator[pd.DataFrame], forest: _Forest) -> Iterator[pd.DataFrame]:
+    """Of this task's background rows, by tree: leaf x set of conditions that are met."""
+    counts = [np.zeros(len(v) * _SETS) for v in forest.values]
+    for rows in batches:
+        bins, n = rows[_BINS].to_numpy(np.int64), rows["n"].to_numpy(float)
+        for at in range(0, len(bins), 2000):
+            part, copies = bins[at : at + 2000], n[at : at + 2000]
+            for t, total in enumerate(counts):
+                leaves = len(forest.values[t])
+                index = forest.masks(t, part).astype(np.int64) + np.arange(leaves) * _SETS
+                total += np.bincount(index.ravel(), np.repeat(copies, leaves), len(total))
+    yield pd.DataFrame({"tree": range(len(counts)), "counts": [c.tobytes() for c in counts]})
+
+
+def _table(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """leaf x set that a row meets x (base, prediction, six contributions): what the leaf adds to them."""
+    share = counts.reshape(-1, _SETS)
+    share = share / share[:1].sum()
+    for f in range(_N):  # rows that meet at least the set
+        for mask in range(_SETS):
+            if not mask >> f & 1:
+                share[:, mask] += share[:, mask | 1 << f]
+    factors = np.zeros((_SETS, 8))
+    factors[0, 0] = factors[_SETS - 1, 1] = 1.0
+    for f in range(_N):
+        factors[:, 2 + f] = _weights(f)
+    # A set S of the row's features counts if the row meets the leaf on all of S; the others come from the background.
+    added = share[:, [_SETS - 1 - s for s in range(_SETS)], None] * factors[None] * values[:, None, None]
+    for f in range(_N):  # sum over the subsets of what the row meets
+        for mask in range(_SETS):
+            if mask >> f & 1:
+                added[:, mask] += added[:, mask ^ 1 << f]
+    return added
+
+
 def explain(model: DemandModel, rows: DataFrame, background: DataFrame) -> DataFrame:
     """base_value, prediction and six contributions for each distinct feature row.
 
-    ``rows`` and ``background`` hold encoded features; the background is a sample
-    of at most BACKGROUND_ROWS rows. Repeated rows are explained once: join the
-    result on the features.
+    ``rows`` and ``background`` hold encoded features, as many as there are.
+    Repeated rows are explained once: join the result on the features. Without
+    background rows there is no value to start from, and all results are NaN.
     """
-    known = background.limit(BACKGROUND_ROWS).agg(F.collect_list(F.struct(*FEATURES)).alias("b")).scalar()
-    mask = F.col("mask")
-    mixed = [
-        F.when(mask.bitwiseAND(1 << i) != 0, F.col(f"x.{f}")).otherwise(F.col(f"b.{f}")).alias(f)
-        for i, f in enumerate(FEATURES)
-    ]
-    # Repeats go first, so copies never meet in one task. What is left fans out
-    # 6,400-fold per row and is therefore spread over all slots.
-    slots = 4 * rows.sparkSession.sparkContext.defaultParallelism
-    vectors = (
-        rows.select(*FEATURES).distinct().repartition(slots)
-        .select(F.struct(*FEATURES).alias("x"), F.explode(known).alias("b"))
-        .select("x", "b", F.explode(F.sequence(F.lit(0), F.lit(2**_N - 1))).alias("mask"))
-        .select("x", "mask", *mixed)
-    )
-    scored = model.predict(vectors).select("x", "mask", "prediction")
-    pick = lambda weights: F.element_at(F.array(*[F.lit(w) for w in weights]), mask + 1)
-    sums = scored.groupBy("x").agg(
-        F.count_if(mask == 0).alias("n"),
-        F.sum(F.when(mask == 0, F.col("prediction"))).alias("base"),
-        F.sum(F.when(mask == 2**_N - 1, F.col("prediction"))).alias("full"),
-        *[F.sum(F.col("prediction") * pick(_weights(i))).alias(f"phi_{f}") for i, f in enumerate(FEATURES)],
-    )
-    return sums.select(
-        "x.*",
-        (F.col("base") / F.col("n")).alias("base_value"),
-        (F.col("full") / F.col("n")).alias("prediction"),
-        *[(F.col(f"phi_{f}") / F.col("n")).alias(f"phi_{f}") for f in FEATURES],
-    )
+    spark = rows.sparkSession
+    forest = _Forest(model, spark)
+    shipped = spark.sparkContext.broadcast(forest)  # size fixed by trees and depth, as is the table below
+    known = background.select(*forest.bins()).groupBy(*_BINS).agg(F.count("*").alias("n"))
+    by_task = known.mapInPandas(lambda batches: _count(batches, shipped.value), "tree int, counts binary")
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(c) for c in group["counts"])
+        return pd.DataFrame({"tree": group["tree"][:1], "counts": [total.tobytes()]})
+
+    counted = by_task.groupBy("tree").applyInPandas(add, "tree int, counts binary").collect()  # a row for each tree
+    with np.errstate(invalid="ignore", divide="ignore"):
+        tables = {r.tree: _table(forest.values[r.tree], np.frombuffer(r.counts)) for r in counted}
+    tables = spark.sparkContext.broadcast([tables[t] for t in range(len(forest.values))])
+    out = ["base_value", "prediction", *[f"phi_{f}" for f in FEATURES]]
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            bins = part[_BINS].to_numpy(np.int64)
+            sums = np.zeros((len(bins), 8))
+            for at in range(0, len(bins), 1000):
+                for t, table in enumerate(tables.value):
+                    masks = shipped.value.masks(t, bins[at : at + 1000])
+                    sums[at : at + 1000] += table[np.arange(len(table)), masks].sum(1)
+            yield pd.concat([part[_BINS], pd.DataFrame(sums / len(tables.value), columns=out)], axis=1)
+
+    vectors = rows.select(*FEATURES).distinct().select(*FEATURES, *forest.bins())
+    schema = ", ".join([*[f"{b} int" for b in _BINS], *[f"{c} double" for c in out]])
+    # Rows with the same bins have the same values.
+    explained = vectors.select(*_BINS).distinct().mapInPandas(add_up, schema)
+    return vectors.join(explained, _BINS).select(*FEATURES, *out)
 
 
 def contributions(explained: DataFrame, *keep: str) -> DataFrame:
@@ -89,9 +181,14 @@ def contributions(explained: DataFrame, *keep: str) -> DataFrame:
     return explained.select(*keep, F.inline(F.array(*entries)))
 
 
-def importance(model: DemandModel, features: DataFrame, background: DataFrame, n: int = IMPORTANCE_ROWS) -> DataFrame:
-    """Mean absolute contribution of each feature over a sample of rows, smallest first."""
-    copies = materialize(sample_rows(features, n), "sample").groupBy(*FEATURES).agg(F.count("*").alias("copies"))
+def draw(rows: DataFrame, n: int | None) -> DataFrame:
+    """All rows, or n of them by a hash of their values, the same ones wherever they are stored."""
+    return rows if n is None else rows.orderBy(F.md5(F.concat_ws("|", *rows.columns)), *rows.columns).limit(n)
+
+
+def importance(model: DemandModel, features: DataFrame, background: DataFrame, n: int | None = None) -> DataFrame:
+    """Mean absolute contribution of each feature over all rows (or n of them), smallest first."""
+    copies = materialize(draw(features, n).groupBy(*FEATURES).agg(F.count("*").alias("copies")), "copies")
     explained = explain(model, copies, background).join(copies, FEATURES)
     return (
         contributions(explained, "copies")
@@ -101,8 +198,7 @@ def importance(model: DemandModel, features: DataFrame, background: DataFrame, n
     )
 
 
-def beeswarm(model: DemandModel, features: DataFrame, background: DataFrame, n: int = BEESWARM_ROWS) -> DataFrame:
-    """Row number, feature, its value and its contribution for a sample of rows."""
-    sample = materialize(sample_rows(features, n), "sample")
-    numbered = sample.withColumn("row_id", F.row_number().over(Window.orderBy(*FEATURES)))  # n rows
-    return contributions(explain(model, numbered, background).join(numbered, FEATURES), "row_id")
+def beeswarm(model: DemandModel, items: DataFrame, background: DataFrame, n: int | None = None) -> DataFrame:
+    """Feature, its value and its contribution for each item (or n of them); ``items`` has order_item_id and features."""
+    chosen = draw(items, n)
+    return contributions(explain(model, chosen, background).join(chosen, FEATURES), "order_item_id")

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.exprs import present
+from ledgerline.schemas import FORECAST_FEATURES as FEATURES
 
-FEATURES = ["trend", "month_sin", "month_cos", "lag_1", "lag_2", "lag_3"]
 SCHEMA = "month string, step int, forecasted_revenue double, lower_ci double, upper_ci double"
 MIN_HISTORY = 6
 LAGS = 3

@@ -2,7 +2,6 @@
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from math import ceil
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
@@ -12,11 +11,10 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.exprs import mean_of, present, total
 from ledgerline.ml.saved import load_or_train
+from ledgerline.schemas import SEGMENT_FEATURES as FEATURES
 
-FEATURES = ["recency", "frequency", "monetary", "discount_percentage", "is_returned"]
 KEYS = ["customer_id", "customer_name", "customer_segment"]
 RESTARTS = 10
-ROWS_PER_TASK = 50_000
 
 # Persona names.
 RETURN_RISK, VIP = "High Return Risk", "VIP High-Value"
@@ -66,9 +64,7 @@ class Segmenter:
         assembler = VectorAssembler(inputCols=FEATURES, outputCol="raw")
         raw = assembler.transform(features).select("raw").persist()
         scaler = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(raw)
-        # k-means runs dozens of short jobs: no more tasks in each than the rows need.
-        tasks = ceil(raw.count() / ROWS_PER_TASK) or 1
-        scaled = scaler.transform(raw).select("scaled").coalesce(tasks).persist()
+        scaled = scaler.transform(raw).select("scaled").persist()
         try:
             # Restarts are independent jobs over the same cached rows.
             starts = [

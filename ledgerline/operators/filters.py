@@ -48,5 +48,7 @@ def filter_targets(targets: DataFrame, filtered: DataFrame, filters: dict | None
 
 def restrict_customers(customers: DataFrame, filtered: DataFrame) -> DataFrame:
     """Customers that occur in the filtered fact, or all of them if none does."""
-    kept = customers.join(filtered.select("customer_id").distinct(), "customer_id", "left_semi")
-    return customers if kept.isEmpty() else kept
+    ids = filtered.select("customer_id").distinct().withColumn("occurs", F.lit(True))
+    # The join runs once; whether anything was found is a scalar subquery of the plan.
+    found = customers.select("customer_id").join(ids, "customer_id", "left_semi").agg(F.count("*")).scalar()
+    return customers.join(ids, "customer_id", "left").filter(F.col("occurs") | (found == 0)).drop("occurs")

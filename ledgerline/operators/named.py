@@ -3,6 +3,7 @@
 from collections.abc import Callable
 from importlib.resources import files
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,14 +52,27 @@ NAMED: dict[str, Callable[[DataFrame], DataFrame] | None] = {
 }
 
 
-def run_named(spark: SparkSession, name: str, args: dict | list | None = None) -> DataFrame:
-    """Run a named query with bind parameters. Unknown names raise FileNotFoundError."""
-    text = files("ledgerline") / "sql" / f"{name}.sql"
-    if name not in NAMED or not text.is_file():
-        raise FileNotFoundError(f"no named query {name!r}; there are {sorted(NAMED)}")
-    result = spark.sql(text.read_text(), args=args)
-    finish = NAMED[name]
-    return finish(result) if finish else result
+def run_named(
+    spark: SparkSession, name: str, args: dict | list | None = None, folder: str | None = None
+) -> DataFrame:
+    """Run a named query with bind parameters: the library's, or the text ``name``.sql of the caller's folder.
+
+    Unknown names raise FileNotFoundError. A caller's folder may be anywhere Spark can read.
+    """
+    if folder is None:
+        text = files("ledgerline") / "sql" / f"{name}.sql"
+        if name not in NAMED or not text.is_file():
+            raise FileNotFoundError(f"no named query {name!r}; there are {sorted(NAMED)}")
+        finish = NAMED[name]
+        result = spark.sql(text.read_text(), args=args)
+        return finish(result) if finish else result
+    try:
+        lines = spark.read.text(f"{folder}/{name}.sql", wholetext=True).collect()  # one text
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        raise FileNotFoundError(f"no text {name}.sql in {folder}") from error
+    return spark.sql("\n".join(r[0] for r in lines), args=args)
 
 
 def run_sql(spark: SparkSession, text: str, args: dict | list | None = None) -> DataFrame:

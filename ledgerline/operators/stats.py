@@ -6,11 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.quantiles import exact_quantiles
+from ledgerline.schemas import STATISTICS as NUMERIC
 
-NUMERIC = [
-    "gross_revenue", "net_revenue", "cost_amount", "gross_profit",
-    "profit_margin", "discount_percentage", "delay_days", "leakage_amount",
-]
 
 
 def describe(m: DataFrame, columns: list[str] = NUMERIC) -> DataFrame:

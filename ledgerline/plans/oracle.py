@@ -12,9 +12,11 @@ BLOCKS = {
                CASE WHEN o_orderpriority[1] IN ('1', '2') THEN 'Direct' WHEN o_orderpriority[1] = '3' THEN 'Partner'
                     WHEN o_orderpriority[1] IN ('4', '5') THEN 'Online' END AS sales_channel,
                (1 + ((date_diff('day', o_orderdate::DATE, li.first_ship) % 14) + 14) % 14)::INT AS delay_days,
-               (5 * round(li.least_discount * 100))::INT AS percent_off
+               (5 * round(li.least_discount * 100))::INT AS percent_off,
+               floor(o_totalprice * 100 + 0.5)::BIGINT AS price_cents, li.tax_cents
         FROM "orders"
-        JOIN (SELECT l_orderkey, min(l_suppkey) AS suppkey, min(l_shipdate::DATE) AS first_ship, min(l_discount) AS least_discount
+        JOIN (SELECT l_orderkey, min(l_suppkey) AS suppkey, min(l_shipdate::DATE) AS first_ship, min(l_discount) AS least_discount,
+                     sum(floor(l_extendedprice * l_tax * 100 + 0.5)::BIGINT) AS tax_cents
               FROM lineitem GROUP BY l_orderkey) li ON l_orderkey = o_orderkey
         LEFT JOIN supplier ON s_suppkey = li.suppkey
         LEFT JOIN nation ON n_nationkey = s_nationkey""",
@@ -52,22 +54,16 @@ BLOCKS = {
                CASE WHEN delay_days > 5 THEN 'Late Delivery' WHEN o_orderkey % 3 = 0 THEN 'Defective'
                     WHEN o_orderkey % 3 = 1 THEN 'Wrong Item' ELSE 'Unsatisfied' END AS return_reason
         FROM heads WHERE order_status = 'Returned'""",
-    "calendar": """
-        SELECT row_number() OVER (ORDER BY d) - 1 AS month_idx, month(d) AS month_num, strftime(d, '%Y-%m') AS month_text
-        FROM (SELECT unnest(generate_series(date_trunc('month', min(order_date)), date_trunc('month', max(order_date)),
-                                            INTERVAL 1 MONTH)) AS d FROM heads)""",
     "t_spend": """
-        SELECT concat_ws('-', 'MKT', region_id, month_text, channel) AS spend_id, region_id, month_text AS campaign_month,
-               channel AS marketing_channel,
-               (1500 + 100 * ((month_idx * 7 + rk * 13 + ch * 5) % 40) + 25 * ((month_idx * 11 + ch) % 17))::DECIMAL(18, 4) AS spend_amount
-        FROM calendar,
-             (SELECT r_regionkey AS rk, 'REG' || lpad((r_regionkey + 1)::VARCHAR, 2, '0') AS region_id FROM region),
-             (VALUES (0, 'SEO'), (1, 'PPC'), (2, 'Events'), (3, 'Email')) AS c(ch, channel)""",
+        SELECT concat_ws('-', 'MKT', region_id, strftime(order_date, '%Y-%m'), sales_channel) AS spend_id, region_id,
+               strftime(order_date, '%Y-%m') AS campaign_month, sales_channel AS marketing_channel,
+               (sum(tax_cents)::DECIMAL(18, 0) * 0.01)::DECIMAL(18, 4) AS spend_amount
+        FROM heads WHERE region_id IS NOT NULL GROUP BY region_id, strftime(order_date, '%Y-%m'), sales_channel""",
     "t_targets": """
-        SELECT concat_ws('-', 'TGT', region_id, month_text) AS target_id, region_id, month_text AS target_month,
-               ((60000 - 10000 * rk + 1000 * month_idx) * CASE WHEN month_num IN (11, 12) THEN 1.25 ELSE 1.00 END)::DECIMAL(18, 4) AS target_revenue
-        FROM calendar,
-             (SELECT r_regionkey AS rk, 'REG' || lpad((r_regionkey + 1)::VARCHAR, 2, '0') AS region_id FROM region)""",
+        SELECT concat_ws('-', 'TGT', region_id, target_month) AS target_id, region_id, target_month,
+               (sum(price_cents)::DECIMAL(18, 0) * 0.01)::DECIMAL(18, 4) AS target_revenue
+        FROM (SELECT region_id, price_cents, strftime(order_date + INTERVAL 1 YEAR, '%Y-%m') AS target_month FROM heads WHERE region_id IS NOT NULL)
+        WHERE target_month <= (SELECT strftime(max(order_date), '%Y-%m') FROM heads) GROUP BY region_id, target_month""",
     "joined": """
         SELECT i.*, p.product_name, p.category, p.base_price, p.cost_price,
                o.customer_id, o.sales_rep_id, o.region_id, o.order_date, o.shipping_date, o.order_status, o.sales_channel, o.delay_days,
@@ -252,8 +248,13 @@ def _d(*names: str) -> str:
     return ", ".join(f"coalesce(sum({n}), 0)::DOUBLE AS {n}" for n in names)
 
 
-def _counts(blocks: dict[str, str]) -> str:
-    return " UNION ALL ".join(f"SELECT '{n}' AS \"table\", count(*) AS row_count FROM {b}" for n, b in blocks.items())
+def _digests(rows: dict[str, tuple[str, list[tuple[str, str]]]]) -> str:
+    """Every cell of every row of tables, as a digest a row: {name: (block, [(column, type)])}."""
+    text = lambda c, t: f"""coalesce("{c}"::{'DECIMAL(18, 6)' if t == 'double' else 'VARCHAR'}::VARCHAR, '~')"""
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS \"table\", md5(concat_ws('|', {', '.join(text(*c) for c in columns)})) AS row_md5 FROM {block}"
+        for name, (block, columns) in rows.items()
+    )
 
 
 ITEM = ("order_item_id", "order_id", "product_id")
@@ -264,13 +265,17 @@ def _add(**bodies: str) -> None:
     BODIES.update(bodies)
 
 
-from ledgerline.schemas import MASTER_COLUMNS, TABLES  # noqa: E402
+from ledgerline.schemas import MASTER, MASTER_COLUMNS, TABLES  # noqa: E402
+
+_typed = lambda schema: [(f.name, f.dataType.simpleString()) for f in schema]
+_TABLE_ROWS = _digests({t: (b, _typed(TABLES[t])) for t, b in TABLE_BLOCKS.items()})
+_MASTER_ROWS = _digests({kind: ("m", _typed(MASTER)) for kind in ("parquet", "csv")})
 
 for _table, _block in TABLE_BLOCKS.items():
     BODIES[f"s2_star_{_table}"] = f"SELECT {_columns(*TABLES[_table].fieldNames())} FROM {_block}"
 
 _add(
-    s1_read_tables=_counts(TABLE_BLOCKS),
+    s1_read_tables=_TABLE_ROWS,
     s3_validate="""
         SELECT 'regions' AS "table", 'country' AS "column", 'missing column' AS error
         UNION ALL SELECT 'products', 'base_price', 'expected float, got string'
@@ -282,8 +287,8 @@ _add(
         FROM (SELECT DISTINCT * FROM t_items)""",
     s5_standardise_dates="""
         SELECT order_id, order_date, CASE WHEN delay_days <> 1 THEN shipping_date END AS shipping_date FROM t_orders""",
-    s6_write_tables=_counts(TABLE_BLOCKS),
-    s7_write_master=_counts({"parquet": "m", "csv": "m"}),
+    s6_write_tables=_TABLE_ROWS,
+    s7_write_master=_MASTER_ROWS,
     s8_view_monthly_summary=f"""
         SELECT "month", count(order_id) AS total_orders,
                {_d("gross_revenue", "discount_amount", "net_revenue", "cost_amount", "gross_profit")},
@@ -542,7 +547,9 @@ _add(
               FROM m GROUP BY 1 HAVING count(DISTINCT "month") < 6),
              (SELECT unnest(generate_series(1, 6)) AS step)""",
 )
-BODIES["s10_named_query_bind"] = BODIES["q6_revenue_leakage_by_category"]
+BODIES["s10_named_query_bind"] = """
+    SELECT region_name, count(*) AS items, sum(net_revenue)::DOUBLE AS net_revenue FROM m
+    WHERE discount_percentage > 0.20 AND sales_channel = 'Online' GROUP BY region_name"""
 
 
 def _overview(rows: str, goal: str) -> str:
@@ -563,4 +570,12 @@ BODIES["k15_leakage_kpis"] = """
     SELECT coalesce(sum(leakage_amount), 0)::DOUBLE AS total_leakage,
            coalesce(sum(leakage_amount)::DOUBLE / nullif(sum(net_revenue + pricing_leakage)::DOUBLE, 0), 0) AS leakage_rate FROM f"""
 
+# The same over the filtered fact; what is written over it above becomes the whole.
+for _name in ("k3_monthly_growth", "k5_region_against_target", "k10_customer_kpis", "k15_leakage_kpis", "k20_financial_statement"):
+    BODIES[f"{_name}_filtered"] = BODIES[_name]
+    BODIES[_name] = re.sub(
+        r"JOIN goal_f\b", "JOIN (SELECT coalesce(sum(target_revenue), 0)::DOUBLE AS goal FROM t_targets)",
+        re.sub(r"FROM f\b", "FROM m", BODIES[_name]),
+    )
+
 ORACLE = {name: _with(body) for name, body in BODIES.items()}

@@ -1,7 +1,7 @@
 """One entry per operator, run on a star directory: name -> (spark, sf_dir) -> DataFrame."""
 
-import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +14,8 @@ from ledgerline.operators import insights as ins
 from ledgerline.operators import kpi, rootcause, stats
 from ledgerline.operators import master as mst
 from ledgerline.operators.named import monthly_summary, run_named, run_sql
-from ledgerline.schemas import LEAKAGE_CAUSES
-from ledgerline.session import shared_dir
+from ledgerline.schemas import LEAKAGE_CAUSES, MASTER
+from ledgerline.session import scratch
 from ledgerline.sources import tables as src
 from ledgerline.sources import validation, warehouse
 from ledgerline.sources.warehouse import Warehouse, star_warehouse
@@ -52,18 +52,22 @@ def _round(df: DataFrame, digits: int, *columns: str) -> DataFrame:
 
 def _scratch(w: Warehouse, name: str) -> tuple[SparkSession, str]:
     spark = w.master.sparkSession
-    return spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    return spark, scratch(spark, name)
 
 
 # --- sources, sinks, validation -------------------------------------------
 
 
-def _table_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    rows = [df.agg(F.count("*").alias("row_count")).select(F.lit(n).alias("table"), "row_count") for n, df in tables.items()]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+def _digests(tables: dict[str, DataFrame]) -> DataFrame:
+    """A digest of all cells of each row of each table."""
+
+    def rows(name: str, df: DataFrame) -> DataFrame:
+        text = [
+            F.coalesce((F.col(c).cast("decimal(18,6)") if t == "double" else F.col(c)).cast("string"), F.lit("~")) for c, t in df.dtypes
+        ]
+        return df.select(F.lit(name).alias("table"), F.md5(F.concat_ws("|", *text)).alias("row_md5"))
+
+    return reduce(DataFrame.unionByName, [rows(n, df) for n, df in tables.items()])
 
 
 @query("s1_read_tables")
@@ -73,7 +77,7 @@ def _(w):
     for name, df in w.tables.items():
         stem = src.FILE_STEMS.get(name, name)
         df.write.option("header", True).csv(f"{path}/{stem}.csv")
-    return _table_counts(src.read_tables(spark, path))
+    return _digests(src.read_tables(spark, path))
 
 
 for _name in ("customers", "products", "regions", "reps", "orders", "order_items", "discounts", "returns",
@@ -111,18 +115,18 @@ def _(w):
 def _(w):
     spark, path = _scratch(w, "tables")
     warehouse.write_tables(w.tables, path)
-    return _table_counts(warehouse.stored_tables(spark, path))
+    return _digests(warehouse.stored_tables(spark, path))
 
 
 @query("s7_write_master")
 def _(w):
-    """Stored as Parquet folders and as CSV, then both counted."""
+    """Stored as Parquet folders and as CSV, both read back."""
     spark, path = _scratch(w, "master")
     warehouse.write_master(w.master, f"{path}/parquet")
     warehouse.write_master_csv(w.master, f"{path}/csv")
-    return _table_counts(
+    return _digests(
         {"parquet": warehouse.read_master(spark, f"{path}/parquet"),
-         "csv": spark.read.option("header", True).csv(f"{path}/csv")}
+         "csv": spark.read.schema(MASTER).option("header", True).csv(f"{path}/csv")}
     )
 
 
@@ -145,9 +149,13 @@ def _(w):
 
 @query("s10_named_query_bind")
 def _(w):
-    """Ad-hoc text run the way a named query is, over the fact and a base table."""
+    """A named text of the caller's own folder, with bound values."""
     w.register()
-    return run_named(w.master.sparkSession, "revenue_leakage_by_category")
+    spark, path = _scratch(w, "texts")
+    text = """SELECT region_name, count(*) AS items, CAST(sum(net_revenue) AS DOUBLE) AS net_revenue
+              FROM master_analytical_dataset WHERE discount_percentage > :least AND sales_channel = :channel GROUP BY region_name"""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{path}/deep_discounts.sql")
+    return run_named(spark, "deep_discounts", {"least": 0.20, "channel": "Online"}, folder=path)
 
 
 @query("s11_ad_hoc_sql")
@@ -289,16 +297,21 @@ _named("q6_revenue_leakage_by_category", "revenue_leakage_by_category")
 query("k1_overview")(lambda w: kpi.overview(w.master, w.tables["monthly_targets"]))
 query("k1_overview_filtered")(lambda w: kpi.overview(w.master, w.tables["monthly_targets"], FILTERS))
 query("k2_monthly_trend")(lambda w: kpi.monthly_trend(w.master))
-query("k3_monthly_growth")(lambda w: kpi.monthly_growth(w.master, FILTERS))
+query("k3_monthly_growth")(lambda w: kpi.monthly_growth(w.master))
+query("k3_monthly_growth_filtered")(lambda w: kpi.monthly_growth(w.master, FILTERS))
 query("k4_revenue_by_category")(lambda w: kpi.revenue_by_category(w.master))
 query("k5_region_against_target")(
+    lambda w: kpi.region_against_target(w.master, w.tables["monthly_targets"], w.tables["regions"])
+)
+query("k5_region_against_target_filtered")(
     lambda w: kpi.region_against_target(w.master, w.tables["monthly_targets"], w.tables["regions"], FILTERS)
 )
 query("k6_sales_bridge")(lambda w: kpi.sales_bridge(w.master))
 query("k7_channel_mix")(lambda w: kpi.channel_mix(w.master))
 query("k8_month_by_category")(lambda w: kpi.month_by_category(w.master))
 query("k9_revenue_hierarchy")(lambda w: kpi.revenue_hierarchy(w.master))
-query("k10_customer_kpis")(lambda w: kpi.customer_kpis(w.master, FILTERS))
+query("k10_customer_kpis")(lambda w: kpi.customer_kpis(w.master))
+query("k10_customer_kpis_filtered")(lambda w: kpi.customer_kpis(w.master, FILTERS))
 query("k11_value_histogram")(lambda w: _round(kpi.value_histogram(segments.rfm(w.master)), 4, "bin_start"))
 
 
@@ -317,11 +330,13 @@ def _(w):
     return kpi.worst_ten_products(w.master.sparkSession)
 
 
-query("k15_leakage_kpis")(lambda w: kpi.leakage_kpis(w.master, FILTERS))
+query("k15_leakage_kpis")(lambda w: kpi.leakage_kpis(w.master))
+query("k15_leakage_kpis_filtered")(lambda w: kpi.leakage_kpis(w.master, FILTERS))
 query("k16_leakage_by_cause")(lambda w: kpi.leakage_by_cause(w.master))
 query("k17_return_reasons")(lambda w: kpi.return_reasons(w.master))
 query("k18_return_rate_by_delay")(lambda w: kpi.return_rate_by_delay(w.master))
-query("k20_financial_statement")(lambda w: kpi.financial_statement(w.master, w.tables["monthly_targets"], FILTERS))
+query("k20_financial_statement")(lambda w: kpi.financial_statement(w.master, w.tables["monthly_targets"]))
+query("k20_financial_statement_filtered")(lambda w: kpi.financial_statement(w.master, w.tables["monthly_targets"], FILTERS))
 query("k21_leakage_summary")(lambda w: kpi.leakage_summary(w.master))
 
 # --- root cause and insights ----------------------------------------------
@@ -374,7 +389,7 @@ _fitted: dict[tuple, object] = {}
 
 def _fit(w: Warehouse, kind):
     """One fitted model per application and warehouse."""
-    key = (w.master.sparkSession.sparkContext.applicationId, id(w), kind)
+    key = (w.key or id(w), kind)
     if key not in _fitted:
         _fitted[key] = kind.train(w.master)
     return _fitted[key]
@@ -425,16 +440,15 @@ query("a10_short_history")(
 
 def _features(w: Warehouse):
     model = _fit(w, demand.DemandModel)
-    features = demand.encode(w.master, model.codes)
-    return model, features, explain.sample_rows(features, explain.BACKGROUND_ROWS)
+    items = demand.encode(w.master, model.codes, keep=("order_item_id",))
+    return model, items, items
 
 
 @query("a11_explain")
 def _(w):
-    """Attribution for one scenario per category, region and channel of the fact."""
-    model, _, background = _features(w)
-    rows = demand.encode(demand.scenario_grid(w.master, [0.1], [1.0], [6]), model.codes, unknown=0)
-    return explain.explain(model, rows, background)
+    """Attribution of every order item, against all items."""
+    model, items, background = _features(w)
+    return items.select("order_item_id", *demand.FEATURES).join(explain.explain(model, items, background), demand.FEATURES)
 
 
 query("a12_importance")(lambda w: explain.importance(*_features(w)))

@@ -88,3 +88,13 @@ MASTER = _struct(
     customer_ltv=MONEY, high_risk_customer=_i,
 )
 MASTER_COLUMNS = MASTER.fieldNames()
+
+# Columns of the statistics and features of the models, and how features are named in results.
+STATISTICS = [
+    "gross_revenue", "net_revenue", "cost_amount", "gross_profit", "profit_margin", "discount_percentage", "delay_days", "leakage_amount",
+]
+SEGMENT_FEATURES = ["recency", "frequency", "monetary", "discount_percentage", "is_returned"]
+ANOMALY_FEATURES = ["gross_revenue", "discount_percentage", "delay_days", "profit_margin", "is_returned"]
+DEMAND_FEATURES = ["category", "unit_price", "discount_percentage", "region_id", "sales_channel", "month_num"]
+DEMAND_LABELS = ["Category", "Unit Price", "Discount %", "Region", "Sales Channel", "Month"]
+FORECAST_FEATURES = ["trend", "month_sin", "month_cos", "lag_1", "lag_2", "lag_3"]

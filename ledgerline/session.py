@@ -1,6 +1,5 @@
 """Session settings and the shared folder that intermediate tables go to."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,17 +37,15 @@ def build_session(master: str = "local[*]", app: str = "ledgerline", **conf) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Where it is unset, a temporary folder is used on a local master (tests, a
-    laptop); on a cluster that would be machine-local, so it is an error there.
+    Where it is unset, a folder in the warehouse, which is shared like the tables in it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="ledgerline-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return (configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/_intermediate").rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -58,7 +55,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     columnar, and gives later joins a true size to plan with.
     """
     spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    path = f"{shared_dir(spark)}/{app}/{name}-{uuid.uuid4().hex[:12]}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 from ledgerline.functions.exprs import money
 from ledgerline.schemas import PERCENT, TABLES
 
-# Order status, sales channel and marketing channel vocabulary.
+# Order status, sales channel and return reason vocabulary.
 STATUS = {"F": "Completed", "O": "Returned", "P": "Cancelled"}
 CHANNEL = {"1": "Direct", "2": "Direct", "3": "Partner", "4": "Online", "5": "Online"}
-MARKETING = ["SEO", "PPC", "Events", "Email"]
 REASONS = ["Defective", "Wrong Item", "Unsatisfied"]
 
 
@@ -28,6 +27,11 @@ def _cents(name: str) -> Column:
     return F.rint(F.col(name) * 100).cast("bigint")
 
 
+def _whole(number: Column) -> Column:
+    """Rounded to a whole number, halves up."""
+    return F.floor(number + 0.5).cast("bigint")
+
+
 def _region_id(key: str) -> Column:
     return F.concat(F.lit("REG"), F.lpad((F.col(key) + 1).cast("string"), 2, "0"))
 
@@ -42,6 +46,7 @@ def order_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.min("l_suppkey").alias("suppkey"),
             F.min(F.to_date("l_shipdate")).alias("first_ship"),
             F.min("l_discount").alias("least_discount"),
+            F.sum(_whole(F.col("l_extendedprice") * F.col("l_tax") * 100)).alias("tax_cents"),
         )
     )
     rep_region = (
@@ -66,21 +71,12 @@ def order_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
             _mapping(CHANNEL)[F.substring("o_orderpriority", 1, 1)].alias("sales_channel"),
             delay.cast("int").alias("delay_days"),
             (F.lit(5) * F.rint(F.col("least_discount") * 100)).cast("int").alias("percent_off"),
+            _whole(F.col("o_totalprice") * 100).alias("price_cents"),
+            "tax_cents",
         )
     )
 
 
-def _calendar(heads: DataFrame) -> DataFrame:
-    """Every month between the first and the last order, numbered from 0."""
-    span = heads.agg(
-        F.trunc(F.min("order_date"), "month").alias("first"),
-        F.trunc(F.max("order_date"), "month").alias("last"),
-    )
-    return span.select(
-        F.posexplode(F.expr("sequence(first, last, interval 1 month)")).alias("month_idx", "day")
-    ).select("month_idx", F.month("day").alias("month_num"), F.date_format("day", "yyyy-MM").alias("month"))
-
-
 def star_tables(
     spark: SparkSession, sf_dir: str, stage: Callable[[DataFrame], DataFrame] = lambda df: df
 ) -> dict[str, DataFrame]:
@@ -144,31 +140,22 @@ def star_tables(
         F.when(F.col("delay_days") > 5, "Late Delivery").otherwise(by_key).alias("return_reason"),
     )
 
-    # Months times regions: each region carries the whole calendar as one array.
-    months = _calendar(heads).agg(
-        F.sort_array(F.collect_list(F.struct("month_idx", "month_num", "month"))).alias("months")
-    )
-    by_month = read("region").select(
-        "r_regionkey", _region_id("r_regionkey").alias("region_id"), F.inline(months.scalar())
-    )
-    channel = F.posexplode(F.array(*[F.lit(c) for c in MARKETING])).alias("ch", "marketing_channel")
-    amount = (
-        1500
-        + 100 * ((F.col("month_idx") * 7 + F.col("r_regionkey") * 13 + F.col("ch") * 5) % 40)
-        + 25 * ((F.col("month_idx") * 11 + F.col("ch")) % 17)
-    )
-    spend = by_month.select("*", channel).select(
-        F.concat_ws("-", F.lit("MKT"), "region_id", "month", "marketing_channel").alias("spend_id"),
-        "region_id", F.col("month").alias("campaign_month"), "marketing_channel",
-        money(amount.cast("decimal(18,0)")).alias("spend_amount"),
-    )
-    base = (60000 - 10000 * F.col("r_regionkey") + 1000 * F.col("month_idx")).cast("decimal(18,0)")
-    holiday = F.when(F.col("month_num") >= 11, F.lit("1.25").cast("decimal(3,2)")).otherwise(
-        F.lit("1.00").cast("decimal(3,2)")
-    )
-    targets = by_month.select(
-        F.concat_ws("-", F.lit("TGT"), "region_id", "month").alias("target_id"),
-        "region_id", F.col("month").alias("target_month"), money(base * holiday).alias("target_revenue"),
+    # What a region spends in a month: the tax on its orders, by their sales channel.
+    dollars = lambda cents: money(F.sum(cents).cast("decimal(18,0)") * F.lit("0.01").cast("decimal(3,2)"))
+    month = F.date_format("order_date", "yyyy-MM")
+    placed = heads.filter("region_id IS NOT NULL")
+    spend = (
+        placed.groupBy("region_id", month.alias("campaign_month"), F.col("sales_channel").alias("marketing_channel"))
+        .agg(dollars("tax_cents").alias("spend_amount"))
+        .withColumn("spend_id", F.concat_ws("-", F.lit("MKT"), "region_id", "campaign_month", "marketing_channel"))
+    )
+    # A month's target: what the region's orders came to in the same month of the year before.
+    last = heads.agg(F.date_format(F.max("order_date"), "yyyy-MM")).scalar()
+    targets = (
+        placed.groupBy("region_id", F.date_format(F.add_months("order_date", 12), "yyyy-MM").alias("target_month"))
+        .agg(dollars("price_cents").alias("target_revenue"))
+        .filter(F.col("target_month") <= last)
+        .withColumn("target_id", F.concat_ws("-", F.lit("TGT"), "region_id", "target_month"))
     )
     tables = {
         "customers": customers, "products": products, "regions": regions, "reps": reps,

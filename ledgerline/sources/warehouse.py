@@ -20,6 +20,7 @@ class Warehouse:
 
     tables: dict[str, DataFrame]
     master: DataFrame
+    key: tuple[str, str] | None = None  # application and source folder, of a warehouse that is kept
 
     def register(self) -> None:
         """Expose everything to SQL under the names the named queries use."""
@@ -92,7 +93,7 @@ def star_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
         out = f"{shared_dir(spark)}/{key[0]}/star-{slug}"
         tables = star_tables(spark, sf_dir, stage=partial(materialize, name="order-heads"))
         write_master(build_master(tables), f"{out}/master")
-        _open[key] = Warehouse(tables, read_master(spark, f"{out}/master"))
+        _open[key] = Warehouse(tables, read_master(spark, f"{out}/master"), key)
     return _open[key]
 
 

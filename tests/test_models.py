@@ -92,10 +92,10 @@ def test_demand_beats_the_mean(star, model):
 
 def test_unknown_labels(spark):
     m = facts(spark, [{"category": "Hardware", "region_name": "Mars", "sales_channel": None}])
-    row = demand.training_rows(m, demand.CODES).first()
+    row = demand.training_rows(m, demand.fixed_codes(spark)).first()
     assert (row.category, row.region_id, row.sales_channel) == (1.0, -1.0, -1.0)
     assert (row.unit_price, row.discount_percentage, row.month_num, row.label) == (0.0, 0.0, 1.0, 1.0)
-    assert demand.encode(m, demand.CODES, unknown=0).first().region_id == 0.0
+    assert demand.encode(m, demand.fixed_codes(spark), unknown=0).first().region_id == 0.0
 
 
 def test_scenario_scores_and_economics(spark, model, tmp_path):
@@ -112,7 +112,7 @@ def test_scenario_scores_and_economics(spark, model, tmp_path):
     path = str(tmp_path / "demand")
     model.save(path)
     again = demand.DemandModel.load(spark, path)
-    assert again.codes == model.codes
+    assert sorted(again.codes.collect()) == sorted(model.codes.collect())
     assert again.score(scenarios).collect() == rows
 
 
@@ -144,13 +144,29 @@ def test_shapley_equals_all_orderings(star, model):
         assert r.base_value + sum(r[f"phi_{f}"] for f in demand.FEATURES) == pytest.approx(r.prediction, abs=1e-9)
 
 
+def test_whole_background(star, model):
+    """The base is the mean prediction over all items; every distinct vector is explained and adds up."""
+    features = demand.encode(star.master, model.codes)
+    got = explain.explain(model, features, features)
+    row = got.agg(
+        F.count("*").alias("n"), F.min("base_value").alias("low"), F.max("base_value").alias("high"),
+        F.max(F.abs(F.col("base_value") + sum(F.col(f"phi_{f}") for f in demand.FEATURES) - F.col("prediction"))).alias("gap"),
+    ).first()
+    assert row.n == features.distinct().count() and row.gap < 1e-9
+    mean = model.predict(features).agg(F.avg("prediction")).first()[0]
+    assert row.low == pytest.approx(mean, abs=1e-9) and row.high == pytest.approx(mean, abs=1e-9)
+    off = got.join(model.predict(features.distinct()).withColumnRenamed("prediction", "p"), demand.FEATURES)
+    assert off.agg(F.max(F.abs(F.col("p") - F.col("prediction")))).first()[0] < 1e-9
+
+
 def test_importance_and_beeswarm(star, model):
     features = demand.encode(star.master, model.codes)
-    background = explain.sample_rows(features, 5)
-    rows = explain.importance(model, features, background, n=20).collect()
+    rows = explain.importance(model, features, features, n=20).collect()
     assert len(rows) == 6 and [r.importance for r in rows] == sorted(r.importance for r in rows)
-    swarm = explain.beeswarm(model, features, background, n=10)
-    assert swarm.count() == 60 and swarm.select("row_id").distinct().count() == 10
+    items = demand.encode(star.master, model.codes, keep=("order_item_id",))
+    swarm = explain.beeswarm(model, items, features, n=10)
+    assert swarm.count() == 60 and swarm.select("order_item_id").distinct().count() == 10
+    assert explain.beeswarm(model, items, features).count() == 6 * star.master.count()
 
 
 def history(n, start=2023):
