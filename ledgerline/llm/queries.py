@@ -72,7 +72,28 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-@query("op8_decontamination")
+@query("op8_decontamination", r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+    b AS (SELECT DISTINCT item_id::VARCHAR AS item_id,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+    item_windows AS (
+        SELECT DISTINCT item_id, n, array_to_string(words[s + 1 : s + n], ' ') AS win
+        FROM (SELECT item_id, words, least(13, len(words)) AS n, unnest(range(len(words) - least(13, len(words)) + 1)) AS s FROM b WHERE len(words) > 0)),
+    lengths AS (SELECT DISTINCT n FROM item_windows),
+    doc_windows AS (
+        SELECT doc_id, n, s, array_to_string(words[s + 1 : s + n], ' ') AS win
+        FROM (SELECT doc_id, words, n, unnest(range(greatest(len(words) - n + 1, 0))) AS s FROM d, lengths)),
+    found AS (SELECT * FROM doc_windows WHERE (n, win) IN (SELECT (n, win) FROM item_windows)),
+    hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS place FROM found) GROUP BY doc_id),
+    items AS (
+        SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+        FROM (SELECT DISTINCT doc_id, item_id FROM found JOIN item_windows USING (n, win)) GROUP BY doc_id)
+    SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+    FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+""")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
