@@ -45,6 +45,11 @@ def file_of(path: str) -> bytes:
         return f.read()
 
 
+def small(df: DataFrame) -> DataFrame:
+    """Broadcast a stored frame if it is counted to be small; a larger one is joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def keep_ids(df: DataFrame, ids: DataFrame, column: str, anti: bool = False) -> DataFrame:
     """Rows of `df` whose `column` is (not) in `ids`, a stored frame of one column.
 

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import BROADCAST_ROWS
+from ledgerline.llm.common import small
 from ledgerline.session import materialize
 
 # explode_outer throughout: for explode, Catalyst adds a filter on the array's size below, which would compute the chained
@@ -23,7 +23,6 @@ from ledgerline.session import materialize
 
 #: Everything that is no word character: ASCII without digits and letters.
 _GAP = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-_WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SCHEMA = "doc_id, n_words, n_hit, n_items, items_sha256, contaminated"
 
@@ -78,15 +77,16 @@ def _windows(df: DataFrame, starts: Column, length: int) -> Column:
     ))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast a stored frame if it is counted to be small; a larger one is joined by a shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _printed(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """(key, n_words, grams): the fingerprints of each document's windows of `length` words."""
+    return _with_fingerprints(_with_grams(docs, gram), length - gram + 1).select("key", "n_words", "grams")
 
 
-def _found(docs: DataFrame, items: DataFrame, length: int, gram: int) -> DataFrame:
-    """(key, n_words, start, window): each place of a document where a window of `items` stands, of `length` words.
+def _found(docs: DataFrame, printed: DataFrame, items: DataFrame, length: int, gram: int) -> DataFrame:
+    """(key, start, length, window): each place of a document where a window of `items` stands, of `length` words.
 
-    `docs` has key and words; `items` has item_id, words and n_words, all of at least `length` words.
+    `docs` has key and words, and `printed` its fingerprints; `items` has item_id, words and n_words, all of at least
+    `length` words.
     """
     per_window = length - gram + 1
     prints = materialize(
@@ -94,8 +94,8 @@ def _found(docs: DataFrame, items: DataFrame, length: int, gram: int) -> DataFra
         "prints",
     )
     shared = materialize(
-        _with_fingerprints(_with_grams(docs, gram), per_window).select("key", F.explode_outer("grams").alias("print"))
-        .join(_small(prints), "print", "left_semi")
+        printed.select("key", F.explode_outer("grams").alias("print"))
+        .join(small(prints), "print", "left_semi")
         .groupBy("key").agg(F.collect_set("print").alias("prints")),
         "shared",
     )
@@ -104,7 +104,7 @@ def _found(docs: DataFrame, items: DataFrame, length: int, gram: int) -> DataFra
         .select("w.window").distinct(),
         "windows",
     )
-    suspects = _with_grams(docs.join(_small(shared), "key"), gram)
+    suspects = _with_grams(docs.join(small(shared), "key"), gram)
     places = F.filter(
         F.transform("grams", lambda g, i: F.when(F.array_contains("prints", g), i)), lambda i: i.isNotNull()
     )
@@ -116,7 +116,7 @@ def _found(docs: DataFrame, items: DataFrame, length: int, gram: int) -> DataFra
     return (
         extended.select("key", F.explode_outer(_windows(extended, F.col("starts"), length)).alias("w"))
         .select("key", "w.start", "w.window")
-        .join(_small(windows), "window", "left_semi")
+        .join(small(windows), "window", "left_semi")
         .select("key", "start", F.lit(length).alias("length"), "window")
     )
 
@@ -138,15 +138,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram:
         "items",
     )
     short = [r[0] for r in items.where(F.col("n_words") < window).select("n_words").distinct().collect()]  # < window values
-    passes = [(items.where(F.col("n_words") >= window), window, gram)]
-    passes += [(items.where(F.col("n_words") == n), n, n) for n in sorted(short)]
+    # Stored: the fingerprints are a small part of the text, and the number of words is asked for again in the end.
+    stored = materialize(_printed(read, window, gram), "printed")
+    passes = [(stored, items.where(F.col("n_words") >= window), window, gram)]
+    passes += [(_printed(read, n, n), items.where(F.col("n_words") == n), n, n) for n in sorted(short)]
     found = materialize(
-        reduce(DataFrame.union, [_found(read, some, length, gram) for some, length, gram in passes]).distinct(), "found"
+        reduce(DataFrame.union, [_found(read, printed, some, length, k) for printed, some, length, k in passes]).distinct(), "found"
     )
     of_items = [
         some.select("item_id", F.explode_outer(_windows(some, F.sequence(F.lit(0), F.col("n_words") - length), length)).alias("w"))
         .select("item_id", F.lit(length).alias("length"), "w.window")
-        for some, length, _ in passes
+        for _, some, length, _ in passes
     ]
     items_hit = (
         found.select("key", "length", "window").distinct()
@@ -172,9 +174,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram:
         .join(items_hit, "key")
         .select("key", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("sha"))
     )
-    every = docs.select(key, F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0))
-    return every.join(_small(materialize(hits, "hits")), "key", "left").select(
+    return stored.select("key", "n_words").join(small(materialize(hits, "hits")), "key", "left").select(
         F.col("key.doc_id").alias("doc_id"), F.col("n_words").cast("long").alias("n_words"),
         n_hit.cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("items_sha256"),

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm import golomb
-from ledgerline.llm.common import BROADCAST_ROWS, arrow_map, keep_ids
+from ledgerline.llm.common import arrow_map, keep_ids, small
 from ledgerline.session import materialize
 
 SPACE = b" \t\n\x0b\x0c\r"
@@ -117,8 +117,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         F.min(F.struct((-F.col("n_chars")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"))).alias("first")
     )
     groups = materialize(groups.join(first, "sha").select("sha", "group_size", F.col("first.c").alias("keep_id")), "groups")
-    groups = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups
-    return narrow.join(groups, "sha", "left").select(
+    return narrow.join(small(groups), "sha", "left").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),

@@ -12,7 +12,7 @@ from llm.corpus_rows import EDGES, documents  # noqa: F401
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerline.llm import decontaminate, html_text, id_files, quality, rans, url_templates
+from ledgerline.llm import common, decontaminate, html_text, id_files, quality, rans, url_templates
 from ledgerline.llm.decision_tree import decide, train
 from ledgerline.llm.html_labels import PAGES
 from ledgerline.llm.kneser_ney import CLASSES, Coding, class_of, discounts, unigram, TOKEN
@@ -159,7 +159,7 @@ def test_decontamination(documents, spark):
 
 
 def test_decontamination_by_shuffles_only(documents, spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
     passage = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
     docs = [(1, f"before {passage} after"), (2, passage[:40]), (3, None)]
     bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
