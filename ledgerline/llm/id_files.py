@@ -8,6 +8,7 @@ table, kept as a Parquet table beside them.
 """
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,6 +27,17 @@ LONGEST_CACHED = 64
 #: Where cutting off signs is not safe: signs in a row are one pre-token, an apostrophe begins one with the letters behind
 #: it, `_` is a sign to the model, and control characters and letters beyond Latin (and İ) may turn into signs.
 _SIGNS = re.compile(r"[^\w\s][^\w\s]|['_]|[^\t\n -~¡-\u012F\u0131-\u024F]")
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-\u012F\u0131-\u024F]+")
+
+
+def _byte_letters() -> list[str]:
+    """A printable character for each byte, as byte-level models write them: its own one, or the next from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(0x100, 0x200))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
+_BYTE_LETTERS = _byte_letters()
 MANIFEST = "path string, position long, size long, shard int, first long, n_ids long"
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -50,6 +62,7 @@ class Tokenizer:
                 raise ValueError("this tokenizer keeps white space; its texts can't be cut")
         some = ("word", "É1", "Az")
         self.splits_signs = all(self._ids(w + s) == self._ids(w.lower()) + self._ids(s) for w in some for s in ".,")
+        self.is_plain = all(self._plain(w) == self._ids(w) for w in ("word", "Éclair", "WORDS", "größe", "thaninbleß"))
         self.cache: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}  # the cache before; what is asked for again moves to the new one
         self.cache_entries = cache_entries
@@ -57,10 +70,16 @@ class Tokenizer:
     def _ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
+    def _plain(self, word: str) -> list[int]:
+        """Ids of a word of Latin letters: one pre-token, which goes to the library's model directly."""
+        letters = "".join(map(_BYTE_LETTERS.__getitem__, word.lower().encode()))
+        return [t.id for t in self.library.model.tokenize(letters)]
+
     def _missed(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            ids = np.array(self._ids(word), "<u4").tobytes()
+            found = self._plain(word) if self.is_plain and _PLAIN.fullmatch(word) else self._ids(word)
+            ids = struct.pack(f"<{len(found)}I", *found)
         if len(word) <= LONGEST_CACHED:
             if len(self.cache) >= self.cache_entries:
                 self.old, self.cache = self.cache, {"": b""}
@@ -193,7 +212,7 @@ def _read(source, freq) -> Iterator[dict]:
 
 def write_ids(
     docs: DataFrame, model_path: str, folder: str, end_id: int = 2, vocabulary: int | None = None,
-    block_ids: int = 1 << 17, cache_entries: int = 500_000,
+    block_ids: int = 1 << 18, cache_entries: int = 700_000,
 ) -> DataFrame:
     """Encode every text, write the files to `folder`, which all executors share, and return their manifest.
 

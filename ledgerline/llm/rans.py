@@ -11,7 +11,7 @@ import zlib
 import numpy as np
 
 SCALE = 20  # frequencies add up to 2**SCALE
-LANES = 512
+LANES = 1024
 EVERY = 128
 _LOW = np.uint64(1 << 31)
 _HEAD = np.dtype([("magic", "<u4"), ("n", "<u4"), ("words", "<u4"), ("lanes", "<u4"), ("every", "<u4"), ("marks", "<u4")])
