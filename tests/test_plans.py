@@ -51,3 +51,14 @@ def test_no_library_code_checkpoints_locally():
     root = pathlib.Path(__file__).resolve().parents[1] / "ledgerline"
     for path in root.rglob("*.py"):
         assert "localCheckpoint" not in path.read_text(), path
+
+
+@pytest.mark.parametrize("name", ["q1_top_customers", "q2_top_products", "m17_customer_order_rank", "f3_restrict_customers", "k12_top_customers_filtered"])
+def test_building_a_plan_starts_no_job(spark, star, name):
+    context = spark.sparkContext
+    context.setJobGroup(f"plan-{name}", name)
+    try:
+        QUERIES[name](spark, SF_DIR)
+        assert list(context.statusTracker().getJobIdsForGroup(f"plan-{name}")) == []
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
