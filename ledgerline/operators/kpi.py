@@ -55,10 +55,11 @@ def _by(m: DataFrame, *keys: str, **sums: str) -> DataFrame:
     return m.filter(present(*keys)).groupBy(*keys).agg(*[total(c).alias(a) for a, c in sums.items()])
 
 
-def _with_share(df: DataFrame, value: str) -> DataFrame:
-    """Share of the grand total, which is one number taken from the grouped rows."""
-    whole = df.select(F.sum(value)).scalar()
-    return df.withColumn("share", ratio(F.col(value), whole))
+def _with_share(m: DataFrame, key: str, value: str) -> DataFrame:
+    """Sums of a money column by key, and their shares of the grand total, from the exact sums."""
+    exact = m.filter(present(key)).groupBy(key).agg(F.sum(value).alias("exact"))
+    whole = exact.agg(F.sum("exact")).scalar()
+    return exact.select(key, F.coalesce(F.col("exact").cast("double"), F.lit(0.0)).alias(value), ratio(F.col("exact"), whole).alias("share"))
 
 
 def forecast_total(m: DataFrame, forecast: DataFrame | None = None) -> DataFrame:
@@ -112,7 +113,7 @@ def monthly_growth(m: DataFrame, filters: dict | None = None) -> DataFrame:
 
 
 def revenue_by_category(m: DataFrame, filters: dict | None = None) -> DataFrame:
-    return _with_share(_by(filter_master(m, filters), "category", net_revenue="net_revenue"), "net_revenue")
+    return _with_share(filter_master(m, filters), "category", "net_revenue")
 
 
 def region_against_target(
@@ -142,7 +143,7 @@ def sales_bridge(m: DataFrame, filters: dict | None = None) -> DataFrame:
 
 
 def channel_mix(m: DataFrame, filters: dict | None = None) -> DataFrame:
-    return _with_share(_by(filter_master(m, filters), "sales_channel", net_revenue="net_revenue"), "net_revenue")
+    return _with_share(filter_master(m, filters), "sales_channel", "net_revenue")
 
 
 def month_by_category(m: DataFrame, filters: dict | None = None) -> DataFrame:
