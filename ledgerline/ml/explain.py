@@ -56,7 +56,9 @@ class _Forest:
         for n in nodes:
             trees.setdefault(n.treeID, {})[n.id] = n
         self.values: list[np.ndarray] = []
-        self.meets: list[list[np.ndarray]] = []  # by tree and feature: bin x leaf, the feature's bit if the bin is inside
+        # A tree knows only some cuts; bins that it can't tell apart are one cell.
+        self.cells: list[list[np.ndarray]] = []  # by tree and feature: the cell of each bin
+        self.meets: list[list[np.ndarray]] = []  # by tree and feature: cell x leaf, the feature's bit if the cell is inside
         for _, tree in sorted(trees.items()):
             leaves, todo = [], [(0, [-1] * _N, [len(c) for c in cuts])]
             while todo:
@@ -70,9 +72,11 @@ class _Forest:
                 todo.append((n.rightChild, [max(x, k) if f == n.feature else x for f, x in enumerate(low)], high))
             self.values.append(np.array([v for v, _, _ in leaves]))
             low, high = np.array([x for _, x, _ in leaves]), np.array([x for _, _, x in leaves])
+            known = [np.unique([place[n.feature][n.cut] for n in tree.values() if n.leftChild >= 0 and n.feature == f]).astype(int) for f in range(_N)]
+            self.cells.append([np.searchsorted(k, np.arange(len(c) + 1)) for k, c in zip(known, cuts)])
             self.meets.append([
-                (((b := np.arange(len(c) + 1)[:, None]) > low[:, f]) & (b <= high[:, f])).astype(np.uint8) << f
-                for f, c in enumerate(cuts)
+                (((b := np.append(k, len(c))[:, None]) > low[:, f]) & (b <= high[:, f])).astype(np.uint8) << f
+                for f, (k, c) in enumerate(zip(known, cuts))
             ])
 
     def bins(self) -> list[Column]:
@@ -85,12 +89,19 @@ class _Forest:
             for f, b, c in zip(FEATURES, _BINS, self.cuts)
         ]
 
-    def masks(self, tree: int, bins: np.ndarray) -> np.ndarray:
-        """rows x leaves: the features on which a row meets a leaf's conditions."""
-        out = self.meets[tree][0][bins[:, 0]]
-        for f in range(1, _N):
-            out = out | self.meets[tree][f][bins[:, f]]
-        return out
+    def masks(self, tree: int, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For the different rows that a tree sees, rows x leaves: the features on which a row meets a leaf's conditions;
+        and which of them each of the given rows is."""
+        sizes = [len(m) for m in self.meets[tree]]
+        code = np.zeros(len(bins), np.int64)
+        for f, n in enumerate(sizes):
+            code = code * n + self.cells[tree][f][bins[:, f]]
+        seen, which = np.unique(code, return_inverse=True)
+        out = np.zeros((len(seen), len(self.values[tree])), np.uint8)
+        for f in reversed(range(_N)):
+            out |= self.meets[tree][f][seen % sizes[f]]
+            seen = seen // sizes[f]
+        return out, which
 
 
 def _count(batches: Iterator[pd.DataFrame], forest: _Forest) -> Iterator[pd.DataFrame]:
@@ -98,12 +109,12 @@ def _count(batches: Iterator[pd.DataFrame], forest: _Forest) -> Iterator[pd.Data
     counts = [np.zeros(len(v) * _SETS) for v in forest.values]
     for rows in batches:
         bins, n = rows[_BINS].to_numpy(np.int64), rows["n"].to_numpy(float)
-        for at in range(0, len(bins), 2000):
-            part, copies = bins[at : at + 2000], n[at : at + 2000]
-            for t, total in enumerate(counts):
-                leaves = len(forest.values[t])
-                index = forest.masks(t, part).astype(np.int64) + np.arange(leaves) * _SETS
-                total += np.bincount(index.ravel(), np.repeat(copies, leaves), len(total))
+        for t, total in enumerate(counts):
+            leaves = len(forest.values[t])
+            masks, which = forest.masks(t, bins)
+            copies = np.bincount(which, n, len(masks))
+            index = masks.astype(np.int64) + np.arange(leaves) * _SETS
+            total += np.bincount(index.ravel(), np.repeat(copies, leaves), len(total))
     yield pd.DataFrame({"tree": range(len(counts)), "counts": [c.tobytes() for c in counts]})
 
 
@@ -155,10 +166,12 @@ def explain(model: DemandModel, rows: DataFrame, background: DataFrame) -> DataF
         for part in batches:
             bins = part[_BINS].to_numpy(np.int64)
             sums = np.zeros((len(bins), 8))
-            for at in range(0, len(bins), 1000):
-                for t, table in enumerate(tables.value):
-                    masks = shipped.value.masks(t, bins[at : at + 1000])
-                    sums[at : at + 1000] += table[np.arange(len(table)), masks].sum(1)
+            for t, table in enumerate(tables.value):
+                masks, which = shipped.value.masks(t, bins)
+                added = np.zeros((len(masks), 8))
+                for leaf, mask in zip(table, np.ascontiguousarray(masks.T)):  # a leaf's part of the table is small
+                    added += leaf.take(mask, axis=0)
+                sums += added[which]
             yield pd.concat([part[_BINS], pd.DataFrame(sums / len(tables.value), columns=out)], axis=1)
 
     vectors = rows.select(*FEATURES).distinct().select(*FEATURES, *forest.bins())
