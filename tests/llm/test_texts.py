@@ -102,6 +102,17 @@ def test_id_files(documents, spark):
     assert id_files.round_trip(documents([]), WORDS).count() == 0
 
 
+def test_tokenizer_is_the_library():
+    tokenizer = id_files.Tokenizer(open(WORDS, "rb").read(), cache_entries=300)
+    assert tokenizer.splits_signs and tokenizer.is_plain
+    rng = random.Random(5)
+    some = [*"ab,.AB1ǅŉſK \n\t'_-!É́éßΣσİ中　\xa0\x1f  ", "word", "'s", "The ", ", ", ". ", "<|endoftext|>", " <|startoftext|>"]
+    for _ in range(6000):
+        text = "".join(rng.choice(some) for _ in range(rng.randint(0, 14)))
+        want = np.array(tokenizer.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert tokenizer.encode(text) == want, repr(text)
+
+
 def test_files_are_in_document_order(documents, spark, tmp_path):
     manifest = id_files.write_ids(documents([(i, "a b c") for i in range(100, 0, -1)]), WORDS, str(tmp_path / "out"), block_ids=40).collect()
     freq = np.frombuffer(spark.read.parquet(str(tmp_path / "out/frequencies")).first()[0], "<u4")
