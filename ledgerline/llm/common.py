@@ -29,12 +29,15 @@ def arrow_map(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source = ({c: b.column(i).to_pylist() for i, c in enumerate(columns)} for b in batches)
-        for out in function(source):
-            arrays = [
-                out[f.name].cast(f.type) if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], type=f.type)
-                for f in arrow
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        try:
+            for out in function(source):
+                arrays = [
+                    out[f.name].cast(f.type) if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], type=f.type)
+                    for f in arrow
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        finally:
+            pa.default_memory_pool().release_unused()  # the worker lives on and gets other tasks
 
     return df.select(*columns).mapInArrow(run, kind)
 

@@ -212,7 +212,7 @@ def _read(source, freq) -> Iterator[dict]:
 
 def write_ids(
     docs: DataFrame, model_path: str, folder: str, end_id: int = 2, vocabulary: int | None = None,
-    block_ids: int = 1 << 18, cache_entries: int = 700_000,
+    block_ids: int = 1 << 18, cache_entries: int = 500_000,
 ) -> DataFrame:
     """Encode every text, write the files to `folder`, which all executors share, and return their manifest.
 

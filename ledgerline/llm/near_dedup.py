@@ -49,7 +49,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of shingle hashes; a word's hash is computed once while it is in the cache."""
 
-    def __init__(self, size: int, cache_entries: int = 300_000) -> None:
+    def __init__(self, size: int, cache_entries: int = 150_000) -> None:
         self.size, self.cache, self.cache_entries = size, {}, cache_entries
 
     def _word(self, word: bytes) -> int:

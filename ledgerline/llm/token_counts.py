@@ -84,7 +84,7 @@ def _counts(source, model, table, cache_entries: int, limit: int) -> Iterator[di
 
 
 def token_counts(
-    docs: DataFrame, model_path: str, limit: int = 4096, frequent: int = 20_000, cache_entries: int = 300_000
+    docs: DataFrame, model_path: str, limit: int = 4096, frequent: int = 20_000, cache_entries: int = 150_000
 ) -> DataFrame:
     """Bytes and tokens of every row, by a SentencePiece BPE model, without begin and end ids.
 
