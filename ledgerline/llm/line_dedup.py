@@ -125,15 +125,17 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         "lines",
     )
     keys = lines.select("id", F.explode("bands").alias("bucket"))
-    shared = keys.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket")
+    # Which bands have different lines: 28 bits of a line's id tell it (all but once in 268 million pairs), and shrink what is shuffled.
+    some = keys.select("bucket", F.col("id").bitwiseAND((1 << 28) - 1).cast("int").alias("id"))
+    shared = some.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket")
     members = materialize(keys.join(small(materialize(shared, "buckets")), "bucket", "left_semi").distinct(), "members")
     ids = materialize(members.select("id").distinct(), "member-ids")
     # Sets of the members only: their documents are read again, and of these the members' lines stay.
     with_members = materialize(lines.join(small(ids), "id", "left_semi").select("doc_id").distinct(), "member-docs")
     sets = arrow_map(keep_ids(docs.select("doc_id", "text"), with_members, "doc_id"), ["text"], "id long, data binary", _sets)
     sets = materialize(sets.join(small(ids), "id", "left_semi").dropDuplicates(["id"]), "sets")
-    rows = members.join(sets, "id").select(F.col("id").alias("doc_id"), "data", "bucket")
-    groups = components(_linked(rows, lambda data: _alike_sets(data, percent), "lines"))
+    named = members.select(F.col("id").alias("doc_id"), "bucket")
+    groups = components(_linked(named, sets.withColumnRenamed("id", "doc_id"), lambda data: _alike_sets(data, percent), "lines"))
 
     root = F.coalesce("root", "id").alias("root")
     named = lines.join(small(groups.withColumnRenamed("node", "id")), "id", "left").select("doc_id", "text_hash", "place", root)

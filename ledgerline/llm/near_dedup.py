@@ -221,8 +221,10 @@ def _pieces(rows: DataFrame, alike_of: Callable[[list[bytes]], Callable[[int], n
     )
 
 
-def _linked(members: DataFrame, alike_of, name: str) -> DataFrame:
-    """Links (a, b) that connect the members (bucket, doc_id, data) of each bucket as all its similar pairs would.
+def _linked(members: DataFrame, data: DataFrame, alike_of, name: str) -> DataFrame:
+    """Links (a, b) that connect the members (bucket, doc_id) of each bucket as all its similar pairs would.
+
+    `data` (doc_id, data) is what they are compared by; it is joined last, so that it moves once for each piece.
 
     Buckets of more than PIECE members are cut; see the module's text. Members left alone in a cut bucket meet all its
     pieces in a second pass.
@@ -236,7 +238,7 @@ def _linked(members: DataFrame, alike_of, name: str) -> DataFrame:
     cut = rows.withColumn("pieces", F.when(F.col("doc_id") == F.col("hub"), every).otherwise(
         F.array(F.pmod(F.xxhash64("doc_id"), F.col("n_pieces")).cast("int"))
     ))
-    found = materialize(_pieces(cut.withColumn("piece", F.explode("pieces")), alike_of), f"{name}-links")
+    found = materialize(_pieces(cut.withColumn("piece", F.explode("pieces")).join(data, "doc_id"), alike_of), f"{name}-links")
     alone = found.where("alone").select("bucket", F.col("a").alias("doc_id")).distinct()
     if not alone.isEmpty():
         # Few, or the bucket is a mixture whose parts have to be compared: a stated set against all, in pieces.
@@ -248,6 +250,7 @@ def _linked(members: DataFrame, alike_of, name: str) -> DataFrame:
             ))
             .withColumn("piece", F.explode("pieces")).withColumn("several", F.lit(False))
             .join(alone.select("bucket").distinct(), "bucket", "left_semi")
+            .join(data, "doc_id")
         )
         found = found.where("NOT alone").unionByName(_pieces(again, alike_of))
     return found.where("NOT alone").select("a", "b").distinct()
@@ -278,16 +281,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     )
     # Most keys have one member; only the others carry sketches on.
     shared = materialize(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "buckets")
-    members = keys.join(shared, "bucket", "left_semi").join(reps.select("doc_id", F.col("sketch").alias("data")), "doc_id")
+    members = keys.join(shared, "bucket", "left_semi")
+    sketches = reps.select("doc_id", F.col("sketch").alias("data"))
     most = _most_differing_bits(percent / 100 - MARGIN)
-    candidates = _linked(members, lambda data: _alike_sketches(data, most), "bands")
+    candidates = _linked(members, sketches, lambda data: _alike_sketches(data, most), "bands")
     clusters = components(candidates)
 
     texts = keep_ids(docs.select("doc_id", "text"), clusters.select(F.col("node").alias("doc_id")), "doc_id")
-    sets = arrow_map(texts, ["doc_id", "text"], "doc_id long, data binary", lambda source: _sets(source, shingle)).join(
-        clusters.select(F.col("node").alias("doc_id"), F.col("root").alias("bucket")), "doc_id"
-    )
-    confirmed = _linked(materialize(sets, "sets"), lambda data: _alike_sets(data, percent), "sets")
+    sets = arrow_map(texts, ["doc_id", "text"], "doc_id long, data binary", lambda source: _sets(source, shingle))
+    clustered = clusters.select(F.col("node").alias("doc_id"), F.col("root").alias("bucket"))
+    confirmed = _linked(clustered, materialize(sets, "sets"), lambda data: _alike_sets(data, percent), "sets")
     roots = components(confirmed)
 
     smallest = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
