@@ -1,19 +1,21 @@
 """Fuzzy line deduplication by MinHash (operator 4).
 
-Lines are compared by their character shingles: the up to 16 characters from the start of each word on, in lower case.
-Every shingle has one hash. The hash range is cut into 16 parts; the three smallest hashes from a part's start on are
-a band, that is, MinHash samples under 16 rotations of one order. At similarity 0.8 two lines have no band in
-common once in about 50,000 (long lines; short ones have fewer bands, but fewer shingles in which they can differ).
+Lines are compared by their character shingles in lower case: all windows of 16 characters (a shorter line is one
+shingle), or, if asked for, only the up to 16 characters from the start of each word on. Every shingle has one hash. The
+hash range is cut into 16 parts; the three smallest hashes from a part's start on are a band, that is, MinHash samples
+under 16 rotations of one order. At similarity 0.8 two long lines have no band in common once in about 50,000. With all
+windows, a line of up to 32 shingles has a band from each of its shingles on: of two such lines at 0.8 at least two
+fifths of their bands agree, so none is missed.
 
-Lines with a band in common are compared by the exact Jaccard similarity of their shingle sets, in bounded pieces (see
-near_dedup), distributed union-find makes groups of the links, and one line of each group stays.
+Lines with a band in common are compared by the exact Jaccard similarity of their whole shingle sets, in pieces (see
+near_dedup); the lines themselves move there, as they are shorter than their sets. Distributed union-find makes groups of the links, and one line of each group stays.
 
 A form with DataFrame functions only gave the same results at 622 CPU seconds and 7.7 x disk a GB, and compared lines
 pair by pair as rows; hence numpy over whole batches of text.
 """
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,8 @@ from ledgerline.session import materialize
 WIDTH = 16
 #: Bits of a band's name. A name that two bands share by chance only costs a comparison.
 BITS = 44
+#: Sets of up to so many shingles have a band from each shingle on.
+SHORT = 32
 DOCUMENTS_A_STEP = 400
 
 _FACTORS = np.random.default_rng(16).integers(1, 1 << 62, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -53,11 +57,64 @@ def shingle_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return line[new], hashes[new]
 
 
-def bands(line: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(line, band): of each part of the hash range that has some, the first three hashes, going round at the end."""
+def _windows(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(line, hash) of the shingles at every position of lines in normal form, by line, repeated ones included."""
+    text = np.frombuffer(("\n".join(lines) + "\n").encode("utf-32-le"), "<u4")
+    ends = np.flatnonzero(text == 10)
+    begins = np.concatenate([[0], ends[:-1] + 1])
+    sizes = ends - begins
+    n = np.maximum(sizes - WIDTH + 1, 1)
+    line = np.repeat(np.arange(len(lines)), n)
+    place = np.repeat(begins - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    hashes = _mix(np.concatenate([text, np.zeros(WIDTH, "<u4")]).astype(np.uint64) * _FACTORS[0] + _FACTORS[1])
+    width = 1
+    while width < WIDTH:  # windows of 2, 4, 8 and 16 characters from those of half the width
+        hashes[:-width] = _mix(hashes[:-width] * _FACTORS[2] + (hashes[width:] ^ _FACTORS[3]))
+        width *= 2
+    found = hashes[place]
+    for k in np.flatnonzero(sizes < WIDTH):  # one shingle, of what the line has
+        name = hashlib.blake2b(lines[k].encode("utf-8", "surrogatepass"), digest_size=8).digest()
+        found[np.searchsorted(line, k)] = int.from_bytes(name, "little")
+    return line, found
+
+
+def every_shingle(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(line, 40-bit hash in the high bits) of the distinct shingles at every position, ordered by line and hash."""
+    line, hashes = _windows(lines)
+    packed = np.unique((line.astype(np.uint64) << np.uint64(40)) | (hashes >> np.uint64(24)))
+    return (packed >> np.uint64(40)).astype(np.int64), packed << np.uint64(24)
+
+
+def _alike_lines(data: list[bytes], percent: int) -> Callable[[int], np.ndarray]:
+    """Exact similarity of whole sets; a comparison reads the lines that have one of the line's shingles."""
+    line, hashes = _windows([d.decode("utf-8", "surrogatepass") for d in data])
+    _, token = np.unique(hashes, return_inverse=True)
+    pairs = np.unique(token.astype(np.uint64) * np.uint64(len(data)) + line.astype(np.uint64))
+    token, line = (pairs // np.uint64(len(data))).astype(np.int64), (pairs % np.uint64(len(data))).astype(np.int64)
+    cuts = np.searchsorted(token, np.arange(token[-1] + 2))
+    by_line = np.argsort(line, kind="stable")
+    own = np.split(token[by_line], np.cumsum(np.bincount(line, minlength=len(data)))[:-1])
+    sizes = np.array([len(x) for x in own])
+
+    def alike(i: int) -> np.ndarray:
+        begin, n = cuts[own[i]], cuts[own[i] + 1] - cuts[own[i]]
+        at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        common = np.bincount(line[at], minlength=len(data))
+        return 100 * common >= percent * (sizes + sizes[i] - common)
+
+    return alike
+
+
+def bands(line: np.ndarray, hashes: np.ndarray, short: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(line, band): of each part of the hash range that has some, the first three hashes, going round at the end.
+
+    Sets of up to `short` hashes have a band from each hash on.
+    """
     part = hashes >> np.uint64(60)
     first = np.ones(len(line), bool)
     first[1:] = (line[1:] != line[:-1]) | (part[1:] != part[:-1])
+    if short and len(line):
+        first |= np.bincount(line)[line] <= short
     at = np.flatnonzero(first)
     begin = np.searchsorted(line, line[at])
     size = np.searchsorted(line, line[at], "right") - begin
@@ -82,7 +139,7 @@ def _lists(line: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def _read(source) -> Iterator[dict]:
+def _read(source, everywhere: bool) -> Iterator[dict]:
     """A row for each line; its bands where the task sees it first. Texts of any length: a step holds whole documents."""
     seen: set[int] = set()
     for batch in source:
@@ -101,7 +158,9 @@ def _read(source) -> Iterator[dict]:
                     for c, v in zip(out, (doc_id, text_hash, place, name), strict=True):
                         out[c].append(v)
             if out["id"]:
-                row, values = bands(*shingle_sets(fresh)) if fresh else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                row, values = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                if fresh:
+                    row, values = bands(*every_shingle(fresh), SHORT) if everywhere else bands(*shingle_sets(fresh))
                 yield out | {"bands": _lists(np.array(where, np.int64)[row], values, len(out["id"]))}
 
 
@@ -115,12 +174,21 @@ def _sets(source) -> Iterator[dict]:
                 yield {"id": list(map(_id, lines)), "data": [hashes[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]}
 
 
-def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
+def _own_lines(source) -> Iterator[dict]:
+    for batch in source:
+        for at in range(0, len(batch["text"]), DOCUMENTS_A_STEP):
+            lines = list({line for text in batch["text"][at : at + DOCUMENTS_A_STEP] for _, line in _normal(text)})
+            if lines:
+                yield {"id": list(map(_id, lines)), "data": [x.encode() for x in lines]}
+
+
+def duplicate_lines(docs: DataFrame, percent: int = 80, everywhere: bool = False) -> DataFrame:
     """(doc_id, text_hash, place) of each line that goes: all of a group of equal or similar lines but the first."""
     lines = materialize(
         arrow_map(
             docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), ["doc_id", "text", "text_hash"],
-            "doc_id long, text_hash long, place int, id long, bands array<long>", _read,
+            "doc_id long, text_hash long, place int, id long, bands array<long>",
+            lambda source: _read(source, everywhere),
         ),
         "lines",
     )
@@ -130,12 +198,13 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     shared = some.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket")
     members = materialize(keys.join(small(materialize(shared, "buckets")), "bucket", "left_semi").distinct(), "members")
     ids = materialize(members.select("id").distinct(), "member-ids")
-    # Sets of the members only: their documents are read again, and of these the members' lines stay.
+    # Sets (or lines) of the members only: their documents are read again, and of these the members' lines stay.
     with_members = materialize(lines.join(small(ids), "id", "left_semi").select("doc_id").distinct(), "member-docs")
-    sets = arrow_map(keep_ids(docs.select("doc_id", "text"), with_members, "doc_id"), ["text"], "id long, data binary", _sets)
+    sets = arrow_map(keep_ids(docs.select("doc_id", "text"), with_members, "doc_id"), ["text"], "id long, data binary", _own_lines if everywhere else _sets)
     sets = materialize(sets.join(small(ids), "id", "left_semi").dropDuplicates(["id"]), "sets")
     named = members.select(F.col("id").alias("doc_id"), "bucket")
-    groups = components(_linked(named, sets.withColumnRenamed("id", "doc_id"), lambda data: _alike_sets(data, percent), "lines"))
+    alike = _alike_lines if everywhere else _alike_sets
+    groups = components(_linked(named, sets.withColumnRenamed("id", "doc_id"), lambda data: alike(data, percent), "lines"))
 
     root = F.coalesce("root", "id").alias("root")
     named = lines.join(small(groups.withColumnRenamed("node", "id")), "id", "left").select("doc_id", "text_hash", "place", root)
@@ -148,16 +217,16 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     return named.join(first, "root").where(~stays).select("doc_id", "text_hash", "place")
 
 
-def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = 80, everywhere: bool = False) -> DataFrame:
     """`docs` with doc_id, the text without its duplicate lines, and the numbers of lines before and after.
 
     One row for each row of `docs`. Lines end with a line feed and are compared without outer spaces and in lower case.
     Blank lines are no duplicates and stay. Of similar lines (Jaccard similarity of at least `percent` %, or connected by
     such) the one in the smallest doc_id (null last), then the first in its text, stays; ties between rows with one
     doc_id go to the smaller hash of the text, and rows that are equal in doc_id and text are one document with one
-    result. Null texts are empty. Lines are named by 64-bit hashes. Whole texts are read.
+    result. Shingles start at every position if `everywhere`, else at words only. Null texts are empty. Lines are named by 64-bit hashes. Whole texts are read.
     """
-    gone = duplicate_lines(docs.select("doc_id", "text"), percent).groupBy("doc_id", "text_hash").agg(
+    gone = duplicate_lines(docs.select("doc_id", "text"), percent, everywhere).groupBy("doc_id", "text_hash").agg(
         F.collect_set("place").alias("gone")
     )
     gone = materialize(gone.withColumnsRenamed({"doc_id": "__doc", "text_hash": "__hash"}), "gone")

@@ -202,3 +202,39 @@ def test_shingle_sets_and_bands():
     row, names = line_dedup.bands(line, hashes)
     assert set(row) == set(range(5)) and (names >= 0).all()
     assert sorted(line_dedup.bands(again, other)[1].tolist()) == sorted(names.tolist())
+
+
+def _windows(x):
+    return {x[i : i + 16] for i in range(max(1, len(x) - 15))}
+
+
+def test_lines_by_every_window(documents):
+    """Lines without spaces and with one long word: read to their ends, against brute force."""
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    lines = [
+        "https://www.example.com/en/article/1234-old-mill", "https://www.example.com/fr/forum/99-new-ship",
+        "中文" * 8 + "".join(map(chr, range(0x4E00, 0x4E20))), "中文" * 8 + "".join(map(chr, range(0x5E00, 0x5E20))),
+        "short", "short", "shorter", "a" * 15, "a" * 16, "a" * 17,
+    ]
+    for n in (19, 20, 21, 25, 30, 47, 48, 60, 200):
+        base = letters(n)
+        lines += [base, "x" + base, base + "y", base[: n // 2] + "z" + base[n // 2 + 1 :], base[:16] + letters(n)]
+    rows = [(i, line) for i, line in enumerate(lines)]
+    got = {r["doc_id"]: r["n_kept"] for r in line_dedup.dedup_lines(documents(rows), everywhere=True).collect()}
+    sets = [_windows(x) for x in lines]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    root = _union(len(sets), links)
+    assert got == {i: int(root[i] == i) for i in range(len(sets))}
+    assert got[0] == got[1] == got[2] == got[3] == 1 and 0 in got.values()
+
+
+def test_short_sets_share_a_band():
+    rng = random.Random(12)
+    for _ in range(400):
+        x = "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(19, 47)))
+        n = len(_windows(x))
+        line, hashes = line_dedup.every_shingle([x, x[: len(x) - n // 5]])
+        row, names = line_dedup.bands(line, hashes, line_dedup.SHORT)
+        if 100 * len(_windows(x[: len(x) - n // 5])) >= 80 * n:
+            assert set(names[row == 0]) & set(names[row == 1])
