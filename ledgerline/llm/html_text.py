@@ -18,14 +18,15 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 # Element names of HTML.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
-    "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table "
+    "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table "
     "tbody td tfoot th thead tr ul".split()
 )
 CONTAINERS = frozenset(
     "article aside blockquote body details dialog div dl fieldset figure footer form header main menu nav ol search "
     "section table ul".split()
 )
-HIDDEN = frozenset("head button datalist iframe math noscript object option select svg template textarea title".split())
+#: Not the head: its elements have no text of their own, and its tags may be omitted.
+HIDDEN = frozenset("button datalist iframe noscript object option select svg template textarea title".split())
 RAW = frozenset("script style xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 ASIDE_TAGS = frozenset("aside dialog footer form header menu nav search".split())
@@ -45,25 +46,49 @@ ASIDE_NAMES = frozenset(
     "tags toc toolbar tracking widget".split()
 )
 MAIN_NAMES = frozenset("article content entry main post story".split())
+#: `no-sidebar` says what a page has or lacks, not what the element is.
+STATES = frozenset("has have no not with without".split())
 
 
-def _side(tag: str, attributes: str) -> int:
-    """1 for a container of the article, -1 for one beside it, 0 if nothing is known."""
+def _side(tag: str, attributes: str, beside: bool = False) -> int:
+    """1 for a container of the article, -1 for one beside it, 0 if nothing is known.
+
+    A single name of something beside the article does not outweigh the tags article, main and body, unless the element
+    is itself `beside` the article (a comment in the comments); with a name of the article there, nothing is known.
+    """
     if tag in ASIDE_TAGS:
         return -1
+    main = aside = False
     if attributes:
-        names = {w.lower() for value in _NAMES.findall(attributes) for w in _WORDS.findall(value)}
-        if names & ASIDE_NAMES:
-            return -1
-        if names & MAIN_NAMES:
-            return 1
-    return 1 if tag in MAIN_TAGS else 0
+        for name in (n for value in _NAMES.findall(attributes) for n in value.strip("\"'").split()):
+            words = {w.lower() for w in _WORDS.findall(name)}
+            if words & ASIDE_NAMES:
+                aside |= not words & STATES
+            else:
+                main |= bool(words & MAIN_NAMES)
+    if tag == "body":
+        return 0
+    if tag in MAIN_TAGS:
+        return -1 if aside and beside else 1
+    return int(main) - int(aside)
+
+
+def _closed(page: str, tag: str) -> set[int]:
+    """Ends of the start tags of `tag` that have an end tag of their own."""
+    closed, starts = set(), []
+    for m in re.finditer(rf"<(/?){tag}(?=[\s/>])[^>]*>?", page, re.I):
+        if not m[1]:
+            starts.append(m.end())
+        elif starts:
+            closed.add(starts.pop())
+    return closed
 
 
 def blocks(page: str) -> list[dict]:
     """The page's text blocks in order: text, words, words in links, side, heading, and the attribute `data-keep`.
 
-    Ends of elements may be missing. Scripts, styles, comments, controls and the head have no text.
+    Ends of elements may be missing. Scripts, styles, comments, controls and titles have no text. A control without an end
+    reaches to the next block or to the end of what contains it.
     """
     found: list[dict] = []
     parts: list[str] = []
@@ -71,6 +96,8 @@ def blocks(page: str) -> list[dict]:
     stack: list[tuple[str, int, str]] = []
     state = {"heading": 0, "keep": ""}
     in_link, hidden, hidden_tag, at = 0, 0, "", 0
+    hidden_open, inner = False, []  # whether the hidden element has no end, and the containers opened in it
+    closed: dict[str, set[int]] = {}
 
     def flush() -> None:
         nonlocal parts, linked
@@ -108,13 +135,25 @@ def blocks(page: str) -> list[dict]:
         if hidden:
             if tag == hidden_tag:
                 hidden += -1 if closing else 1
-            elif tag == "body" and hidden_tag == "head":
+                if not hidden:
+                    continue
+            elif hidden_open and tag in BLOCKS:
                 hidden = 0
+            elif tag in CONTAINERS:
+                if not closing:
+                    inner.append(tag)
+                elif tag in inner:
+                    while inner.pop() != tag:
+                        pass
+                elif any(t == tag for t, _, _ in stack):
+                    hidden = 0
             if hidden:
                 continue
         elif tag in HIDDEN:
             if not closing and not attributes.endswith("/"):
-                hidden, hidden_tag = 1, tag
+                if tag not in closed:
+                    closed[tag] = _closed(page, tag)
+                hidden, hidden_tag, hidden_open, inner = 1, tag, at not in closed[tag], []
             continue
         if tag == "br":
             parts.append(" ")
@@ -130,7 +169,7 @@ def blocks(page: str) -> list[dict]:
             in_link = 0
             if tag in CONTAINERS:
                 if not closing:
-                    side = _side(tag, attributes)
+                    side = _side(tag, attributes, next((s for _, s, _ in reversed(stack) if s), 0) < 0)
                     if tag == "header" and any(s == 1 for _, s, _ in stack):
                         side = 0  # an article's own heading
                     stack.append((tag, side, state["keep"]))

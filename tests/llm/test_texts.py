@@ -56,6 +56,24 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("page", [
+    "<article class='post no-sidebar'>{}</article>", "<main class='with-sidebar'>{}</main>", "<body class='has-nav'>{}</body>",
+    "<div class='post no-sidebar'>{}</div>", "<article class='post category-social'>{}</article>",
+    "<head><title>T <p> t</title><meta charset=utf-8><p>{}", "<html><head><link href=x>{}", "<head><noscript><img src=x></noscript></head>{}",
+    "<body><button>Menu{}", "<body><noscript>{}", "<body><iframe src=x>{}", "<body><svg><path d=x>{}", "<body><button>Menu{}<button>Go</button>",
+    "<body><div><button>Menu</div>{}<div></button></div>", "<body><button><div>Share</div></button>{}",
+])
+def test_no_article_is_lost(page):
+    text = "The boats came back one after another from the open sea while the morning light fell on the quiet harbour."
+    assert html_text.main_text(page.format(f"<p>{text}</p><p>{text} Then rest.</p>")) == f"{text}\n\n{text} Then rest."
+
+
+def test_math_and_comments():
+    assert html_text.main_text("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>") == "so x=2 holds"
+    page = "<article><p>text</p></article><section class=comments><article class='comment'><p>a reader says</p></article></section>"
+    assert html_text.main_text(page) == "text"
+
+
 def test_extract(spark):
     long = "<article><p>" + "word " * 60_000 + "</p></article>"
     rows = [(1, "u", "<article><p>a</p></article>", "x"), (1, "u", "<article><p>a</p></article>", "x"), (None, None, None, "x"), (2, "v", long, "x")]
