@@ -316,3 +316,18 @@ def test_templates_find_the_bad_branch(spark):
     assert by[2]["bad_share"] == pytest.approx(share, abs=1e-6)
     assert url_templates.url_filter(pages.limit(0), labels).count() == 0
     assert {r["verdict"] for r in url_templates.url_filter(pages, labels.limit(0), threshold=0.6).collect()} == {"allow"}
+
+
+def test_templates_of_a_small_section_and_of_deep_paths(spark):
+    """A bad section with a hundredth of its host's pages, and verdicts that differ from the level `depth` on."""
+    rows, bad = [], []
+    for i in range(3000):
+        rows.append((i, f"https://site.example/{'spam' if i % 100 == 0 else f's{i % 7}'}/{i}"))
+        bad.append((i, i % 100 == 0))
+    for i in range(200):
+        rows.append((5000 + i, f"https://deep.example/a/{'spam' if i % 2 else 'news'}/{i}"))
+        bad.append((5000 + i, i % 2 == 1))
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = url_templates.url_filter(pages, spark.createDataFrame(bad, "page_id long, bad boolean"), depth=2).collect()
+    assert len(got) == len(rows)
+    assert {r["page_id"]: r["verdict"] == "block" for r in got} == dict(bad)
