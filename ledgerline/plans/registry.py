@@ -420,6 +420,18 @@ query("a4_leakage_anomalies")(
 )
 query("k15_leakage_kpis_with_anomalies")(lambda w: kpi.leakage_kpis(FOREST.score(w.master)))
 query("k19_anomaly_audit")(lambda w: kpi.anomaly_audit(FOREST.score(w.master)))
+# The same questions to models trained on the whole fact. Their draws cannot be repeated in SQL, so they have names of their own.
+query("a2_customer_segments_trained")(lambda w: _fit(w, segments.Segmenter).score(w.master))
+query("a3_personas_trained")(
+    lambda w: _round(_fit(w, segments.Segmenter).score(w.master).groupBy("segment_name").agg(
+        F.count("*").alias("customers"), *[F.avg(c).alias(c) for c in segments.FEATURES]
+    ), 4, *segments.FEATURES)
+)
+query("a4_leakage_anomalies_trained")(
+    lambda w: _round(_fit(w, AnomalyDetector).score(w.master).select(*ITEM, "anomaly_score", "is_anomaly"), 6, "anomaly_score")
+)
+query("k15_leakage_kpis_with_anomalies_trained")(lambda w: kpi.leakage_kpis(_fit(w, AnomalyDetector).score(w.master)))
+query("k19_anomaly_audit_trained")(lambda w: kpi.anomaly_audit(_fit(w, AnomalyDetector).score(w.master)))
 query("a5_demand_features")(
     lambda w: demand.encode(w.master, demand.codes_from(w.master), keep=("order_item_id", "quantity"))
 )

@@ -4,11 +4,13 @@ import itertools
 
 import numpy as np
 import pytest
+from conftest import SF_DIR
 from pyspark.sql import functions as F
 from small import facts
 
 from ledgerline.ml import demand, explain, forecast, segments
 from ledgerline.ml.anomaly import AnomalyDetector, expected_depth
+from ledgerline.plans.registry import QUERIES
 
 
 def test_personas_are_taken_in_order():
@@ -203,3 +205,23 @@ def test_grouped_forecast_equals_the_group_alone(star):
     assert {("ASIA", r.step): r.forecasted_revenue for r in alone} == pytest.approx(
         {k: v for k, v in grouped.items() if k[0] == "ASIA"}
     )
+
+
+def test_registered_trained_models(spark):
+    """Anomalies are 6 %, and the trained centers fit the data better than the given ones do."""
+    run = lambda name: QUERIES[name](spark, SF_DIR)
+    anomalies = run("a4_leakage_anomalies_trained").agg(F.avg("is_anomaly").alias("share"), F.sum("is_anomaly").alias("n")).first()
+    assert anomalies.share == pytest.approx(0.06, abs=0.01)
+    assert run("k15_leakage_kpis_with_anomalies_trained").first().anomalies == anomalies.n
+    assert run("k19_anomaly_audit_trained").count() == min(30, anomalies.n)
+
+    def cost(name):
+        p = run(name).toPandas()
+        x = p[segments.FEATURES].astype(float)
+        x = (x - x.mean()) / x.std().replace(0, 1)
+        return sum(((x[p.cluster == c] - x[p.cluster == c].mean()) ** 2).to_numpy().sum() for c in p.cluster.unique())
+
+    assert cost("a2_customer_segments_trained") < cost("a2_customer_segments")
+    personas = run("a3_personas_trained").collect()
+    assert len({r.segment_name for r in personas}) == 4
+    assert sum(r.customers for r in personas) == run("a2_customer_segments_trained").count()
