@@ -267,6 +267,17 @@ def test_quality_separates(documents, spark):
     assert quality.quality(documents([]), labels).count() == 0
 
 
+def test_quality_allowance_shrinks(documents, spark):
+    """The limit comes close to the held-out quantile with the number of held-out texts."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["the", "cat", "sat", "on", "a", "mat"]) for _ in range(rng.randint(5, 60)))) for i in range(600)]
+    docs, labels = documents(rows), spark.createDataFrame([(i, 1, 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    got = quality.quality(docs, labels, quantile=0.8).withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).collect()
+    scores = sorted(r["score"] for r in got if r["held"])
+    high, middle = scores[int(0.8 * len(scores))], scores[len(scores) // 2]
+    assert got[0]["threshold"] < high + 0.2 * (high - middle)
+
+
 # --- URLs
 
 
