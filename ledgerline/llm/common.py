@@ -1,6 +1,8 @@
 """What several corpus operators need: reading, Arrow maps, size-checked joins, models on every worker."""
 
-from collections.abc import Callable, Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,18 +18,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What this worker process holds from task to task: one thing of one operator, with its caches.
+_held: dict[Hashable, Any] = {}
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """A model with its caches, made once in a worker process; what another operator's tasks have left is dropped."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def _give_back() -> None:
+    """Hand freed memory to the system: a worker process lives on and gets tasks of other operators."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def arrow_map(
-    df: DataFrame, columns: list[str], schema: str, function: Callable[[Iterable[dict]], Iterator[dict]]
+    df: DataFrame, columns: list[str], schema: str, function: Callable[[Iterable[dict]], Iterator[dict]], holds: Hashable = None
 ) -> DataFrame:
     """`function` turns a stream of {column: list} batches into {column: list or array} batches of `schema`.
 
-    Only `columns` leave the JVM, so other columns of any name do not matter.
+    Only `columns` leave the JVM, so other columns of any name do not matter. `holds` is the key that `function` asks
+    `held` for; a worker drops what it holds under another one.
     """
     kind = _parse_datatype_string(schema)
     assert isinstance(kind, StructType)
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if holds not in _held:
+            _held.clear()
+            _give_back()
         source = ({c: b.column(i).to_pylist() for i, c in enumerate(columns)} for b in batches)
         try:
             for out in function(source):
@@ -37,7 +64,7 @@ def arrow_map(
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
         finally:
-            pa.default_memory_pool().release_unused()  # the worker lives on and gets other tasks
+            _give_back()
 
     return df.select(*columns).mapInArrow(run, kind)
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import (
-    decontaminate, exact_dedup, html_text, id_files, line_dedup, near_dedup, piece_codec, quality,
-    token_counts, url_templates,
+    decontaminate, exact_dedup, html_text, id_files, importance, line_dedup, near_dedup, phrase_fingerprint, piece_codec,
+    quality, token_alignment, token_counts, url_templates,
 )
 from ledgerline.llm.common import table
 
@@ -116,3 +116,20 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("page_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     )
     return url_templates.url_filter(pages, labels)
+
+
+@query("op11_importance")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+@query("op12_token_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    )
+
+
+@query("op13_fingerprints")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))

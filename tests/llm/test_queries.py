@@ -13,7 +13,7 @@ def test_registered():
     import __spark_entry__
 
     numbers = {k.split("_")[0] for k in QUERIES}
-    assert numbers == {"pipeline", *(f"op{n}" for n in range(1, 11))}
+    assert numbers == {"pipeline", *(f"op{n}" for n in range(1, 14))}
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLE) <= set(__spark_entry__.oracle_sql())
 
 
