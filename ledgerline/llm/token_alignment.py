@@ -7,13 +7,17 @@ then its pair of id tuples gives the groups and links from a worker's memory.
 """
 
 import hashlib
+import json
 import re
 import struct
 from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 from typing import Any
 
 import numpy as np
 import sentencepiece
+import tiktoken
 import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,13 +26,17 @@ from ledgerline.llm.common import arrow_map, file_of, held
 from ledgerline.llm.pieces import LONGEST_CACHED, SPACE, check, keys
 from ledgerline.session import materialize
 
+#: Fixed value: how a byte-level pre-tokenizer cuts texts.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links binary"
 #: Windows of more bytes of ids are aligned each time, so that the memory's bytes are bounded by its entries.
 LONGEST_WINDOW = 96
+#: Characters that are aligned together.
+PIECE_CHARS = 1 << 19
 #: The table of id pairs is sent to every worker if it has at most so many bytes (17 a pair).
 BROADCAST_BYTES = 64 << 20
-#: Texts with other white space, or two white spaces together, are encoded by the libraries as a whole.
-_WHOLE = re.compile(r"[ \n][ \n]|\A[ \n]|[ \n]\Z|[^\S \n]|[\x00-\x09\x0B-\x1F\x7F-\x9F\u200B-\u200F\u2028-\u202F\u2060\uFEFF]")
+#: Characters whose class (letter, digit, other) no version of Unicode has changed; in them words may be cut by another library.
+_SETTLED = re.compile("[\n!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
 _LOST = (b"", b"")
 
 
@@ -77,12 +85,17 @@ class Sides:
             self.a_bytes[i] = bytes(map(letters.__getitem__, token))
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.a_length, self.b_length = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
-        self.a_lengths, self.b_lengths = self.a_length.tolist(), self.b_length.tolist()
+        self.a_first, self.b_first = (np.array([x[:1] in (b" ", b"\n") for x in y]) for y in (self.a_bytes, self.b_bytes))
         self.a_marked, self.b_marked = (np.array([x[:1] == b" " for x in y]) for y in (self.a_bytes, self.b_bytes))
-        self.kind = "<u2" if max(len(self.a_bytes), len(self.b_bytes)) <= 1 << 16 else "<u4"
+        self.kind = "<u2" if max(len(self.a_bytes), len(self.b_bytes)) <= 0xFF00 else "<u4"
         self.width = np.dtype(self.kind).itemsize
+        self.border = b"\xff" * self.width  # between the id tuples of a window; no id has a last byte like it
+        decimal = [str(i).encode() for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        self.digits = np.fromiter(map(len, decimal), np.int64, len(decimal))
+        self.decimal = np.array(decimal).view(np.uint8).reshape(len(decimal), -1)
         self.words = Memory(entries, lambda key: len(key) <= LONGEST_CACHED)
-        self.windows = Memory(entries, lambda window: len(window[0]) + len(window[1]) <= LONGEST_WINDOW)
+        self.windows = Memory(entries, lambda window: len(window) <= LONGEST_WINDOW)
+        self.fast = self._faster(json.loads(a), letters)
         some = "two words,\nand more\nhere's 12 _x <|endoftext|> ß 3.4"
         self.cuts = self._a_ids(" " + some) == [i for k in keys(some) for i in self._a_ids(k if k[:1] == "\n" else " " + k)]
 
@@ -93,6 +106,25 @@ class Sides:
             return b""
         return self.b.id_to_piece(i).replace(SPACE, " ").encode()
 
+    def _faster(self, spec: dict, letters: dict[str, int]) -> tiktoken.Encoding | None:
+        """A's vocabulary in a library that joins whatever two neighbours make a token, the token with the smallest id first.
+
+        That is the same as A's list of joins if the list makes tokens in the order of their ids, each once, and A encodes
+        every token's own text as that token: then what is left of that text before its last join are the two listed parts.
+        Both need the usual pattern of pre-tokens. None if any of this does not hold.
+        """
+        joins = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        made = [self.a.token_to_id("".join(m)) for m in joins]
+        single = sorted(t for t in spec["model"]["vocab"] if len(t) == 1)
+        if (
+            spec["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+            or spec["normalizer"] is not None or made != sorted(set(made)) or single != sorted(letters)
+            or any([x.id for x in self.a.model.tokenize(self.a.id_to_token(i))] != [i] for i in made)
+        ):
+            return None
+        ranks = {self.a_bytes[i]: i for i in [*made, *map(self.a.token_to_id, single)]}
+        return tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
     def _a_ids(self, text: str) -> list[int]:
         return self.a.encode(text, add_special_tokens=False).ids
 
@@ -105,12 +137,31 @@ class Sides:
         return struct.pack(f"<{len(a)}{form}", *a), struct.pack(f"<{len(b)}{form}", *b)
 
     def _encoded(self, some: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        """Both sides' ids of pre-tokens."""
-        for key, b in zip(some, self.b.encode(some, num_threads=1), strict=True):
-            if key[:1] == "\n":  # the library puts a space in front, which is an id of its own
-                yield self._checked(self._a_ids(key), b[1:], key)
+        """Both sides' ids of pre-tokens, many at a time: a token that begins with a space or line feed begins a pre-token."""
+        settled = [self.fast is not None and _SETTLED.fullmatch(k) is not None for k in some]
+        for quick, group in groupby(zip(settled, some, strict=True), key=itemgetter(0)):
+            yield from self._encoded_alike([k for _, k in group], quick)
+
+    def _encoded_alike(self, some: list[str], quick: bool) -> Iterator[tuple[bytes, bytes]]:
+        for at in range(0, len(some), 2000):
+            part = some[at : at + 2000]
+            text = "".join([k if k[:1] == "\n" else " " + k for k in ["x", *part]])  # the library's own space is that before x
+            found = self.fast.encode_ordinary(text) if quick else self._a_ids(text)
+            a, b = np.array(found, self.kind), np.array(self.b.encode(text[1:]), self.kind)
+            a_at, b_at = np.flatnonzero(self.a_first[a]), np.flatnonzero(self.b_first[b])
+            if len(a_at) == len(b_at) == len(part) + 1 and self._checked(a.tolist(), b.tolist(), text) is not _LOST:
+                sides = []
+                for ids, first in ((a.tobytes(), a_at), (b.tobytes(), b_at)):
+                    cut = [*(first[1:] * self.width).tolist(), len(ids)]
+                    sides.append([ids[i:j] for i, j in zip(cut, cut[1:])])
+                yield from zip(*sides, strict=True)
             else:
-                yield self._checked(self._a_ids(" " + key), b, " " + key)
+                yield from map(self._encoded_alone, part)
+
+    def _encoded_alone(self, key: str) -> tuple[bytes, bytes]:
+        if key[:1] == "\n":  # the library puts a space in front, which is an id of its own
+            return self._checked(self._a_ids(key), self.b.encode(key)[1:], key)
+        return self._checked(self._a_ids(" " + key), self.b.encode(key), " " + key)
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
         """Both sides' ids of each text; none if there is no text or a side does not keep its bytes."""
@@ -120,7 +171,8 @@ class Sides:
         for i, text in enumerate(texts):
             if not text or SPACE in text:
                 continue
-            if not self.cuts or _WHOLE.search(text):
+            # With other white space, or two white spaces together, a text is encoded by the libraries as a whole.
+            if not self.cuts or " ".join(text.split()) != text.replace("\n", " "):
                 out[i] = self._checked(self._a_ids(" " + text), self.b.encode(text), " " + text)
             else:
                 cut.append(i)
@@ -135,23 +187,45 @@ class Sides:
                 out[i] = b"".join([a for a, _ in own]), b"".join([b for _, b in own])
         return out
 
-    def _window(self, window: tuple[bytes, bytes]) -> tuple[str, bytes]:
-        """Groups of a window as text, and its links: the ids of A and B that end each group."""
-        a, b = (memoryview(x).cast("H" if self.width == 2 else "I").tolist() for x in window)
-        if len(a) == 1 and len(b) == 1:
-            return f"{a[0]}|{b[0]}", struct.pack("<2I", a[0], b[0])
-        groups, links = [], []
-        i = first_a = first_b = a_end = b_end = 0
-        for j, piece in enumerate(b, 1):
-            b_end += self.b_lengths[piece]
-            while a_end < b_end:
-                a_end += self.a_lengths[a[i]]
-                i += 1
-            if a_end == b_end:
-                groups.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j])))
-                links += (a[i - 1], piece)
-                first_a, first_b = i, j
-        return ";".join(groups), struct.pack(f"<{len(links)}I", *links)
+    def _digest_text(self, sides: list[tuple[np.ndarray, np.ndarray]]) -> tuple[str, np.ndarray]:
+        """Decimal ids, a comma behind each; behind a group's last id of A `|`, of B `;`. And where each group begins.
+
+        `sides` has (ids, mark of the last id of each group) of A and B.
+        """
+        sizes = [self.digits[ids] + 1 for ids, _ in sides]
+        ends = [np.cumsum(size) for size in sizes]
+        upto = [np.concatenate([[0], end[last]]) for end, (_, last) in zip(ends, sides)]
+        start = upto[0] + upto[1]
+        out = np.empty(start[-1], np.uint8)
+        for (ids, last), size, end, before, mark in zip(sides, sizes, ends, (upto[1][:-1], upto[0][1:]), "|;"):
+            group = np.cumsum(last) - last
+            at = end - size + before[group]
+            for d in range(self.decimal.shape[1]):
+                long = size - 1 > d
+                out[at[long] + d] = self.decimal[ids[long], d]
+            out[at + size - 1] = np.where(last, ord(mark), ord(","))
+        return out.tobytes().decode("ascii"), start
+
+    def _aligned(self, some: list[bytes]) -> Iterator[tuple[str, bytes]]:
+        """Of each window its groups as text, and its links: the ids of A and B that end each group. All at once: windows
+        end together on both sides, so laid end to end they keep their shared ends."""
+        if not some:
+            return
+        halves = [w.split(self.border) for w in some]
+        a, b = (np.frombuffer(b"".join([h[i] for h in halves]), self.kind) for i in (0, 1))
+        a_end, b_end = np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b])
+        is_end = np.zeros(a_end[-1] + 1, np.int8)
+        is_end[a_end] += 1
+        is_end[b_end] += 1
+        a_last, b_last = is_end[a_end] == 2, is_end[b_end] == 2
+        links = np.empty((np.count_nonzero(a_last), 2), "<u4")
+        links[:, 0], links[:, 1] = a[a_last], b[b_last]
+        text, start = self._digest_text([(a, a_last), (b, b_last)])
+        window_end = np.cumsum(np.fromiter((len(h[1]) // self.width for h in halves), np.int64, len(some))) - 1
+        groups = np.concatenate([[0], np.cumsum(b_last)[window_end]])
+        cut, data, groups = start[groups].tolist(), links.tobytes(), (groups * 8).tolist()
+        for i, j, m, n in zip(cut, cut[1:], groups, groups[1:]):
+            yield text[i : j - 1], data[m:n]
 
     def align(self, coded: list[tuple[bytes, bytes]]) -> list[tuple[str, bytes]]:
         """(groups, links) of each text."""
@@ -169,10 +243,9 @@ class Sides:
         a_cut, b_cut = met[met >= 0], b_at[met >= 0]
         first = np.searchsorted(a_cut, np.cumsum([0, *(len(x) // self.width for x, _ in coded)])).tolist()
         a_cut, b_cut = ([*(x * self.width).tolist(), len(y)] for x, y in ((a_cut, a_all), (b_cut, b_all)))
-        windows = list(zip(
-            [a_all[i:j] for i, j in zip(a_cut, a_cut[1:])], [b_all[i:j] for i, j in zip(b_cut, b_cut[1:])], strict=True
-        ))
-        found = self.windows.many(windows, lambda some: map(self._window, some))
+        border = self.border
+        windows = [a_all[i:j] + border + b_all[m:n] for i, j, m, n in zip(a_cut, a_cut[1:], b_cut, b_cut[1:])]
+        found = self.windows.many(windows, self._aligned)
         return [
             (";".join([x[0] for x in found[i:j]]), b"".join([x[1] for x in found[i:j]])) for i, j in zip(first, first[1:])
         ]
@@ -181,7 +254,7 @@ class Sides:
 def _aligned(source, a, b, entries: int) -> Iterator[dict]:
     sides = held(("alignment", len(a.value), len(b.value), entries), lambda: Sides(a.value, b.value, entries))
     for batch in source:
-        for some in _pieces(batch["text"], 1 << 20):
+        for some in _pieces(batch["text"], PIECE_CHARS):
             coded = sides.encode(batch["text"][some])
             found = sides.align(coded)
             yield {
@@ -203,7 +276,7 @@ def _pieces(texts: list[str | None], size: int) -> Iterator[slice]:
             start, total = i, 0
 
 
-def aligned_documents(docs: DataFrame, a_path: str, b_path: str, entries: int = 150_000) -> DataFrame:
+def aligned_documents(docs: DataFrame, a_path: str, b_path: str, entries: int = 160_000) -> DataFrame:
     """Of each row its ids' numbers, groups and links (pairs of little-endian u32: id of A, id of B)."""
     a, b = (docs.sparkSession.sparkContext.broadcast(file_of(p)) for p in (a_path, b_path))
     key = ("alignment", len(a.value), len(b.value), entries)
