@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import arrow_map
-from ledgerline.session import materialize
 
 #: Phrases of this level and above are features; a phrase is some three symbols of the level below.
 BASE_LEVEL = 2
@@ -150,37 +149,37 @@ class Fingerprinter:
 
 
 def _with_next(source, size: int, base: int) -> Iterator[dict]:
-    """Rows of a range in order. The first text of the range and its last row go on besides: `border` says which."""
+    """Rows of some ranges in order; behind each range stands, marked, the text that follows its last row."""
     make = Fingerprinter(size, base)
-    ids, texts, total, part, first = [], [], 0, None, None
-
-    def out(rows: dict, border: str | None = None, text: str | None = None) -> dict:
-        n = len(rows["doc_id"])
-        return rows | {"part": [part] * n, "border": [border] * n, "text": [text] * n}
-
-    none = {c.split()[0]: [None] for c in RESULT.split(", ")}
+    ids, texts, total = [], [], 0
     for batch in source:
-        for doc_id, text, part in zip(batch["doc_id"], batch["text"], batch["part"], strict=True):
-            if first is None:
-                first = text or ""
-                yield out(none, "first", first)
+        for doc_id, text, follows in zip(batch["doc_id"], batch["text"], batch["follows"], strict=True):
             ids.append(doc_id)
-            texts.append(text or "")
-            total += len(texts[-1])
-            if total >= PIECE_CHARS and len(ids) > 1:
-                yield out(make.rows(ids, texts))
-                ids, texts, total = ids[-1:], texts[-1:], len(texts[-1])
-    if ids:
-        if len(ids) > 1:
-            yield out(make.rows(ids, texts))
-        yield out(none | {"doc_id": ids[-1:]}, "last", texts[-1])
-
-
-def _last_rows(source, size: int, base: int) -> Iterator[dict]:
-    make = Fingerprinter(size, base)
-    for batch in source:
-        for doc_id, text, following in zip(batch["doc_id"], batch["text"], batch["following"], strict=True):
-            yield make.rows([doc_id, None], [text, following])
+            texts.append(text)
+            total += len(text)
+            if len(ids) > 1 and (follows or total >= PIECE_CHARS):
+                yield make.rows(ids, texts)
+                ids, texts, total = ids[-1:], texts[-1:], len(text)
+            if follows:
+                ids, texts, total = [], [], 0
+
+
+def _ranged(rows: DataFrame, ranges: int) -> DataFrame:
+    """`rows` with `range`, `first` and `second`: their order is by range, then by first and second.
+
+    Ids are cut at their quantiles, the largest ones first; rows without id follow, cut by the hash of their text.
+    """
+    shares = [i / ranges for i in range(1, ranges)]
+    found = rows.agg(
+        F.percentile_approx("doc_id", shares, 10_000).alias("edges"), F.count("*").alias("n"), F.count("doc_id").alias("named")
+    ).first()  # a number for each range
+    edges = sorted(set(found["edges"] or []))
+    nameless = 1 + (found["n"] - found["named"]) * ranges // max(1, found["n"])
+    by_id = F.size(F.filter(F.array(*map(F.lit, edges)).cast("array<long>"), lambda e: e > F.col("doc_id")))
+    by_hash = F.floor((F.col("second").cast("double") / 2.0**64 + 0.5) * nameless)
+    return rows.withColumn("first", F.bitwise_not("doc_id")).withColumn("second", F.xxhash64("text")).withColumn(
+        "range", F.when(F.col("doc_id").isNotNull(), by_id).otherwise(len(edges) + 1 + F.least(by_hash, F.lit(nameless - 1))).cast("int")
+    )
 
 
 def fingerprint_documents(docs: DataFrame, size: int = SIZE, base: int = BASE_LEVEL) -> DataFrame:
@@ -189,28 +188,21 @@ def fingerprint_documents(docs: DataFrame, size: int = SIZE, base: int = BASE_LE
     The edited text has its last floor(n_chars / 2) characters replaced by the first as many (or all) of the next document's,
     in descending order of doc_id; the last document's next one is the first. A null text counts as empty; an empty text
     has an empty fingerprint, two of which are alike by 1.0, and is alike to others by 0.0. Repeated ids are ordered by
-    a hash of their text; rows without doc_id come last. A table of one row is followed by itself; an empty table gives an empty result. Texts
-    are parsed whole. Only doc_id and text are read.
+    a hash of their text; rows without doc_id come last. A table of one row is followed by itself; an empty table gives an
+    empty result. Texts are parsed whole. Only doc_id and text are read.
 
-    Rows are dealt out by ranges of doc_id, which is the one shuffle of texts. A range's last row waits for the first text
-    of the next range; only those, a text of each range, are shuffled once more.
+    Rows are dealt out by ranges of doc_id, which is the one shuffle of texts. The first text of each range goes to the
+    range before it as well. Rows of one doc_id stay together; they stream past, nothing of them is collected.
     """
     spark = docs.sparkSession
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
-    # Equal rows are interchangeable, so that any number may deal them out.
-    ranged = rows.repartitionByRange(parts, *order, F.monotonically_increasing_id()).sortWithinPartitions(*order, "text")
-    ranged = ranged.withColumn("part", F.spark_partition_id())
-    schema = f"{RESULT}, part int, border string, text string"
-    found = materialize(
-        arrow_map(ranged, ["doc_id", "text", "part"], schema, lambda source: _with_next(source, size, base)), "fingerprints"
-    )
-    columns = [c.split()[0] for c in RESULT.split(", ")]
-    ranges = sorted(r["part"] for r in found.where("border = 'first'").select("part").collect())  # a number for each range
-    following = dict(zip(ranges, [*ranges[1:], *ranges[:1]], strict=True))
-    pairs = spark.createDataFrame(sorted(following.items()), "part int, next_part int")
-    first = found.where("border = 'first'").select(F.col("part").alias("next_part"), F.col("text").alias("following"))
-    last = found.where("border = 'last'").select("doc_id", "text", "part").join(F.broadcast(pairs), "part").join(first, "next_part")
-    ends = arrow_map(last, ["doc_id", "text", "following"], RESULT, lambda source: _last_rows(source, size, base))
-    return found.where("border IS NULL").select(columns).unionByName(ends)
+    ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = _ranged(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), ranges)
+    key = F.struct(F.coalesce("first", F.lit(0)).alias("first"), "second").alias("key")
+    heads = rows.select("range", key).groupBy("range").agg(F.min("key").alias("key")).orderBy("range").collect()  # a row a range
+    before = [(heads[i - 1]["range"], r["range"], *r["key"]) for i, r in enumerate(heads)]
+    head = F.broadcast(spark.createDataFrame(before, "before int, __range int, __first long, __second long"))
+    is_head = (F.col("range") == F.col("__range")) & (F.coalesce("first", F.lit(0)) == F.col("__first")) & (F.col("second") == F.col("__second"))
+    following = rows.join(head, is_head).select("doc_id", "text", "first", "second", F.col("before").alias("range"))
+    both = rows.withColumn("follows", F.lit(False)).unionByName(following.dropDuplicates(["range"]).withColumn("follows", F.lit(True)))
+    dealt = both.repartitionByRange(ranges, "range").sortWithinPartitions("range", "follows", F.col("first").asc_nulls_last(), "second", "text")
+    return arrow_map(dealt, ["doc_id", "text", "follows"], RESULT, lambda source: _with_next(source, size, base))
