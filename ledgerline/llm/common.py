@@ -1,6 +1,7 @@
 """What several corpus operators need: reading, Arrow maps, size-checked joins, models on every worker."""
 
 import ctypes
+import zlib
 from collections.abc import Callable, Hashable, Iterable, Iterator
 from typing import Any
 
@@ -14,6 +15,10 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 BROADCAST_ROWS = 1_000_000
 
 
+#: Bytes of a batch that become Python objects at once.
+SLICE_BYTES = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,6 +35,17 @@ def held(key: Hashable, make: Callable[[], Any]) -> Any:
     return _held[key]
 
 
+def identity(name: str, *data: bytes) -> Hashable:
+    """A key for `held`: what is made of these bytes under this name."""
+    return (name, *((len(d), zlib.crc32(d)) for d in data))
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of some SLICE_BYTES at a time, as Python objects need several times what a batch does."""
+    rows = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
 def _give_back() -> None:
     """Hand freed memory to the system: a worker process lives on and gets tasks of other operators."""
     pa.default_memory_pool().release_unused()
@@ -55,7 +71,7 @@ def arrow_map(
         if holds not in _held:
             _held.clear()
             _give_back()
-        source = ({c: b.column(i).to_pylist() for i, c in enumerate(columns)} for b in batches)
+        source = ({c: b.column(i).to_pylist() for i, c in enumerate(columns)} for batch in batches for b in _slices(batch))
         try:
             for out in function(source):
                 arrays = [

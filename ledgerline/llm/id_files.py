@@ -10,7 +10,7 @@ table, kept as a Parquet table beside them.
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Hashable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -18,7 +18,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import arrow_map, file_of
+from ledgerline.llm.common import arrow_map, file_of, held, identity
 from ledgerline.llm.rans import Coder, frequencies
 from ledgerline.session import materialize, shared_dir
 
@@ -103,9 +103,9 @@ class Tokenizer:
         return b"".join(ids)
 
 
-def _blocks(source, model, end_id: int, block_ids: int, cache_entries: int) -> Iterator[dict]:
+def _blocks(source, model, end_id: int, block_ids: int, cache_entries: int, key: Hashable) -> Iterator[dict]:
     """Runs of whole documents with at least `block_ids` ids, the last run excepted."""
-    tokenizer = Tokenizer(model.value, cache_entries)
+    tokenizer = held(key, lambda: Tokenizer(model.value, cache_entries))
     end = np.array([end_id], "<u4").tobytes()
     docs, lengths, ids, size, first, shard = [], [], [], 0, 0, 0
 
@@ -212,7 +212,7 @@ def _read(source, freq) -> Iterator[dict]:
 
 def write_ids(
     docs: DataFrame, model_path: str, folder: str, end_id: int = 2, vocabulary: int | None = None,
-    block_ids: int = 1 << 18, cache_entries: int = 500_000,
+    block_ids: int = 1 << 18, cache_entries: int = 300_000,
 ) -> DataFrame:
     """Encode every text, write the files to `folder`, which all executors share, and return their manifest.
 
@@ -226,11 +226,12 @@ def write_ids(
         docs.select("doc_id", "text").where("doc_id IS NOT NULL").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
         .withColumn("shard", F.spark_partition_id())
     )
+    key = identity(f"id files {cache_entries}", model.value)
     blocks = materialize(
         arrow_map(
             ordered, ["doc_id", "text", "shard"],
             "shard int, first long, n_ids long, width int, docs binary, lengths binary, ids binary",
-            lambda source: _blocks(source, model, end_id, block_ids, cache_entries),
+            lambda source: _blocks(source, model, end_id, block_ids, cache_entries, key), key,
         ),
         "blocks",
     )

@@ -10,7 +10,7 @@ import hashlib
 import json
 import re
 import struct
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from itertools import groupby
 from operator import itemgetter
 from typing import Any
@@ -22,7 +22,7 @@ import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import arrow_map, file_of, held
+from ledgerline.llm.common import arrow_map, file_of, held, identity
 from ledgerline.llm.pieces import LONGEST_CACHED, SPACE, check, keys
 from ledgerline.session import materialize
 
@@ -251,8 +251,8 @@ class Sides:
         ]
 
 
-def _aligned(source, a, b, entries: int) -> Iterator[dict]:
-    sides = held(("alignment", len(a.value), len(b.value), entries), lambda: Sides(a.value, b.value, entries))
+def _aligned(source, a, b, entries: int, key: Hashable) -> Iterator[dict]:
+    sides = held(key, lambda: Sides(a.value, b.value, entries))
     for batch in source:
         for some in _pieces(batch["text"], PIECE_CHARS):
             coded = sides.encode(batch["text"][some])
@@ -279,8 +279,8 @@ def _pieces(texts: list[str | None], size: int) -> Iterator[slice]:
 def aligned_documents(docs: DataFrame, a_path: str, b_path: str, entries: int = 160_000) -> DataFrame:
     """Of each row its ids' numbers, groups and links (pairs of little-endian u32: id of A, id of B)."""
     a, b = (docs.sparkSession.sparkContext.broadcast(file_of(p)) for p in (a_path, b_path))
-    key = ("alignment", len(a.value), len(b.value), entries)
-    return arrow_map(docs, ["doc_id", "text"], SCHEMA, lambda source: _aligned(source, a, b, entries), key)
+    key = identity(f"alignment {entries}", a.value, b.value)
+    return arrow_map(docs, ["doc_id", "text"], SCHEMA, lambda source: _aligned(source, a, b, entries, key), key)
 
 
 def _codes(links: bytes) -> np.ndarray:

@@ -1,13 +1,13 @@
 """Token counts of whole texts by a two-tier map-side lookup (operator 2)."""
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Hashable, Iterator
 
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import arrow_map, file_of
+from ledgerline.llm.common import arrow_map, file_of, held, identity
 from ledgerline.llm.pieces import LONGEST_CACHED, check, keys, library_lengths
 from ledgerline.session import materialize
 
@@ -58,10 +58,13 @@ def frequent_lengths(docs: DataFrame, model_path: str, entries: int) -> tuple[li
     return [k for k, _ in short], bytes(n for _, n in short)
 
 
-def _counts(source, model, table, cache_entries: int, limit: int) -> Iterator[dict]:
-    library = sentencepiece.SentencePieceProcessor(model_proto=model.value)
-    frequent = dict(zip(*table.value, strict=True))
-    cache: dict[str, int] = {}
+def _tiers(model: bytes, table: tuple[list[str], bytes]) -> tuple[sentencepiece.SentencePieceProcessor, dict[str, int], dict[str, int]]:
+    """The library, the table of frequent lengths, and the worker's cache."""
+    return sentencepiece.SentencePieceProcessor(model_proto=model), dict(zip(*table, strict=True)), {}
+
+
+def _counts(source, model, table, cache_entries: int, limit: int, key: Hashable) -> Iterator[dict]:
+    library, frequent, cache = held(key, lambda: _tiers(model.value, table.value))
     for batch in source:
         totals, open_keys = [], []
         for text in batch["text"]:
@@ -95,4 +98,5 @@ def token_counts(
     context = docs.sparkSession.sparkContext
     model = context.broadcast(file_of(model_path))
     table = context.broadcast(frequent_lengths(docs, model_path, frequent))
-    return arrow_map(docs, ["doc_id", "text"], SCHEMA, lambda source: _counts(source, model, table, cache_entries, limit))
+    key = identity("token counts", model.value, "\n\n".join(table.value[0]).encode(), table.value[1])
+    return arrow_map(docs, ["doc_id", "text"], SCHEMA, lambda source: _counts(source, model, table, cache_entries, limit, key), key)

@@ -34,7 +34,7 @@ def _random_texts(n, seed):
 def test_codec_is_the_library(library):
     codec = piece_codec.Codec(open(MODEL, "rb").read(), cache_entries=500)
     for text in [*_random_texts(3000, 1), *(t or "" for _, t in EDGES), "ab" * 3000, " " * 3000, "=-" * 900]:
-        assert codec.encode(text) == " ".join(map(str, [*library.encode(text), 2])), repr(text)
+        assert codec.encode(text) == [*library.encode(text), 2], repr(text)
 
 
 def test_lengths_of_pre_tokens_add_up(library):
@@ -85,3 +85,13 @@ def test_summary_is_bounded_and_low():
     counts = Counter({f"k{i}": i for i in range(1, 100)})
     small = token_counts.trimmed(counts, 10)
     assert len(small) <= 10 and all(0 < n <= counts[k] for k, n in small.items()) and small["k99"] == 99 - 89
+
+
+def test_a_worker_holds_one_thing(monkeypatch):
+    from ledgerline.llm import common
+
+    monkeypatch.setattr(common, "_held", {})
+    key = common.identity("a", b"model")
+    assert key == common.identity("a", b"model") != common.identity("a", b"ledom")
+    first = common.held(key, list)
+    assert common.held(key, list) is first and common.held("other", dict) == {} and key not in common._held
