@@ -3,6 +3,7 @@ link densities and surroundings of a block and its neighbours says which belong
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -37,6 +38,7 @@ _TAG = re.compile(
     re.S,
 )
 _NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_LABEL = re.compile(r'(?<![\w-])data-keep="([01])"')
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 ASIDE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs byline comment comments complementary "
@@ -84,19 +86,22 @@ def _closed(page: str, tag: str) -> set[int]:
     return closed
 
 
-def blocks(page: str) -> list[dict]:
-    """The page's text blocks in order: text, words, words in links, side, heading, and the attribute `data-keep`.
+def blocks(page: str, labelled: bool = False) -> list[dict]:
+    """The page's text blocks in order: text, words, words in links, side, heading, and, of a `labelled` page, its label.
 
-    Ends of elements may be missing. Scripts, styles, comments, controls and titles have no text. A control without an end
+    A label is the attribute data-keep="0" or "1" of the block or of what contains it; in other pages the name means nothing.
+    Work is linear in the page's length, however deep elements stand in each other. Ends of elements may be missing. Scripts, styles, comments, controls and titles have no text. A control without an end
     reaches to the next block or to the end of what contains it.
     """
     found: list[dict] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, int, str]] = []
+    # Open containers: tag, and of the innermost that says so, side and label, and whether any is of the article.
+    stack: list[tuple[str, int, str, bool]] = [("", 0, "", False)]
+    opened: Counter = Counter()
     state = {"heading": 0, "keep": ""}
     in_link, hidden, hidden_tag, at = 0, 0, "", 0
-    hidden_open, inner = False, []  # whether the hidden element has no end, and the containers opened in it
+    hidden_open, inner, inside = False, [], Counter()  # whether the hidden element has no end, and the containers opened in it
     closed: dict[str, set[int]] = {}
 
     def flush() -> None:
@@ -104,11 +109,9 @@ def blocks(page: str) -> list[dict]:
         text = " ".join("".join(parts).split())
         if text:
             words = text.count(" ") + 1
-            side = next((s for _, s, _ in reversed(stack) if s), 0)
-            keep = state["keep"] or next((k for _, _, k in reversed(stack) if k), "")
             found.append({
-                "text": text, "words": words, "linked": min(linked, words), "side": side,
-                "heading": state["heading"], "keep": keep,
+                "text": text, "words": words, "linked": min(linked, words), "side": stack[-1][1],
+                "heading": state["heading"], "keep": state["keep"] or stack[-1][2],
             })
         parts, linked = [], 0
 
@@ -142,10 +145,13 @@ def blocks(page: str) -> list[dict]:
             elif tag in CONTAINERS:
                 if not closing:
                     inner.append(tag)
-                elif tag in inner:
-                    while inner.pop() != tag:
-                        pass
-                elif any(t == tag for t, _, _ in stack):
+                    inside[tag] += 1
+                elif inside[tag]:
+                    last = ""
+                    while last != tag:
+                        last = inner.pop()
+                        inside[last] -= 1
+                elif opened[tag]:
                     hidden = 0
             if hidden:
                 continue
@@ -153,7 +159,7 @@ def blocks(page: str) -> list[dict]:
             if not closing and not attributes.endswith("/"):
                 if tag not in closed:
                     closed[tag] = _closed(page, tag)
-                hidden, hidden_tag, hidden_open, inner = 1, tag, at not in closed[tag], []
+                hidden, hidden_tag, hidden_open, inner, inside = 1, tag, at not in closed[tag], [], Counter()
             continue
         if tag == "br":
             parts.append(" ")
@@ -165,17 +171,22 @@ def blocks(page: str) -> list[dict]:
                 state["heading"] = 0 if closing else 1
             elif not closing:
                 state["heading"] = 0
-            state["keep"] = "" if closing or "data-keep" not in attributes else attributes.split('data-keep="')[1][0]
+            label = _LABEL.search(attributes) if labelled and not closing else None
+            state["keep"] = label[1] if label else ""
             in_link = 0
             if tag in CONTAINERS:
                 if not closing:
-                    side = _side(tag, attributes, next((s for _, s, _ in reversed(stack) if s), 0) < 0)
-                    if tag == "header" and any(s == 1 for _, s, _ in stack):
+                    _, around, keep, article = stack[-1]
+                    side = _side(tag, attributes, around < 0)
+                    if tag == "header" and article:
                         side = 0  # an article's own heading
-                    stack.append((tag, side, state["keep"]))
-                elif any(t == tag for t, _, _ in stack):
-                    while stack.pop()[0] != tag:
-                        pass
+                    stack.append((tag, side or around, state["keep"] or keep, article or side == 1))
+                    opened[tag] += 1
+                elif opened[tag]:
+                    last = ""
+                    while last != tag:
+                        last = stack.pop()[0]
+                        opened[last] -= 1
     add(page[at:])
     flush()
     return found
@@ -197,7 +208,7 @@ def classifier():
     """The tree, trained on the labelled pages of html_labels (a fixed, small table)."""
     rows, labels = [], []
     for page in PAGES:
-        found = blocks(page)
+        found = blocks(page, labelled=True)
         rows += features(found)
         labels += [b["keep"] == "1" for b in found]
     return train(np.array(rows, float), np.array(labels))

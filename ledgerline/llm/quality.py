@@ -84,7 +84,7 @@ def _coded(source, model, block_ids: int) -> Iterator[dict]:
             ids, extra = coding(text)
             a = np.array(ids, "<u4")
             block = (part << 32) + seq
-            put(block, doc_id, lang, len(a) - 1, extra, zlib.compress(a.tobytes() if size > 1 << 16 else a.astype("<u2").tobytes(), 1), None)
+            put(block, doc_id, lang, len(a) - 1, extra, zlib.compress(a.tobytes() if size > 1 << 16 else a.astype("<u2").tobytes(), 6), None)
             pairs.append(np.unique(a[:-1].astype(np.uint64) * size + a[1:]))
             have += len(a)
             if have >= block_ids:
@@ -149,7 +149,7 @@ def _answer(shards: int):
             hit[hit] = keys[at[hit]] == pairs[hit]
             if hit.any():
                 found = pairs[hit] // np.uint64(shards)
-                rows.append((block, shard, golomb.encode(found, int(found[-1]) + 1), zlib.compress(p[at[hit]].astype("<f4").tobytes(), 1)))
+                rows.append((block, shard, golomb.encode(found, int(found[-1]) + 1), zlib.compress(p[at[hit]].astype("<f4").tobytes(), 6)))
         return pd.DataFrame(rows, columns=["block", "shard", "list", "p"])
 
     return run

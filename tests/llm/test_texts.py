@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -34,10 +35,10 @@ def test_held_out_pages():
     """Each labelled page by a tree that has not seen it."""
     right = total = 0
     for i, page in enumerate(PAGES):
-        rest = [html_text.blocks(p) for k, p in enumerate(PAGES) if k != i]
+        rest = [html_text.blocks(p, labelled=True) for k, p in enumerate(PAGES) if k != i]
         rows = np.array([x for found in rest for x in html_text.features(found)], float)
         tree = train(rows, np.array([b["keep"] == "1" for found in rest for b in found]))
-        found = html_text.blocks(page)
+        found = html_text.blocks(page, labelled=True)
         for b, x in zip(found, html_text.features(found)):
             right += decide(tree, x) == (b["keep"] == "1")
             total += 1
@@ -74,6 +75,33 @@ def test_math_and_comments():
     assert html_text.main_text(page) == "text"
 
 
+@pytest.mark.parametrize("attribute", ["data-keep", "data-keep=1", 'data-keep-open="true"', 'data-keepalive="x"', 'data-keep="0"', "='", '"', "class", "class=", "id='a"])
+def test_attributes_of_a_page_mean_nothing(attribute):
+    text = "Morning light fell on the quiet harbour while the boats came back from the open sea."
+    page = f"<body><article><p {attribute}>{text}</p><p>{text}</p></article></body>"
+    if attribute.count("'") % 2 == attribute.count('"') % 2 == 0:
+        assert html_text.main_text(page) == f"{text}\n\n{text}"
+    else:
+        html_text.main_text(page)  # a quote that is never closed may hide text, and must not fail
+
+
+def test_odd_markup_never_fails():
+    rng = random.Random(8)
+    some = ["<div>", "</div>", "<p data-keep>", "<button", "</button>", "<a href='", ">", "<", "&#x110000;", "&amp", "<table><tr>", "<!--", "-->", "<svg>", "<h2>", "word", "<script>", "<math>", "\x00", "<header>", "</main>", "<main>", '"']
+    for _ in range(3000):
+        html_text.main_text("".join(rng.choice(some) for _ in range(rng.randint(1, 25))))
+
+
+def test_deep_pages_take_linear_time():
+    def seconds(depth):
+        start = time.process_time()
+        html_text.main_text("<button><nav>" + "<div>" * depth + "<p>one" + "</ul>" * depth + "</button>" + "<div>" * depth + "<p>x</p>" * depth)
+        return time.process_time() - start
+
+    seconds(1000)
+    assert seconds(40_000) < 12 * seconds(10_000) + 1
+
+
 def test_extract(spark):
     long = "<article><p>" + "word " * 60_000 + "</p></article>"
     rows = [(1, "u", "<article><p>a</p></article>", "x"), (1, "u", "<article><p>a</p></article>", "x"), (None, None, None, "x"), (2, "v", long, "x")]
