@@ -16,7 +16,7 @@ BROADCAST_ROWS = 1_000_000
 
 
 #: Bytes of a batch that become Python objects at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

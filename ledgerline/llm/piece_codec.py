@@ -70,7 +70,7 @@ def _batches(source, model, cache_entries: int, digest: bool, key: Hashable) ->
         yield out
 
 
-def encode_decode(docs: DataFrame, model_path: str, cache_entries: int = 200_000, digest: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, model_path: str, cache_entries: int = 120_000, digest: bool = False) -> DataFrame:
     """Ids (end id last, no begin id) and decoded text of every row, or their digests.
 
     One row for each row of `docs`, repeated rows and null `doc_id` included; a null or empty text has the end

@@ -36,7 +36,7 @@ def merge(text: str, score: dict[str, float], last: list[str] | None = None) ->
 class PrefixTable:
     """Encoder of pre-tokens. `memo_entries` bounds the remembered compatibility tests."""
 
-    def __init__(self, model: sentencepiece.SentencePieceProcessor, memo_entries: int = 500_000) -> None:
+    def __init__(self, model: sentencepiece.SentencePieceProcessor, memo_entries: int = 250_000) -> None:
         check(model)
         self.ids: dict[str, int] = {}
         self.byte_ids = [0] * 256
