@@ -7,11 +7,12 @@ thousand numbers, shipped to the tasks, and rows stream past it in Arrow batches
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import md5
 from math import ceil, log2
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.quantiles import exact_quantiles
@@ -39,60 +40,70 @@ def _features(m: DataFrame, *keep: str) -> DataFrame:
 def sample_for_trees(x: DataFrame, rows: int, trees: int, per_tree: int, seed: int) -> DataFrame:
     """A sample of ``per_tree`` rows for each tree, in one pass.
 
-    A row draws one number, by a hash of its key and values, so the sample does not depend on how rows are stored. Most rows of a large fact drop out on it at once;
-    for the rest, hashing the number with a tree's number decides whether that
-    tree sees the row. About twice what is needed is drawn and the rows with the
-    lowest hash are kept, so a tree's group is small by construction.
+    All draws are hashes of the item's key and values, so the sample does not depend on how rows are stored. Most rows of a large
+    fact drop out on one draw at once; for the rest, a draw for each tree decides whether that tree sees the row. About
+    twice what is needed is drawn and the rows with the lowest draws are kept, so a tree's group is small by construction.
     """
     keep = 1.0 if rows <= 2 * per_tree else 2.0 * per_tree / rows
     thin = min(1.0, trees * keep)
-    half = F.lit(2.0**63)
+
+    def ticket(tree: Column) -> Column:
+        text = F.concat_ws("|", F.lit(str(seed)), tree.cast("string"), "key")
+        return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / F.lit(float(2**48))
+
     tickets = F.transform(
-        F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: F.struct(t.alias("tree"), F.xxhash64(F.col("draw"), t, F.lit(seed)).alias("ticket")),
+        F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), ticket(t).alias("ticket"))
     )
-    chosen = F.filter(tickets, lambda s: (s["ticket"].cast("double") + half) / (half * 2) < keep / thin)
     best = Window.partitionBy("tree").orderBy("ticket", *FEATURES)
+    millionths = [F.floor(F.col(c) * 1e6 + 0.5).cast("string") for c in FEATURES]  # item keys may repeat
     return (
-        x.withColumn("draw", uniform("order_item_id", *FEATURES, seed=seed))
-        .filter(F.col("draw") < thin)
-        .select(*FEATURES, F.inline(chosen))
+        x.withColumn("key", F.concat_ws("|", F.coalesce("order_item_id", F.lit("~")), *millionths))
+        .filter(uniform("key", seed=seed) < thin)
+        .select(*FEATURES, F.inline(F.filter(tickets, lambda s: s["ticket"] < keep / thin)))
         .withColumn("place", F.row_number().over(best))
         .filter(F.col("place") <= per_tree)
         .drop("place", "ticket")
     )
 
 
+def _share(*parts: object) -> float:
+    """A number from 0 up to 1 that depends on `parts` alone, like `uniform` of a row."""
+    return int(md5("|".join(map(str, parts)).encode()).hexdigest()[:12], 16) / 2.0**48
+
+
 def _grow(sample: pd.DataFrame, seed: int) -> pd.DataFrame:
-    """Split a tree's rows at random until alone or at the depth limit."""
+    """Split a tree's rows by drawn columns and values until alone or at the depth limit.
+
+    The children of node i are 2i and 2i + 1. A node's draws are hashes of the tree's and the node's number.
+    """
     tree = int(sample["tree"].iloc[0])
-    data = sample.sort_values(FEATURES)[FEATURES].to_numpy(dtype=float)  # rows arrive in any order
-    rng = np.random.default_rng([seed, tree])
+    data = sample[FEATURES].to_numpy(dtype=float)
     limit = ceil(log2(max(len(data), 2)))
     nodes: list[list] = []
-    todo = [(np.arange(len(data)), 0, -1, "")]
+    todo = [(np.arange(len(data)), 0, 1, -1, 4)]
     while todo:
-        rows, depth, parent, side = todo.pop()
+        rows, depth, name, parent, side = todo.pop()
         here = len(nodes)
         if parent >= 0:
-            nodes[parent][4 if side == "left" else 5] = here
+            nodes[parent][side] = here
         part = data[rows]
         low, high = part.min(axis=0), part.max(axis=0)
         open_ = np.flatnonzero(high > low)
         if depth >= limit or len(rows) <= 1 or not len(open_):
-            nodes.append([tree, here, -1, 0.0, -1, -1, depth + expected_depth(len(rows))])
+            nodes.append([tree, here, -1, 0.0, -1, -1, depth + round(expected_depth(len(rows)), 6)])
             continue
-        feature = int(rng.choice(open_))
-        cut = float(rng.uniform(low[feature], high[feature]))
+        feature = int(open_[int(_share(seed, tree, name, "column") * len(open_))])
+        cut = float(low[feature] + _share(seed, tree, name, "value") * (high[feature] - low[feature]))
         goes_left = part[:, feature] <= cut
         nodes.append([tree, here, feature, cut, -1, -1, float(depth)])
-        todo.append((rows[goes_left], depth + 1, here, "left"))
-        todo.append((rows[~goes_left], depth + 1, here, "right"))
+        todo.append((rows[goes_left], depth + 1, 2 * name, here, 4))
+        todo.append((rows[~goes_left], depth + 1, 2 * name + 1, here, 5))
     return pd.DataFrame(nodes, columns=[c.split()[0] for c in NODE.split(", ")])
 
 
 def _mean_depth(data: np.ndarray, forest: list[dict[str, np.ndarray]]) -> np.ndarray:
-    total = np.zeros(len(data))
+    """Mean depth of each row, from an exact sum of millionths, so equal rows have equal scores in any order of trees."""
+    total = np.zeros(len(data), dtype=np.int64)
     row = np.arange(len(data))
     for tree in forest:
         at = np.zeros(len(data), dtype=np.int64)
@@ -104,8 +115,8 @@ def _mean_depth(data: np.ndarray, forest: list[dict[str, np.ndarray]]) -> np.nda
             value = data[row, np.where(inner, feature, 0)]
             step = np.where(value <= tree["cut"][at], tree["left"][at], tree["right"][at])
             at = np.where(inner, step, at)
-        total += tree["depth"][at]
-    return total / len(forest)
+        total += np.rint(tree["depth"] * 1e6).astype(np.int64)[at]
+    return total / 1e6 / len(forest)
 
 
 @dataclass

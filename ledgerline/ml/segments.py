@@ -1,21 +1,19 @@
 """Customer segments: features per customer, k-means, persona names."""
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions.exprs import mean_of, present, total
 from ledgerline.ml.saved import load_or_train
 from ledgerline.schemas import SEGMENT_FEATURES as FEATURES
+from ledgerline.session import materialize
 
 KEYS = ["customer_id", "customer_name", "customer_segment"]
-RESTARTS = 10
+RESTARTS, ROUNDS = 10, 20
 
 # Persona names.
 RETURN_RISK, VIP = "High Return Risk", "VIP High-Value"
@@ -52,6 +50,22 @@ def name_personas(centers: list[dict[str, float]]) -> dict[int, str]:
     return names
 
 
+def _constant(numbers: list | float) -> Column:
+    """Nested arrays of doubles, as one text: a call for each number would take longer than a round."""
+    text = lambda x: f"array({', '.join(map(text, x))})" if isinstance(x, list) else f"{x!r}D"
+    return F.expr(text(numbers))
+
+
+def _gaps(point: list[Column], centers: Column) -> Column:
+    """Squared distances to all centers, an array of arrays: a constant of the plan, so that code compiled for it serves all rounds."""
+    return F.transform(centers, lambda c: reduce(add, [(x - c[i]) * (x - c[i]) for i, x in enumerate(point)]))
+
+
+def _nearest(gaps: Column) -> Column:
+    """The number of the nearest center, the lower one of equally near ones."""
+    return (F.array_position(gaps, F.array_min(gaps)) - 1).cast("int")
+
+
 @dataclass
 class Segmenter:
     """Centers of clusters in standardised features, and the persona of each cluster."""
@@ -67,24 +81,48 @@ class Segmenter:
         return cls(mean, std, centers, name_personas(plain))
 
     @classmethod
-    def train(cls, m: DataFrame, k: int = 4, seed: int = 42, restarts: int = RESTARTS) -> "Segmenter":
-        features = rfm(m).fillna(0.0, FEATURES)
-        raw = VectorAssembler(inputCols=FEATURES, outputCol="raw").transform(features).select("raw").persist()
-        scaler = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(raw)
-        scaled = scaler.transform(raw).select("scaled").persist()
-        try:
-            # Restarts are independent jobs over the same cached rows.
-            starts = [
-                KMeans(k=k, seed=seed + i, featuresCol="scaled", predictionCol="cluster") for i in range(restarts)
-            ]
-            with ThreadPoolExecutor(restarts) as pool:
-                fits = list(pool.map(lambda start: start.fit(scaled), starts))
-        finally:
-            scaled.unpersist()
-            raw.unpersist()
-        best = min(fits, key=lambda fit: fit.summary.trainingCost)
-        centers = [[float(v) for v in center] for center in best.clusterCenters()]
-        return cls.of(scaler.mean.toArray().tolist(), scaler.std.toArray().tolist(), centers)
+    def train(
+        cls, m: DataFrame, k: int = 4, seed: int = 42, restarts: int = RESTARTS, rounds: int = ROUNDS
+    ) -> "Segmenter":
+        """Lloyd's rounds from several starts at once; the start with the lowest cost wins.
+
+        A start is the k customers with the lowest hashes of their keys. A round is one aggregate over a stored row for
+        each customer; what comes back is k centers for each start. A cluster that loses all its customers keeps its center.
+        """
+        customers = materialize(rfm(m).fillna(0.0, FEATURES), "customer-features")
+        doubles = [F.col(f).cast("double") for f in FEATURES]
+        spread = customers.agg(*[f(c) for c in doubles for f in (F.avg, F.stddev_samp)]).first()
+        mean, std = [x or 0.0 for x in spread[::2]], [x or 0.0 for x in spread[1::2]]
+        scaled = customers.select(*KEYS, *[
+            ((c - a) / b if b else F.lit(0.0)).alias(f) for f, c, a, b in zip(FEATURES, doubles, mean, std)
+        ])
+        ticket = lambda r: F.md5(F.concat_ws("|", F.lit(f"{seed}|{r}"), *KEYS))
+        first = [
+            scaled.select(F.lit(r).alias("start"), ticket(r).alias("ticket"), *KEYS, *FEATURES)
+            .orderBy("ticket", *KEYS).limit(k)
+            for r in range(restarts)
+        ]
+        centers: list[list[list[float]]] = [[] for _ in range(restarts)]
+        for r in sorted(reduce(DataFrame.unionAll, first).collect(), key=lambda r: (r["start"], r["ticket"])):  # k rows a start
+            centers[r["start"]].append([r[f] for f in FEATURES])
+        here = [F.col(f) for f in FEATURES]
+        for _ in range(rounds):
+            clusters = F.transform(
+                _constant(centers), lambda c, start: F.struct(start.alias("start"), _nearest(_gaps(here, c)).alias("cluster"))
+            )
+            means = scaled.select(*FEATURES, F.inline(clusters)).groupBy("start", "cluster").agg(*[F.avg(f).alias(f) for f in FEATURES])
+            moved = 0.0  # until rounding alone moves a center
+            for row in means.collect():  # a row for each center
+                new = [row[f] for f in FEATURES]
+                old = centers[row["start"]][row["cluster"]]
+                moved = max(moved, *(abs(a - b) for a, b in zip(new, old)))
+                centers[row["start"]][row["cluster"]] = new
+            if moved < 1e-9:
+                break
+        costs = scaled.agg(*[F.sum(F.array_min(_gaps(here, _constant(c)))) for c in centers]).first()
+        # Starts that end in the same clusters differ in the last bits of their costs alone.
+        best = min(range(restarts), key=lambda r: (round(costs[r] or 0.0, 6), r))
+        return cls.of(mean, std, centers[best])
 
     def score(self, m: DataFrame) -> DataFrame:
         """Every customer of the fact with cluster and segment_name, without refitting."""
@@ -92,9 +130,7 @@ class Segmenter:
             (F.coalesce(F.col(f).cast("double"), F.lit(0.0)) - mean) / std if std else F.lit(0.0)
             for f, mean, std in zip(FEATURES, self.mean, self.std)
         ]
-        gap = lambda x, c: (x - F.lit(c)) * (x - F.lit(c))
-        gaps = F.array(*[reduce(add, [gap(x, c) for x, c in zip(scaled, center)]) for center in self.centers])
-        cluster = (F.array_position(gaps, F.array_min(gaps)) - 1).cast("int")
+        cluster = _nearest(_gaps(scaled, _constant(self.centers)))
         persona = F.create_map(*[F.lit(x) for pair in self.names.items() for x in pair])
         scored = rfm(m).fillna(0.0, FEATURES).withColumn("cluster", cluster)
         return scored.select(*KEYS, *FEATURES, "cluster", persona[F.col("cluster")].alias("segment_name"))

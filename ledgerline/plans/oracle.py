@@ -2,6 +2,36 @@
 
 import re
 
+_GAPS = "list_transform(centers, lambda c: " + " + ".join(f"(z[{i}] - c[{i}]) * (z[{i}] - c[{i}])" for i in range(1, 6)) + ")"
+_FIELDS = "abcde"
+
+
+def _share(text: str) -> str:
+    """A number from 0 up to 1: the first 48 bits of a text's MD5."""
+    return f"(('0x' || substr(md5({text}), 1, 12))::BIGINT / 281474976710656::DOUBLE)"
+
+
+def _ranges(over: str) -> str:
+    """Rows of a node, and the least and greatest value of each column in it."""
+    return f"count(*){over} AS n, [" + ", ".join(f"min({x}){over}" for x in _FIELDS) + "] AS low, [" + ", ".join(f"max({x}){over}" for x in _FIELDS) + "] AS high"
+
+
+_OPEN = "list_filter([1, 2, 3, 4, 5], lambda i: low[i] < high[i])"
+_COLUMN = f"""CASE WHEN depth >= deepest OR n <= 1 OR len({_OPEN}) = 0 THEN 0
+    ELSE ({_OPEN})[1 + floor({_share("'42|' || tree || '|' || node || '|column'")} * len({_OPEN}))::INT] END"""
+_CUT = f"""(low[col] + {_share("'42|' || tree || '|' || node || '|value'")} * (high[col] - low[col]))"""
+
+
+def _walk() -> str:
+    """Each distinct item at its leaf of each tree; no tree is deeper than eight."""
+    at = "SELECT a, b, c, d, e, tree, 1::BIGINT AS node FROM (SELECT DISTINCT a, b, c, d, e FROM odd_items), (SELECT DISTINCT tree FROM samples)"
+    value = "CASE col " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_FIELDS, 1)) + " END"
+    for _ in range(8):
+        at = f"""SELECT a, b, c, d, e, tree, CASE WHEN col = 0 THEN node WHEN {value} <= cut THEN 2 * node ELSE 2 * node + 1 END AS node
+            FROM ({at}) JOIN nodes USING (tree, node)"""
+    return at
+
+
 # Building blocks. A query's WITH clause is made of the blocks it names, in this order.
 BLOCKS = {
     "heads": """
@@ -135,6 +165,78 @@ BLOCKS = {
                               + CASE WHEN delay_days > 7 THEN 1.5 WHEN is_returned = 0 THEN 4.0 ELSE 2.2 END::DOUBLE
                               + CASE WHEN profit_margin <= 0.1::DOUBLE THEN 1.2 WHEN gross_revenue <= 20000 THEN 3.0 ELSE 3.8 END::DOUBLE AS depths
                     FROM m))""",
+    # k-means: ten starts by hash, twenty rounds, all centers of a start in one row.
+    "scales": """
+        SELECT [avg(recency), avg(frequency), avg(monetary), avg(discount_percentage), avg(is_returned)] AS mean,
+               [stddev_samp(recency), stddev_samp(frequency), stddev_samp(monetary), stddev_samp(discount_percentage), stddev_samp(is_returned)] AS std
+        FROM rfm""",
+    "points": """
+        SELECT customer_id, customer_name, customer_segment,
+               list_transform([1, 2, 3, 4, 5], lambda i: CASE WHEN std[i] > 0 THEN (x[i] - mean[i]) / std[i] ELSE 0.0::DOUBLE END) AS z
+        FROM (SELECT *, [recency::DOUBLE, frequency::DOUBLE, monetary, discount_percentage, is_returned] AS x FROM rfm), scales""",
+    "rounds": f"""
+        SELECT 0 AS step, start, list(z ORDER BY ticket, customer_id, customer_name, customer_segment) AS centers
+        FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY ticket, customer_id, customer_name, customer_segment) AS place
+              FROM (SELECT *, md5(concat_ws('|', '42', start, customer_id, customer_name, customer_segment)) AS ticket
+                    FROM points, (SELECT unnest(range(10)) AS start)))
+        WHERE place <= 4 GROUP BY start
+        UNION ALL
+        SELECT step + 1, start, [{", ".join("[" + ", ".join(f"coalesce(avg(z[{i}]) FILTER (WHERE near = {j}), any_value(centers)[{j}][{i}])" for i in range(1, 6)) + "]" for j in range(1, 5))}]
+        FROM (SELECT *, list_position(gaps, list_min(gaps)) AS near FROM (SELECT step, start, centers, z, {_GAPS} AS gaps FROM rounds, points))
+        GROUP BY step, start HAVING step < 20""",
+    "best": f"""
+        SELECT centers FROM (SELECT start, any_value(centers) AS centers, round(sum(list_min({_GAPS})), 6) AS cost
+                             FROM rounds, points WHERE step = 20 GROUP BY start) ORDER BY cost, start LIMIT 1""",
+    "plain_centers": """
+        SELECT j, list_transform([1, 2, 3, 4, 5], lambda i: centers[j][i] * std[i] + mean[i]) AS c FROM best, scales, (SELECT unnest([1, 2, 3, 4]) AS j)""",
+    "risk": "SELECT j FROM plain_centers ORDER BY c[5] DESC, j LIMIT 1",
+    "vip": "SELECT j FROM plain_centers WHERE j NOT IN (SELECT j FROM risk) ORDER BY c[3] DESC, j LIMIT 1",
+    "seekers": "SELECT j FROM plain_centers WHERE j NOT IN (SELECT j FROM risk UNION ALL SELECT j FROM vip) ORDER BY c[4] DESC, j LIMIT 1",
+    "segmented_trained": f"""
+        SELECT rfm.*, (near - 1)::INT AS cluster,
+               CASE WHEN near IN (SELECT j FROM risk) THEN 'High Return Risk' WHEN near IN (SELECT j FROM vip) THEN 'VIP High-Value'
+                    WHEN near IN (SELECT j FROM seekers) THEN 'Discount Seekers' ELSE 'Standard Customers' END AS segment_name
+        FROM rfm JOIN (SELECT customer_id, customer_name, customer_segment, list_position(gaps, list_min(gaps)) AS near
+                       FROM (SELECT points.*, {_GAPS} AS gaps FROM points, best)) USING (customer_id, customer_name, customer_segment)""",
+    # Isolation forest: samples, columns and cuts by hash; the children of node i are 2i and 2i + 1.
+    "odd_items": """
+        SELECT order_item_id, gross_revenue::DOUBLE AS a, discount_percentage::DOUBLE AS b, delay_days::DOUBLE AS c,
+               profit_margin::DOUBLE AS d, is_returned::DOUBLE AS e,
+               concat_ws('|', order_item_id, floor(a * 1000000::DOUBLE + 0.5)::BIGINT, floor(b * 1000000::DOUBLE + 0.5)::BIGINT,
+                         floor(c * 1000000::DOUBLE + 0.5)::BIGINT, floor(d * 1000000::DOUBLE + 0.5)::BIGINT, floor(e * 1000000::DOUBLE + 0.5)::BIGINT) AS item
+        FROM m""",
+    "shares": """
+        SELECT count(*) AS n, CASE WHEN count(*) <= 512 THEN 1.0::DOUBLE ELSE 512::DOUBLE / count(*) END AS keep FROM odd_items""",
+    "samples": f"""
+        SELECT tree, a, b, c, d, e
+        FROM (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY ticket, a, b, c, d, e) AS place
+              FROM (SELECT odd_items.*, tree, keep, {_share("'42|' || tree || '|' || item")} AS ticket
+                    FROM odd_items, shares, (SELECT unnest(range(100)) AS tree)
+                    WHERE {_share("'42|' || item")} < least(1.0::DOUBLE, 100 * keep))
+              WHERE ticket < keep / least(1.0::DOUBLE, 100 * keep))
+        WHERE place <= 256""",
+    "grown": f"""
+        SELECT 0 AS depth, tree, 1::BIGINT AS node, ceil(log2(greatest(count(*) OVER (PARTITION BY tree), 2)))::INT AS deepest, a, b, c, d, e FROM samples
+        UNION ALL
+        SELECT depth + 1, tree, 2 * node + CASE WHEN [a, b, c, d, e][col] <= {_CUT} THEN 0 ELSE 1 END, deepest, a, b, c, d, e
+        FROM (SELECT *, {_COLUMN} AS col FROM (SELECT *, {_ranges(" OVER w")} FROM grown WINDOW w AS (PARTITION BY tree, node)))
+        WHERE col > 0""",
+    "nodes": f"""
+        SELECT tree, node, col, CASE WHEN col > 0 THEN {_CUT} END AS cut,
+               depth * 1000000 + round(1000000 * CASE WHEN n <= 1 THEN 0 WHEN n = 2 THEN 1
+                   ELSE 2 * (ln(n - 1.0::DOUBLE) + 0.5772156649015329) - 2 * (n - 1.0::DOUBLE) / n END)::BIGINT AS deep
+        FROM (SELECT *, {_COLUMN} AS col
+              FROM (SELECT tree, node, any_value(depth) AS depth, any_value(deepest) AS deepest, {_ranges("")} FROM grown GROUP BY tree, node))""",
+    "depths": f"""
+        SELECT a, b, c, d, e, sum(deep)::BIGINT AS total, count(*) AS trees FROM ({_walk()}) JOIN nodes USING (tree, node) GROUP BY ALL""",
+    "raw_scores": """
+        SELECT odd_items.*, -pow(2::DOUBLE, -(total / 1000000::DOUBLE / trees) / (2 * (ln(psi - 1.0::DOUBLE) + 0.5772156649015329) - 2 * (psi - 1.0::DOUBLE) / psi)) AS raw
+        FROM odd_items JOIN depths USING (a, b, c, d, e), (SELECT least(256, n) AS psi FROM shares)""",
+    "strange_trained": """
+        SELECT m.*, raw - edge AS anomaly_gap, (raw - edge < 0)::INT AS is_anomaly
+        FROM m JOIN (SELECT DISTINCT a, b, c, d, e, raw FROM raw_scores) s
+             ON gross_revenue::DOUBLE = a AND discount_percentage::DOUBLE = b AND delay_days::DOUBLE = c AND profit_margin = d AND is_returned::DOUBLE = e,
+             (SELECT quantile_cont(raw, 0.06) AS edge FROM raw_scores)""",
     "q1": """
         SELECT customer_id, customer_name, customer_segment, count(DISTINCT order_id) AS total_orders,
                round(sum(net_revenue), 2)::DOUBLE AS total_net_revenue, round(sum(gross_profit), 2)::DOUBLE AS total_profit,
@@ -254,7 +356,7 @@ def _with(body: str) -> str:
                 needed.add(name)
                 todo.append(BLOCKS[name])
     parts = [f"{name} AS MATERIALIZED ({text})" for name, text in BLOCKS.items() if name in needed]
-    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
+    return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + body
 
 
 def _columns(*names: str) -> str:
@@ -588,23 +690,25 @@ BODIES["k15_leakage_kpis"] = """
     SELECT coalesce(sum(leakage_amount), 0)::DOUBLE AS total_leakage,
            coalesce(sum(leakage_amount)::DOUBLE / nullif(sum(net_revenue + pricing_leakage)::DOUBLE, 0), 0) AS leakage_rate FROM f"""
 
-BODIES["a2_customer_segments"] = """
+# Models given as constants ("given") and models that the SQL trains itself, by the same hashed draws.
+for _kind, _segmented, _strange in (("_given_model", "segmented", "strange"), ("", "segmented_trained", "strange_trained")):
+    BODIES["a2_customer_segments" + _kind] = f"""
     SELECT customer_id, customer_name, customer_segment, recency, frequency, monetary, discount_percentage, is_returned, cluster, segment_name
-    FROM segmented"""
-BODIES["a3_personas"] = """
+    FROM {_segmented}"""
+    BODIES["a3_personas" + _kind] = f"""
     SELECT segment_name, count(*) AS customers, round(avg(recency), 4) + 0.0 AS recency, round(avg(frequency), 4) + 0.0 AS frequency,
            round(avg(monetary), 4) + 0.0 AS monetary, round(avg(discount_percentage), 4) + 0.0 AS discount_percentage,
-           round(avg(is_returned), 4) + 0.0 AS is_returned FROM segmented GROUP BY segment_name"""
-BODIES["a4_leakage_anomalies"] = """
-    SELECT order_item_id, order_id, product_id, round(anomaly_gap, 6) + 0.0 AS anomaly_score, is_anomaly FROM strange"""
-BODIES["k15_leakage_kpis_with_anomalies"] = """
+           round(avg(is_returned), 4) + 0.0 AS is_returned FROM {_segmented} GROUP BY segment_name"""
+    BODIES["a4_leakage_anomalies" + _kind] = f"""
+    SELECT order_item_id, order_id, product_id, round(anomaly_gap, 6) + 0.0 AS anomaly_score, is_anomaly FROM {_strange}"""
+    BODIES["k15_leakage_kpis_with_anomalies" + _kind] = f"""
     SELECT coalesce(sum(leakage_amount), 0)::DOUBLE AS total_leakage,
            coalesce(sum(leakage_amount)::DOUBLE / nullif(sum(net_revenue + pricing_leakage)::DOUBLE, 0), 0) AS leakage_rate,
-           coalesce(sum(is_anomaly), 0)::BIGINT AS anomalies FROM strange"""
-BODIES["k19_anomaly_audit"] = """
+           coalesce(sum(is_anomaly), 0)::BIGINT AS anomalies FROM {_strange}"""
+    BODIES["k19_anomaly_audit" + _kind] = f"""
     SELECT order_id, customer_name, sales_rep_name, order_status, delay_days, discount_percentage::DOUBLE AS discount_percentage,
            leakage_amount::DOUBLE AS leakage_amount, profit_margin
-    FROM strange WHERE is_anomaly = 1 ORDER BY leakage_amount::DOUBLE DESC, order_id, order_item_id LIMIT 30"""
+    FROM {_strange} WHERE is_anomaly = 1 ORDER BY leakage_amount::DOUBLE DESC, order_id, order_item_id LIMIT 30"""
 BODIES["a14_saved_models"] = """
     SELECT * FROM (VALUES ('segments', 0::BIGINT), ('anomalies', 0::BIGINT), ('demand', 0::BIGINT)) AS v(model, differing_rows)"""
 

@@ -210,10 +210,10 @@ def test_grouped_forecast_equals_the_group_alone(star):
 def test_registered_trained_models(spark):
     """Anomalies are 6 %, and the trained centers fit the data better than the given ones do."""
     run = lambda name: QUERIES[name](spark, SF_DIR)
-    anomalies = run("a4_leakage_anomalies_trained").agg(F.avg("is_anomaly").alias("share"), F.sum("is_anomaly").alias("n")).first()
+    anomalies = run("a4_leakage_anomalies").agg(F.avg("is_anomaly").alias("share"), F.sum("is_anomaly").alias("n")).first()
     assert anomalies.share == pytest.approx(0.06, abs=0.01)
-    assert run("k15_leakage_kpis_with_anomalies_trained").first().anomalies == anomalies.n
-    assert run("k19_anomaly_audit_trained").count() == min(30, anomalies.n)
+    assert run("k15_leakage_kpis_with_anomalies").first().anomalies == anomalies.n
+    assert run("k19_anomaly_audit").count() == min(30, anomalies.n)
 
     def cost(name):
         p = run(name).toPandas()
@@ -221,7 +221,7 @@ def test_registered_trained_models(spark):
         x = (x - x.mean()) / x.std().replace(0, 1)
         return sum(((x[p.cluster == c] - x[p.cluster == c].mean()) ** 2).to_numpy().sum() for c in p.cluster.unique())
 
-    assert cost("a2_customer_segments_trained") < cost("a2_customer_segments")
-    personas = run("a3_personas_trained").collect()
+    assert cost("a2_customer_segments") < cost("a2_customer_segments_given_model")
+    personas = run("a3_personas").collect()
     assert len({r.segment_name for r in personas}) == 4
-    assert sum(r.customers for r in personas) == run("a2_customer_segments_trained").count()
+    assert sum(r.customers for r in personas) == run("a2_customer_segments").count()
