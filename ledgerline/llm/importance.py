@@ -28,7 +28,7 @@ _WORD = (_CODES >= 0x80) | ((_CODES >= 0x30) & (_CODES <= 0x39)) | ((_CODES >= 0
 _NORMAL = np.where(_WORD, np.where((_CODES >= 0x41) & (_CODES <= 0x5A), _CODES + 32, _CODES), 0x20).astype(np.uint8).tobytes()
 
 
-def _crc_steps() -> np.ndarray:
+def crc_steps() -> np.ndarray:
     """What each byte value does to a CRC-32 (reflected polynomial 0xEDB88320)."""
     steps = np.arange(256, dtype=np.uint32)
     for _ in range(8):
@@ -36,7 +36,7 @@ def _crc_steps() -> np.ndarray:
     return steps
 
 
-_STEPS = _crc_steps()
+_STEPS = crc_steps()
 
 
 def crc32_rows(rows: np.ndarray) -> np.ndarray:

@@ -118,7 +118,33 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.url_filter(pages, labels)
 
 
-@query("op11_importance")
+_STEPS = ", ".join(map(str, importance.crc_steps().tolist()))
+
+
+@query("op11_importance", rf"""
+    WITH texts AS (SELECT 0 AS side, doc_id, text FROM documents UNION ALL SELECT 1, NULL, text FROM benchmark),
+    rows AS (SELECT side, doc_id, row_number() OVER () AS r,
+                    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM texts),
+    runs AS (SELECT side, r, words, k, unnest(range(len(words) - k + 1)) AS i FROM rows, (SELECT unnest([1, 2, 3]) AS k) WHERE len(words) >= k),
+    features AS MATERIALIZED (SELECT side, r, array_to_string(words[i + 1 : i + k], ' ') AS f FROM runs),
+    bytes AS (SELECT f, hex(f) AS h FROM (SELECT DISTINCT f FROM features)),
+    buckets AS MATERIALIZED (
+        SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+                                  lambda c, b: xor(c >> 8, ([{_STEPS}]::BIGINT[])[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM bytes),
+    counts AS (SELECT bucket, count(*) FILTER (WHERE side = 0) AS s, count(*) FILTER (WHERE side = 1) AS t FROM features JOIN buckets USING (f) GROUP BY bucket),
+    gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM counts)::BIGINT + 10000)
+                                             / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM counts)::BIGINT + 10000))))::BIGINT AS gain FROM counts),
+    weights AS (SELECT r, count(*) AS n_features, sum(gain)::BIGINT AS weight
+                FROM features JOIN buckets USING (f) JOIN gains USING (bucket) WHERE side = 0 GROUP BY r),
+    scores AS (
+        SELECT doc_id, len(words) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+               (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score
+        FROM rows LEFT JOIN weights USING (r) WHERE side = 0),
+    able AS (SELECT *, n_words >= 20 AND doc_id IS NOT NULL AS able FROM scores),
+    places AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY able) AS n FROM able)
+    SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 5 * n // 100 THEN place END AS rank FROM places
+""")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
 
