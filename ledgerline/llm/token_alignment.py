@@ -11,8 +11,6 @@ import json
 import re
 import struct
 from collections.abc import Callable, Hashable, Iterable, Iterator
-from itertools import groupby
-from operator import itemgetter
 from typing import Any
 
 import numpy as np
@@ -138,9 +136,11 @@ class Sides:
 
     def _encoded(self, some: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """Both sides' ids of pre-tokens, many at a time: a token that begins with a space or line feed begins a pre-token."""
-        settled = [self.fast is not None and _SETTLED.fullmatch(k) is not None for k in some]
-        for quick, group in groupby(zip(settled, some, strict=True), key=itemgetter(0)):
-            yield from self._encoded_alike([k for _, k in group], quick)
+        quick = [k for k in some if self.fast is not None and _SETTLED.fullmatch(k)]
+        rest = list(dict.fromkeys(some).keys() - set(quick))
+        made = dict(zip(quick, self._encoded_alike(quick, True), strict=True))
+        made |= zip(rest, self._encoded_alike(rest, False), strict=True)
+        yield from map(made.__getitem__, some)
 
     def _encoded_alike(self, some: list[str], quick: bool) -> Iterator[tuple[bytes, bytes]]:
         for at in range(0, len(some), 2000):
@@ -276,7 +276,7 @@ def _pieces(texts: list[str | None], size: int) -> Iterator[slice]:
             start, total = i, 0
 
 
-def aligned_documents(docs: DataFrame, a_path: str, b_path: str, entries: int = 160_000) -> DataFrame:
+def aligned_documents(docs: DataFrame, a_path: str, b_path: str, entries: int = 240_000) -> DataFrame:
     """Of each row its ids' numbers, groups and links (pairs of little-endian u32: id of A, id of B)."""
     a, b = (docs.sparkSession.sparkContext.broadcast(file_of(p)) for p in (a_path, b_path))
     key = identity(f"alignment {entries}", a.value, b.value)
