@@ -346,6 +346,54 @@ MONEY_COLUMNS = {
 }
 
 
+def _least_squares(name: str, group: str) -> dict[str, str]:
+    """Forecasts of each group with six months or more: normal equations of standardised features, solved by elimination,
+    then one month after the other."""
+    six = "[1, 2, 3, 4, 5, 6]"
+    each = lambda text: "[" + ", ".join(text.format(i=i) for i in range(1, 7)) + "]"
+    season = "2 * pi() * {0} / 12"
+    return {
+        f"{name}_months": f"""
+            SELECT g, "month", y, row_number() OVER w AS t, lag(y, 1) OVER w AS l1, lag(y, 2) OVER w AS l2, lag(y, 3) OVER w AS l3, count(*) OVER (PARTITION BY g) AS n
+            FROM (SELECT {group} AS g, "month", sum(net_revenue)::DOUBLE AS y FROM m GROUP BY ALL) WINDOW w AS (PARTITION BY g ORDER BY "month")""",
+        f"{name}_rows": f"""
+            SELECT g, y, n, [t::DOUBLE, sin({season.format('"month"[6:7]::INT')}), cos({season.format('"month"[6:7]::INT')}), l1, l2, l3] AS x
+            FROM {name}_months WHERE l3 IS NOT NULL AND n >= 6""",
+        f"{name}_scale": f"""
+            SELECT g, any_value(n) AS n, count(*) AS known, avg(y) AS middle, {each("avg(x[{i}])")} AS mean, {each("stddev_pop(x[{i}])")} AS std
+            FROM {name}_rows GROUP BY g""",
+        f"{name}_z": f"""
+            SELECT g, y - middle AS v, list_transform({six}, lambda i: (x[i] - mean[i]) / std[i]) AS z FROM {name}_rows JOIN {name}_scale USING (g)""",
+        f"{name}_steps": f"""
+            SELECT g, 1 AS k, [{", ".join("[" + ", ".join(f"sum(z[{i}] * z[{j}])" for j in range(1, 7)) + f", sum(z[{i}] * v)]" for i in range(1, 7))}] AS aug
+            FROM {name}_z GROUP BY g
+            UNION ALL
+            SELECT g, k + 1, list_transform({six}, lambda i: CASE WHEN i = k THEN aug[i]
+                       ELSE list_transform([1, 2, 3, 4, 5, 6, 7], lambda j: aug[i][j] - aug[i][k] / aug[k][k] * aug[k][j]) END)
+            FROM {name}_steps WHERE k <= 6""",
+        f"{name}_fit": f"""
+            SELECT g, any_value(coef) AS coef, sqrt(sum(pow(v - list_sum(list_transform({six}, lambda i: coef[i] * z[i])), 2)) / (any_value(known) - 6)) AS error
+            FROM (SELECT g, list_transform({six}, lambda i: aug[i][7] / aug[i][i]) AS coef FROM {name}_steps WHERE k = 7)
+                 JOIN {name}_z USING (g) JOIN {name}_scale USING (g) GROUP BY g""",
+        f"{name}_rolled": f"""
+            SELECT g, 0 AS step, "month"[1:4]::INT * 12 + "month"[6:7]::INT - 1 AS nth, [y, l1, l2] AS past, y AS value FROM {name}_months WHERE t = n AND n >= 6
+            UNION ALL
+            SELECT g, step, nth, [value, past[1], past[2]], value
+            FROM (SELECT g, step + 1 AS step, nth + 1 AS nth, past,
+                         middle + list_sum(list_transform({six}, lambda i: coef[i] * ([(n + step + 1)::DOUBLE, sin({season.format("((nth + 1) % 12 + 1)")}), cos({season.format("((nth + 1) % 12 + 1)")}),
+                                                                                   past[1], past[2], past[3]][i] - mean[i]) / std[i])) AS value
+                  FROM {name}_rolled JOIN {name}_fit USING (g) JOIN {name}_scale USING (g) WHERE step < 6)""",
+        f"{name}_ahead": f"""
+            SELECT g, (nth // 12) || '-' || lpad((nth % 12 + 1)::VARCHAR, 2, '0') AS "month", step::INT AS step, round(value, 0) + 0.0 AS forecasted_revenue,
+                   round(greatest(0.0::DOUBLE, value - 1.96::DOUBLE * error * sqrt(1 + 0.1::DOUBLE * (step - 1))), 0) + 0.0 AS lower_ci,
+                   round(value + 1.96::DOUBLE * error * sqrt(1 + 0.1::DOUBLE * (step - 1)), 0) + 0.0 AS upper_ci
+            FROM {name}_rolled JOIN {name}_fit USING (g) WHERE step > 0""",
+    }
+
+
+BLOCKS |= _least_squares("whole", "''") | _least_squares("parts", "region_name || '|' || category")
+
+
 def _with(body: str) -> str:
     """Put the blocks a text needs, and the blocks those need, in front of it."""
     needed, todo = set(), [body]
@@ -712,6 +760,12 @@ for _kind, _segmented, _strange in (("_given_model", "segmented", "strange"), ("
 BODIES["a14_saved_models"] = """
     SELECT * FROM (VALUES ('segments', 0::BIGINT), ('anomalies', 0::BIGINT), ('demand', 0::BIGINT)) AS v(model, differing_rows)"""
 
+BODIES["a9_forecast"] = "SELECT \"month\", step, forecasted_revenue, lower_ci, upper_ci FROM whole_ahead"
+BODIES["a9_forecast_by_region_category"] = """
+    SELECT split_part(g, '|', 1) AS region_name, split_part(g, '|', 2) AS category, "month", step, forecasted_revenue, lower_ci, upper_ci FROM parts_ahead"""
+BODIES["s9_forecast_table"] = """
+    SELECT round((SELECT sum(value) FROM whole_rolled WHERE step > 0), 0) + 0.0 AS forecast_6m, (SELECT sum(net_revenue)::DOUBLE / count(*) * 6 FROM m) AS fallback_6m"""
+
 # The same over the filtered fact; what is written over it above becomes the whole.
 for _name in ("k3_monthly_growth", "k5_region_against_target", "k10_customer_kpis", "k15_leakage_kpis", "k20_financial_statement"):
     BODIES[f"{_name}_filtered"] = BODIES[_name]

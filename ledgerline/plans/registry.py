@@ -143,9 +143,10 @@ def _(w):
     spark, path = _scratch(w, "forecast")
     fallback = kpi.forecast_total(w.master, warehouse.load_forecast(spark, path)).scalar()
     warehouse.save_forecast(forecast.forecast(w.master), path)
-    return kpi.forecast_total(w.master, warehouse.load_forecast(spark, path)).select(
+    total = kpi.forecast_total(w.master, warehouse.load_forecast(spark, path)).select(
         "forecast_6m", fallback.alias("fallback_6m")
     )
+    return _round(total, 0, "forecast_6m")
 
 
 @query("s10_named_query_bind")
@@ -456,8 +457,9 @@ query("a7_scenario_economics")(
     )
 )
 query("a8_monthly_features")(lambda w: _round(forecast.monthly_features(w.master), 6, "month_sin", "month_cos"))
-query("a9_forecast")(lambda w: forecast.forecast(w.master))
-query("a9_forecast_by_region_category")(lambda w: forecast.forecast(w.master, ["region_name", "category"]))
+AHEAD = ("forecasted_revenue", "lower_ci", "upper_ci")
+query("a9_forecast")(lambda w: _round(forecast.forecast(w.master), 0, *AHEAD))
+query("a9_forecast_by_region_category")(lambda w: _round(forecast.forecast(w.master, ["region_name", "category"]), 0, *AHEAD))
 query("a10_short_history")(
     lambda w: forecast.short_forecast(forecast.monthly_revenue(w.master, ["customer_id"]), ["customer_id"])
 )
