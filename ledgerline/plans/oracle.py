@@ -627,13 +627,13 @@ _add(
                b.drop_amount AS region_drop_amount, CASE WHEN c.status = 'decline' THEN s.discount_spike END AS discount_spike,
                CASE WHEN c.status = 'decline' THEN s.return_spike END AS return_spike,
                CASE c.status WHEN 'growth' THEN
-                   format('Revenue grew by ${:,.2f} ({:.2f}%) from {} to {}.', abs(change_amount), abs(change_pct), prev_month, latest_month)
+                   format('Net revenue, {} to {}: growth of ${:,.2f}, {:.2f}%.', prev_month, latest_month, abs(change_amount), abs(change_pct))
                WHEN 'decline' THEN
-                   format('Revenue declined by ${:,.2f} (-{:.2f}%) from {} to {}.', abs(change_amount), abs(change_pct), prev_month, latest_month)
-                   || format(' Hardest hit category: {}, down ${:,.2f}.', a.category, abs(a.drop_amount))
-                   || format(' Hardest hit region: {}, down ${:,.2f}.', b.region_name, abs(b.drop_amount))
-                   || CASE WHEN discount_spike > 0.02 THEN format(' Average discount rose by {:.1f} percentage points.', discount_spike * 100) ELSE '' END
-                   || CASE WHEN return_spike > 0.03 THEN format(' Return rate rose by {:.1f} percentage points.', return_spike * 100) ELSE '' END
+                   format('Net revenue, {} to {}: decline of ${:,.2f}, {:.2f}%.', prev_month, latest_month, abs(change_amount), abs(change_pct))
+                   || format(' Category {}: ${:,.2f} less.', a.category, abs(a.drop_amount))
+                   || format(' Region {}: ${:,.2f} less.', b.region_name, abs(b.drop_amount))
+                   || CASE WHEN discount_spike > 0.02 THEN format(' Mean discount: {:.1f} points more.', discount_spike * 100) ELSE '' END
+                   || CASE WHEN return_spike > 0.03 THEN format(' Share of returns: {:.1f} points more.', return_spike * 100) ELSE '' END
                ELSE 'Not enough history to compare.' END AS message
         FROM change c LEFT JOIN cat_drop a ON true LEFT JOIN reg_drop b ON true LEFT JOIN spike s ON true""",
     r6_ineffective_marketing="SELECT * FROM wasted",
