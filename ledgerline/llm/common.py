@@ -6,13 +6,14 @@ from collections.abc import Callable, Hashable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType, _parse_datatype_string
 
-#: A side with at most this many rows of two longs (some 100 MB when hashed at the very most) may be broadcast.
-BROADCAST_ROWS = 1_000_000
+#: A side of at most so many bytes, counted in its rows (some 100 MB when hashed at the very most), may be broadcast.
+BROADCAST_BYTES = 48 << 20
+ROW_BYTES, CELL_BYTES = 16, 16  # what a row and a value that is not text take at most
 
 
 #: Bytes of a batch that become Python objects at once.
@@ -91,18 +92,39 @@ def file_of(path: str) -> bytes:
         return f.read()
 
 
+def _bytes_of(cell: Column, kind: DataType) -> Column:
+    """About how many bytes a value takes in memory: texts and lists by their true lengths."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return CELL_BYTES + F.coalesce(F.octet_length(cell), F.lit(0)).cast("long")
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, (StringType, BinaryType, ArrayType, StructType)):
+            return F.coalesce(
+                F.aggregate(cell, F.lit(CELL_BYTES).cast("long"), lambda n, x: n + _bytes_of(x, kind.elementType)), F.lit(CELL_BYTES).cast("long")
+            )
+        return CELL_BYTES + F.coalesce(F.when(cell.isNotNull(), F.size(cell)), F.lit(0)).cast("long") * CELL_BYTES
+    if isinstance(kind, StructType):
+        return sum((_bytes_of(cell.getField(f.name), f.dataType) for f in kind), F.lit(CELL_BYTES).cast("long"))
+    return F.lit(CELL_BYTES).cast("long")
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether all rows of a stored frame together take at most BROADCAST_BYTES, whatever their number and widths."""
+    row = sum((_bytes_of(df[f"`{f.name}`"], f.dataType) for f in df.schema), F.lit(ROW_BYTES).cast("long"))
+    return (df.agg(F.sum(row)).first()[0] or 0) <= BROADCAST_BYTES
+
+
 def small(df: DataFrame) -> DataFrame:
-    """Broadcast a stored frame if it is counted to be small; a larger one is joined by a shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """Broadcast a stored frame if it is measured to be small; a larger one is joined by a shuffle."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, column: str, anti: bool = False) -> DataFrame:
     """Rows of `df` whose `column` is (not) in `ids`, a stored frame of one column.
 
-    A counted, bounded list is broadcast so that wide rows stay where they are; a longer one is joined by a
+    A measured, bounded list is broadcast so that wide rows stay where they are; a longer one is joined by a
     shuffle. Null matches null.
     """
     other = ids.select(F.col(column).alias("__id")).distinct()
-    if ids.count() <= BROADCAST_ROWS:
+    if is_small(ids):
         other = F.broadcast(other)
     return df.join(other, df[column].eqNullSafe(other["__id"]), "left_anti" if anti else "left_semi")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import BROADCAST_ROWS, arrow_map, keep_ids, small
+from ledgerline.llm.common import arrow_map, keep_ids, small
 from ledgerline.llm.components import components
 from ledgerline.llm.near_dedup import _alike_sets, _linked, _mix
 from ledgerline.session import materialize
@@ -232,7 +232,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, everywhere: bool = False) ->
     gone = materialize(gone.withColumnsRenamed({"doc_id": "__doc", "text_hash": "__hash"}), "gone")
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
     same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("text_hash") == F.col("__hash"))
-    rows = rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS // 4 else gone, same, "left")
+    rows = rows.join(small(gone), same, "left")
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda _, i: ~F.array_contains("gone", i))
     return rows.select(
