@@ -216,7 +216,7 @@ def test_decontamination(documents, spark):
 
 
 def test_decontamination_by_shuffles_only(documents, spark, monkeypatch):
-    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     passage = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
     docs = [(1, f"before {passage} after"), (2, passage[:40]), (3, None)]
     bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
@@ -342,31 +342,71 @@ def test_templates_find_the_bad_branch(spark):
     assert len(got) == len(rows)
     by = {r["page_id"]: r for r in got}
     assert all(by[i]["verdict"] == ("block" if i % 3 == 2 else "allow") for i in range(400))
-    assert all(by[1000 + i]["verdict"] == "block" and by[1000 + i]["template"] == "/spam/*" for i in range(5))
-    assert by[0]["template"] == by[1]["template"] == "/*/*" and by[2001]["template"] == "" and by[2000]["host"] == ""
-    assert by[2002]["template"].endswith("/**")
-    # Purity by hand: root, host, /spam, /spam/*, each level smoothed by 5 rows of the one above.
-    n, b = len(bad), sum(x for _, x in bad)
-    spam = [x for i, x in bad if i % 3 == 2]
-    share = (b + 1) / (n + 2)
-    share = (b + 5 * share) / (n + 5)
-    for _ in range(2):
-        share = (sum(spam) + 5 * share) / (len(spam) + 5)
+    assert all(by[1000 + i]["verdict"] == "block" and by[1000 + i]["template"] == "/spam/**" for i in range(5))
+    assert by[0]["template"] == by[1]["template"] and by[0]["template"].startswith("/news|+1~")
+    assert by[2001]["template"] == "" and by[2000]["host"] == "" and by[2002]["template"].endswith("/**")
+    # Share by hand: /spam has its own pages and, as prior, all others of the host; those have no pages of other hosts.
+    spam, others = [x for i, x in bad if i % 3 == 2], [x for i, x in bad if i % 3 != 2]
+    share = (sum(others) + 5 * 0.5) / (len(others) + 5)
+    share = (sum(spam) + 5 * share) / (len(spam) + 5)
     assert by[2]["bad_share"] == pytest.approx(share, abs=1e-6)
     assert url_templates.url_filter(pages.limit(0), labels).count() == 0
     assert {r["verdict"] for r in url_templates.url_filter(pages, labels.limit(0), threshold=0.6).collect()} == {"allow"}
 
 
 def test_templates_of_a_small_section_and_of_deep_paths(spark):
-    """A bad section with a hundredth of its host's pages, and verdicts that differ from the level `depth` on."""
+    """A bad section with a hundredth of its host's pages, and verdicts that differ far down."""
     rows, bad = [], []
     for i in range(3000):
         rows.append((i, f"https://site.example/{'spam' if i % 100 == 0 else f's{i % 7}'}/{i}"))
         bad.append((i, i % 100 == 0))
     for i in range(200):
-        rows.append((5000 + i, f"https://deep.example/a/{'spam' if i % 2 else 'news'}/{i}"))
+        rows.append((5000 + i, f"https://deep.example/a/b/c/d/e/f/g/h/{'spam' if i % 2 else 'news'}/{i}"))
         bad.append((5000 + i, i % 2 == 1))
     pages = spark.createDataFrame(rows, "page_id long, url string")
-    got = url_templates.url_filter(pages, spark.createDataFrame(bad, "page_id long, bad boolean"), depth=2).collect()
+    got = url_templates.url_filter(pages, spark.createDataFrame(bad, "page_id long, bad boolean")).collect()
     assert len(got) == len(rows)
     assert {r["page_id"]: r["verdict"] == "block" for r in got} == dict(bad)
+
+
+def test_evidence_counts_once(spark):
+    """Three bad pages have one share, whatever the length of their paths and however far the tree goes."""
+    rows, bad = [(i, f"https://other.example/{i}") for i in range(10)], [(i, False) for i in range(10)]
+    for depth in range(1, 7):
+        for i in range(3):
+            rows.append((100 * depth + i, f"https://h{depth}.example/" + "/".join(["s"] * (depth - 1) + [str(i)])))
+            bad.append((100 * depth + i, True))
+    pages, labels = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(bad, "page_id long, bad boolean")
+    for model in ({}, {"least_count": 1, "least_labelled": 1}):
+        got = url_templates.url_filter(pages, labels, **model).collect()
+        assert len({r["bad_share"] for r in got if r["page_id"] >= 100}) == 1
+
+
+@pytest.mark.parametrize("siblings", [16, 60])
+def test_any_number_of_similar_siblings_is_one_branch(spark, siblings):
+    rows, bad = [], []
+    for s in range(siblings):
+        for i in range(20):
+            rows.append((len(rows), f"https://h.example/bad{s}/{len(rows)}"))
+            bad.append((len(rows) - 1, i < 19))
+    for i in range(40 * siblings):
+        rows.append((len(rows), f"https://h.example/good{i}/x"))
+        bad.append((len(rows) - 1, i % 20 == 0))
+    pages, labels = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(bad, "page_id long, bad boolean")
+    got = url_templates.url_filter(pages, labels).collect()
+    branches = {r["template"].split("/")[1] for r in got if "/bad" in r["path"]}
+    assert len(branches) == 1 and branches != {"*"}
+    assert all(r["verdict"] == ("block" if "/bad" in r["path"] else "allow") for r in got)
+
+
+def test_pages_with_columns_of_the_results_names(spark):
+    rows = [(i, f"https://h.example/{i}", "x", 1, "t", None) for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, path int, template string, rest string")
+    got = url_templates.url_filter(pages, spark.createDataFrame([], "page_id long, bad boolean")).collect()
+    assert sorted(r["path"] for r in got) == [f"/{i}" for i in range(5)]
+
+
+def test_side_is_small_by_bytes(spark, monkeypatch):
+    few = spark.createDataFrame([("x" * 3000, ["y" * 2000, None], [1, 2])] * 4 + [(None, None, None)], "a string, b array<string>, c array<long>")
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 20_000)
+    assert not common.is_small(few) and common.is_small(few.select("c")) and common.is_small(few.limit(0))
