@@ -9,9 +9,9 @@
 5. Distributed union-find makes components of the confirmed links.
 
 No bucket or cluster is compared pair by pair as a whole, and none is held whole by a task: large ones are cut into
-pieces that all contain one common member, the hub. Members that a piece leaves unconnected with the hub are then compared
-with every piece. Two members that are both connected with the hub need no comparison, so no link is lost that
-would connect anything.
+pieces, bounded by members and bytes, that all contain one common member, the hub. Members that a piece leaves unconnected
+with the hub are then cut into blocks, bounded like pieces, and each block is compared with each piece by a task of its own.
+Two members that are both connected with the hub need no comparison, so no link is lost that would connect anything.
 """
 
 import hashlib
@@ -34,6 +34,7 @@ SKETCH_BITS = 512
 #: have a standard error of 0.032 at 0.8.
 MARGIN = 0.17
 PIECE = 2048  # members of a bucket or cluster that one step compares
+PIECE_BYTES = 16 << 20  # and the bytes of what they are compared by; one member may have more
 SCHEMA = "doc_id long, n_shingles long, component_id long, kept boolean"
 
 _SEEDS = np.random.default_rng(20).integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -222,37 +223,38 @@ def _pieces(rows: DataFrame, alike_of: Callable[[list[bytes]], Callable[[int], n
 
 
 def _linked(members: DataFrame, data: DataFrame, alike_of, name: str) -> DataFrame:
-    """Links (a, b) that connect the members (bucket, doc_id) of each bucket as all its similar pairs would.
+    """Links (a, b) that connect the members (bucket, doc_id, bytes) of each bucket as all its similar pairs would.
 
-    `data` (doc_id, data) is what they are compared by; it is joined last, so that it moves once for each piece.
-
-    Buckets of more than PIECE members are cut; see the module's text. Members left alone in a cut bucket meet all its
-    pieces in a second pass.
+    `data` (doc_id, data) is what they are compared by, some `bytes` each; it is joined last, so that it moves once for
+    each piece. Buckets of more than PIECE members or PIECE_BYTES are cut; see the module's text. In the second pass a
+    task holds one block of the members left alone and one piece, however many are alone.
     """
     sizes = materialize(
-        members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("hub")).where("size > 1"), f"{name}-sizes"
+        members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("total"), F.min("doc_id").alias("hub"))
+        .where("size > 1"), f"{name}-sizes",
     )
-    n_pieces = F.ceil(F.col("size") / PIECE).cast("int")
-    rows = members.join(sizes, "bucket").withColumns({"several": F.col("size") > PIECE, "n_pieces": n_pieces})
+    parts = F.least("size", F.greatest(F.ceil(F.col("size") / PIECE), F.ceil(F.col("total") / PIECE_BYTES))).cast("int")
+    rows = members.join(sizes.select("bucket", "hub", parts.alias("n_pieces")), "bucket").withColumn("several", F.col("n_pieces") > 1)
+    own = F.pmod(F.xxhash64("doc_id"), F.col("n_pieces")).cast("int")
     every = F.sequence(F.lit(0), F.col("n_pieces") - 1)
-    cut = rows.withColumn("pieces", F.when(F.col("doc_id") == F.col("hub"), every).otherwise(
-        F.array(F.pmod(F.xxhash64("doc_id"), F.col("n_pieces")).cast("int"))
-    ))
-    found = materialize(_pieces(cut.withColumn("piece", F.explode("pieces")).join(data, "doc_id"), alike_of), f"{name}-links")
+    own_pieces = F.when(F.col("doc_id") == F.col("hub"), every).otherwise(F.array(own))
+    cut = rows.withColumn("piece", F.explode(own_pieces))
+    found = materialize(_pieces(cut.join(data, "doc_id"), alike_of), f"{name}-links")
     alone = found.where("alone").select("bucket", F.col("a").alias("doc_id")).distinct()
     if not alone.isEmpty():
-        # Few, or the bucket is a mixture whose parts have to be compared: a stated set against all, in pieces.
-        alone = materialize(alone, f"{name}-alone").withColumn("left_alone", F.lit(True))
-        again = (
-            rows.where("several").join(alone, ["bucket", "doc_id"], "left")
-            .withColumn("pieces", F.when((F.col("doc_id") == F.col("hub")) | F.col("left_alone"), every).otherwise(
-                F.array(F.pmod(F.xxhash64("doc_id"), F.col("n_pieces")).cast("int"))
-            ))
-            .withColumn("piece", F.explode("pieces")).withColumn("several", F.lit(False))
-            .join(alone.select("bucket").distinct(), "bucket", "left_semi")
-            .join(data, "doc_id")
+        # Few, or the bucket is a mixture whose parts have to be compared: a stated set against all, block by piece.
+        alone = materialize(alone.join(rows.where("several"), ["bucket", "doc_id"]), f"{name}-alone")
+        blocks = alone.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("total"))
+        blocks = materialize(blocks.select("bucket", parts.alias("n_blocks")), f"{name}-blocks")
+        tile = [F.col("bucket"), F.col("doc_id"), F.col("hub"), F.lit(False).alias("several")]
+        left = alone.join(blocks, "bucket").select(
+            *tile, F.explode(every).alias("p"), F.pmod(F.xxhash64("doc_id", F.lit("block")), F.col("n_blocks")).cast("int").alias("block"), "n_blocks"
         )
-        found = found.where("NOT alone").unionByName(_pieces(again, alike_of))
+        right = rows.where("several").join(blocks, "bucket").select(
+            *tile, own_pieces.alias("own"), F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), "n_blocks"
+        ).withColumn("p", F.explode("own")).drop("own")
+        again = left.unionByName(right.select(left.columns)).withColumn("piece", F.col("p") * F.col("n_blocks") + F.col("block"))
+        found = found.where("NOT alone").unionByName(_pieces(again.join(data, "doc_id"), alike_of))
     return found.where("NOT alone").select("a", "b").distinct()
 
 
@@ -281,7 +283,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     )
     # Most keys have one member; only the others carry sketches on.
     shared = materialize(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "buckets")
-    members = keys.join(shared, "bucket", "left_semi")
+    members = keys.join(shared, "bucket", "left_semi").withColumn("bytes", F.lit(SKETCH_BITS // 8))
     sketches = reps.select("doc_id", F.col("sketch").alias("data"))
     most = _most_differing_bits(percent / 100 - MARGIN)
     candidates = _linked(members, sketches, lambda data: _alike_sketches(data, most), "bands")
@@ -289,7 +291,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     texts = keep_ids(docs.select("doc_id", "text"), clusters.select(F.col("node").alias("doc_id")), "doc_id")
     sets = arrow_map(texts, ["doc_id", "text"], "doc_id long, data binary", lambda source: _sets(source, shingle))
-    clustered = clusters.select(F.col("node").alias("doc_id"), F.col("root").alias("bucket"))
+    clustered = clusters.select(F.col("node").alias("doc_id"), F.col("root").alias("bucket")).join(
+        reps.select("doc_id", (F.col("n_shingles") * F.lit(8).cast("long")).alias("bytes")), "doc_id"
+    )
     confirmed = _linked(clustered, materialize(sets, "sets"), lambda data: _alike_sets(data, percent), "sets")
     roots = components(confirmed)
 
