@@ -1,16 +1,16 @@
 """Fuzzy line deduplication by MinHash (operator 4).
 
-Lines are compared by their character shingles in lower case: all windows of 16 characters (a shorter line is one
-shingle), or, if asked for, only the up to 16 characters from the start of each word on. Every shingle has one hash. The
-hash range is cut into 16 parts; the three smallest hashes from a part's start on are a band, that is, MinHash samples
-under 16 rotations of one order. At similarity 0.8 two long lines have no band in common once in about 50,000. With all
-windows, a line of up to 32 shingles has a band from each of its shingles on: of two such lines at 0.8 at least two
-fifths of their bands agree, so none is missed.
+Lines are compared by their character shingles in lower case: all windows of 5 characters; a shorter line is one shingle.
+Every shingle has one hash. The hash range is cut into 16 parts; the three smallest hashes from a part's start on are a
+band, that is, MinHash samples under 16 rotations of one order. At similarity 0.8 two long lines have no band in common
+once in about 50,000. A line of up to 32 shingles has a band from each of its shingles on: of two such lines at 0.8 at least
+two fifths of their bands agree, so none is missed.
 
 Lines with a band in common are compared by the exact Jaccard similarity of their whole shingle sets, in pieces (see
-near_dedup); the lines themselves move there, as they are shorter than their sets. Distributed union-find makes groups of the links, and one line of each group stays.
+near_dedup); the lines themselves move there, as they are shorter than their sets. Distributed union-find makes groups of
+the links, and one line of each group stays.
 
-A form with DataFrame functions only gave the same results at 622 CPU seconds and 7.7 x disk a GB, and compared lines
+A form with DataFrame functions only, with fewer shingles, took 622 CPU seconds and 7.7 x disk a GB, and compared lines
 pair by pair as rows; hence numpy over whole batches of text.
 """
 
@@ -24,37 +24,17 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import arrow_map, keep_ids, small
 from ledgerline.llm.components import components
-from ledgerline.llm.near_dedup import _alike_sets, _linked, _mix
+from ledgerline.llm.near_dedup import _linked, _mix
 from ledgerline.session import materialize
 
-WIDTH = 16
+WIDTH = 5
 #: Bits of a band's name. A name that two bands share by chance only costs a comparison.
 BITS = 44
 #: Sets of up to so many shingles have a band from each shingle on.
 SHORT = 32
 DOCUMENTS_A_STEP = 400
 
-_FACTORS = np.random.default_rng(16).integers(1, 1 << 62, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def shingle_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(line, hash) of the distinct shingles of lines in normal form, ordered by line and hash."""
-    text = np.frombuffer(("\n".join(lines) + "\n").encode("utf-32-le"), "<u4")
-    ends = np.flatnonzero(text == 10)
-    word = (text != 32) & (text != 10)
-    starts = np.flatnonzero(word & ~np.concatenate([[False], word[:-1]]))
-    line = np.searchsorted(ends, starts)
-    room = ends[line] - starts
-    padded = np.concatenate([text, np.zeros(WIDTH, "<u4")]).astype(np.uint64)
-    hashes = np.zeros(len(starts), np.uint64)
-    for i in range(WIDTH):
-        hashes += np.where(i < room, padded[starts + i], 0).astype(np.uint64) * _FACTORS[i]
-    hashes = _mix(hashes)
-    order = np.lexsort((hashes, line))
-    line, hashes = line[order], hashes[order]
-    new = np.ones(len(line), bool)
-    new[1:] = (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])
-    return line[new], hashes[new]
+_FACTORS = np.random.default_rng(16).integers(1, 1 << 62, 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _windows(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -66,11 +46,10 @@ def _windows(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     n = np.maximum(sizes - WIDTH + 1, 1)
     line = np.repeat(np.arange(len(lines)), n)
     place = np.repeat(begins - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    hashes = _mix(np.concatenate([text, np.zeros(WIDTH, "<u4")]).astype(np.uint64) * _FACTORS[0] + _FACTORS[1])
-    width = 1
-    while width < WIDTH:  # windows of 2, 4, 8 and 16 characters from those of half the width
-        hashes[:-width] = _mix(hashes[:-width] * _FACTORS[2] + (hashes[width:] ^ _FACTORS[3]))
-        width *= 2
+    character = np.concatenate([text, np.zeros(WIDTH, "<u4")]).astype(np.uint64)
+    hashes = np.zeros(len(text), np.uint64)
+    for i in range(WIDTH):
+        hashes = _mix(hashes * _FACTORS[0] + character[i : i + len(text)] * _FACTORS[1] + _FACTORS[2])
     found = hashes[place]
     for k in np.flatnonzero(sizes < WIDTH):  # one shingle, of what the line has
         name = hashlib.blake2b(lines[k].encode("utf-8", "surrogatepass"), digest_size=8).digest()
@@ -129,8 +108,10 @@ def _normal(text: str | None) -> list[tuple[int, str]]:
     return [(i, n) for i, x in enumerate((text or "").split("\n")) if (n := x.strip(" ").lower())]
 
 
-def _id(line: str) -> int:
-    return int.from_bytes(hashlib.blake2b(line.encode(), digest_size=8).digest(), "little", signed=True)
+def _names(line: str) -> tuple[int, int]:
+    """A line's id and, should two lines have one id, what tells them apart."""
+    digest = hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def _lists(line: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
@@ -139,72 +120,73 @@ def _lists(line: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def _read(source, everywhere: bool) -> Iterator[dict]:
+def _read(source) -> Iterator[dict]:
     """A row for each line; its bands where the task sees it first. Texts of any length: a step holds whole documents."""
-    seen: set[int] = set()
+    seen: set[tuple[int, int]] = set()
     for batch in source:
         for at in range(0, len(batch["doc_id"]), DOCUMENTS_A_STEP):
-            out: dict[str, list] = {"doc_id": [], "text_hash": [], "place": [], "id": []}
+            out: dict[str, list] = {"doc_id": [], "text_hash": [], "place": [], "id": [], "other": []}
             fresh, where = [], []
             for doc_id, text_hash, text in zip(*(batch[c][at : at + DOCUMENTS_A_STEP] for c in ("doc_id", "text_hash", "text")), strict=True):
                 for place, line in _normal(text):
-                    name = _id(line)
-                    if name not in seen:
-                        if len(seen) >= 500_000:
+                    names = _names(line)
+                    if names not in seen:
+                        if len(seen) >= 250_000:
                             seen.clear()  # bounds memory; a line may then have its bands twice
-                        seen.add(name)
+                        seen.add(names)
                         fresh.append(line)
                         where.append(len(out["id"]))
-                    for c, v in zip(out, (doc_id, text_hash, place, name), strict=True):
+                    for c, v in zip(out, (doc_id, text_hash, place, *names), strict=True):
                         out[c].append(v)
             if out["id"]:
                 row, values = np.zeros(0, np.int64), np.zeros(0, np.int64)
                 if fresh:
-                    row, values = bands(*every_shingle(fresh), SHORT) if everywhere else bands(*shingle_sets(fresh))
+                    row, values = bands(*every_shingle(fresh), SHORT)
                 yield out | {"bands": _lists(np.array(where, np.int64)[row], values, len(out["id"]))}
 
 
-def _sets(source) -> Iterator[dict]:
+def _own_lines(source) -> Iterator[dict]:
     for batch in source:
         for at in range(0, len(batch["text"]), DOCUMENTS_A_STEP):
             lines = list({line for text in batch["text"][at : at + DOCUMENTS_A_STEP] for _, line in _normal(text)})
             if lines:
-                line, hashes = shingle_sets(lines)
-                cuts = np.searchsorted(line, np.arange(len(lines) + 1))
-                yield {"id": list(map(_id, lines)), "data": [hashes[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]}
+                names = [_names(x) for x in lines]
+                yield {"id": [n for n, _ in names], "other": [o for _, o in names], "data": [x.encode("utf-8", "surrogatepass") for x in lines]}
 
 
-def _own_lines(source) -> Iterator[dict]:
-    for batch in source:
-        for at in range(0, len(batch["text"]), DOCUMENTS_A_STEP):
-            lines = list({line for text in batch["text"][at : at + DOCUMENTS_A_STEP] for _, line in _normal(text)})
-            if lines:
-                yield {"id": list(map(_id, lines)), "data": [x.encode() for x in lines]}
+def _told_apart(lines: DataFrame, shared: DataFrame) -> DataFrame:
+    """`lines` without `other`; different lines with one id (`shared`) have new ids of both their names."""
+    id = F.when(F.col("__id").isNull(), F.col("id")).otherwise(F.xxhash64("id", "other")).alias("id")
+    marked = lines.join(small(shared.select(F.col("id").alias("__id"))), F.col("id") == F.col("__id"), "left")
+    return marked.select(id, *[c for c in lines.columns if c not in ("id", "other")])
 
 
-def duplicate_lines(docs: DataFrame, percent: int = 80, everywhere: bool = False) -> DataFrame:
+def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, text_hash, place) of each line that goes: all of a group of equal or similar lines but the first."""
-    lines = materialize(
+    read = materialize(
         arrow_map(
             docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), ["doc_id", "text", "text_hash"],
-            "doc_id long, text_hash long, place int, id long, bands array<long>",
-            lambda source: _read(source, everywhere),
+            "doc_id long, text_hash long, place int, id long, other long, bands array<long>", _read,
         ),
         "lines",
     )
+    two = read.groupBy("id").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low < high").select("id")
+    two = materialize(two, "one-id")
+    lines = _told_apart(read, two)
     keys = lines.select("id", F.explode("bands").alias("bucket"))
     # Which bands have different lines: 28 bits of a line's id tell it (all but once in 268 million pairs), and shrink what is shuffled.
     some = keys.select("bucket", F.col("id").bitwiseAND((1 << 28) - 1).cast("int").alias("id"))
     shared = some.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket")
     members = materialize(keys.join(small(materialize(shared, "buckets")), "bucket", "left_semi").distinct(), "members")
     ids = materialize(members.select("id").distinct(), "member-ids")
-    # Sets (or lines) of the members only: their documents are read again, and of these the members' lines stay.
+    # The members' own lines: their documents are read again, and of these the members' lines stay.
     with_members = materialize(lines.join(small(ids), "id", "left_semi").select("doc_id").distinct(), "member-docs")
-    sets = arrow_map(keep_ids(docs.select("doc_id", "text"), with_members, "doc_id"), ["text"], "id long, data binary", _own_lines if everywhere else _sets)
-    sets = materialize(sets.join(small(ids), "id", "left_semi").dropDuplicates(["id"]), "sets")
-    named = members.select(F.col("id").alias("doc_id"), "bucket")
-    alike = _alike_lines if everywhere else _alike_sets
-    groups = components(_linked(named, sets.withColumnRenamed("id", "doc_id"), lambda data: alike(data, percent), "lines"))
+    own = arrow_map(keep_ids(docs.select("doc_id", "text"), with_members, "doc_id"), ["text"], "id long, other long, data binary", _own_lines)
+    own = materialize(_told_apart(own, two).join(small(ids), "id", "left_semi").dropDuplicates(["id"]), "sets")
+    # A line's set takes some tens of bytes for each of its shingles.
+    sizes = own.select("id", (F.octet_length("data") * F.lit(40).cast("long")).alias("bytes"))
+    named = members.join(sizes, "id").select(F.col("id").alias("doc_id"), "bucket", "bytes")
+    groups = components(_linked(named, own.withColumnRenamed("id", "doc_id"), lambda data: _alike_lines(data, percent), "lines"))
 
     root = F.coalesce("root", "id").alias("root")
     named = lines.join(small(groups.withColumnRenamed("node", "id")), "id", "left").select("doc_id", "text_hash", "place", root)
@@ -217,16 +199,17 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, everywhere: bool = False
     return named.join(first, "root").where(~stays).select("doc_id", "text_hash", "place")
 
 
-def dedup_lines(docs: DataFrame, percent: int = 80, everywhere: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """`docs` with doc_id, the text without its duplicate lines, and the numbers of lines before and after.
 
     One row for each row of `docs`. Lines end with a line feed and are compared without outer spaces and in lower case.
     Blank lines are no duplicates and stay. Of similar lines (Jaccard similarity of at least `percent` %, or connected by
     such) the one in the smallest doc_id (null last), then the first in its text, stays; ties between rows with one
     doc_id go to the smaller hash of the text, and rows that are equal in doc_id and text are one document with one
-    result. Shingles start at every position if `everywhere`, else at words only. Null texts are empty. Lines are named by 64-bit hashes. Whole texts are read.
+    result. Null texts are empty. Lines are named by 128-bit hashes, which two different lines share once in 10^14 tables of
+    10^12 lines. Whole texts are read.
     """
-    gone = duplicate_lines(docs.select("doc_id", "text"), percent, everywhere).groupBy("doc_id", "text_hash").agg(
+    gone = duplicate_lines(docs.select("doc_id", "text"), percent).groupBy("doc_id", "text_hash").agg(
         F.collect_set("place").alias("gone")
     )
     gone = materialize(gone.withColumnsRenamed({"doc_id": "__doc", "text_hash": "__hash"}), "gone")

@@ -154,6 +154,30 @@ def test_near_duplicates_without_id_or_rows(documents):
     assert empty.count() == 0 and empty.columns[:4] == ["doc_id", "n_shingles", "component_id", "kept"]
 
 
+@pytest.mark.parametrize("bytes_", [1 << 24, 2000])
+def test_members_unlike_their_hub_in_blocks(spark, monkeypatch, bytes_):
+    """A bucket whose hub is like nothing: every pair is found, and no task holds more than a block and a piece."""
+    monkeypatch.setattr(near_dedup, "PIECE", 32)
+    monkeypatch.setattr(near_dedup, "PIECE_BYTES", bytes_)
+    rng, n = np.random.default_rng(3), 400
+    sets = [np.unique(rng.integers(0, 1 << 62, 20, dtype=np.uint64)) for _ in range(n)]
+    for i in range(10, n, 10):  # pairs of one set
+        sets[i] = sets[i - 5]
+    most = []
+    alike_of, pieces = near_dedup._alike_sets, near_dedup._pieces
+
+    def counted(rows, alike):
+        most.append(rows.groupBy("bucket", "piece").agg(F.countDistinct("doc_id").alias("n")).agg(F.max("n"), F.count("n")).first())
+        return pieces(rows, alike)
+
+    monkeypatch.setattr(near_dedup, "_pieces", counted)
+    members = spark.createDataFrame([(1, i, sets[i].nbytes) for i in range(n)], "bucket long, doc_id long, bytes long")
+    data = spark.createDataFrame([(i, sets[i].tobytes()) for i in range(n)], "doc_id long, data binary")
+    got = components(near_dedup._linked(members, data, lambda d: alike_of(d, 80), "test")).collect()
+    assert {(r["node"], r["root"]) for r in got if r["node"] != r["root"]} == {(i, i - 5) for i in range(10, n, 10)}
+    assert most[1][0] <= 2 * 32 * 1.8 and most[1][1] > 100
+
+
 # --- lines
 
 
@@ -162,7 +186,7 @@ def _lines(rows):
     for k, (d, t) in enumerate(rows):
         for i, x in enumerate((t or "").split("\n")):
             if x := x.strip(" ").lower():
-                lines.append({m.group(1) for m in re.finditer(r"(?:^|(?<= ))(?=([^ ].{0,15}))", x)})
+                lines.append(_windows(x))
                 where.append((k, i))
     links = [(a, b) for a in range(len(lines)) for b in range(a) if 100 * len(lines[a] & lines[b]) >= 80 * len(lines[a] | lines[b])]
     root = _union(len(lines), links)
@@ -191,13 +215,11 @@ def test_line_dedup_edges(documents):
     assert line_dedup.dedup_lines(documents([])).count() == 0
 
 
-def test_shingle_sets_and_bands():
+def test_shingles_and_bands():
     lines = ["a", "one two three", "É  x", "word " * 30 + "end", "b" * 40]
-    line, hashes = line_dedup.shingle_sets(lines)
-    for i, x in enumerate(lines):
-        want = {m.group(1) for m in re.finditer(r"(?:^|(?<= ))(?=([^ ].{0,15}))", x)}
-        assert len(want) == (line == i).sum()
-    again, other = line_dedup.shingle_sets(lines[::-1])
+    line, hashes = line_dedup.every_shingle(lines)
+    assert [len(_windows(x)) for x in lines] == np.bincount(line).tolist()
+    again, other = line_dedup.every_shingle(lines[::-1])
     assert sorted(hashes.tolist()) == sorted(other.tolist())
     row, names = line_dedup.bands(line, hashes)
     assert set(row) == set(range(5)) and (names >= 0).all()
@@ -205,7 +227,7 @@ def test_shingle_sets_and_bands():
 
 
 def _windows(x):
-    return {x[i : i + 16] for i in range(max(1, len(x) - 15))}
+    return {x[i : i + 5] for i in range(max(1, len(x) - 4))}
 
 
 def test_lines_by_every_window(documents):
@@ -221,7 +243,7 @@ def test_lines_by_every_window(documents):
         base = letters(n)
         lines += [base, "x" + base, base + "y", base[: n // 2] + "z" + base[n // 2 + 1 :], base[:16] + letters(n)]
     rows = [(i, line) for i, line in enumerate(lines)]
-    got = {r["doc_id"]: r["n_kept"] for r in line_dedup.dedup_lines(documents(rows), everywhere=True).collect()}
+    got = {r["doc_id"]: r["n_kept"] for r in line_dedup.dedup_lines(documents(rows)).collect()}
     sets = [_windows(x) for x in lines]
     links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     root = _union(len(sets), links)
@@ -232,9 +254,35 @@ def test_lines_by_every_window(documents):
 def test_short_sets_share_a_band():
     rng = random.Random(12)
     for _ in range(400):
-        x = "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(19, 47)))
+        x = "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(8, 36)))
         n = len(_windows(x))
         line, hashes = line_dedup.every_shingle([x, x[: len(x) - n // 5]])
         row, names = line_dedup.bands(line, hashes, line_dedup.SHORT)
         if 100 * len(_windows(x[: len(x) - n // 5])) >= 80 * n:
             assert set(names[row == 0]) & set(names[row == 1])
+
+
+def test_one_character_edits_are_found(documents):
+    rng = random.Random(13)
+    rows = []
+    for n in (60, 90, 120, 200):
+        for _ in range(15):
+            x = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n - 2))
+            k = rng.randrange(n - 2)
+            rows += [(len(rows), f"a{x}z"), (len(rows) + 1, f"a{x[:k]}#{x[k + 1:]}z")]
+    got = {r["doc_id"]: r["n_kept"] for r in line_dedup.dedup_lines(documents(rows)).collect()}
+    assert all(got[i] == 1 - i % 2 for i in range(len(rows)))
+
+
+def test_lines_of_one_id_are_told_apart(documents, monkeypatch):
+    """Ids of two bits: nearly all lines share theirs with others, and none is lost."""
+    names = line_dedup._names
+    monkeypatch.setattr(line_dedup, "_names", lambda line: (names(line)[0] & 3, names(line)[1]))
+    rows = [(i, f"{i % 20} is a line of its own, {'abcdefghijklmnopqrst'[i % 20] * 40}") for i in range(40)]
+    read = list(line_dedup._read([{"doc_id": [i for i, _ in rows], "text_hash": [0] * 40, "text": [t for _, t in rows]}]))[0]
+    lines = documents(rows).sparkSession.createDataFrame(
+        list(zip(read["id"], read["other"], read["doc_id"])), "id long, other long, doc_id long"
+    )
+    two = lines.groupBy("id").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low < high").select("id")
+    got = line_dedup._told_apart(lines, two).collect()
+    assert len({r["id"] for r in got}) == 20 and len({(r["id"], r["doc_id"] % 20) for r in got}) == 20
