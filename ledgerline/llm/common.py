@@ -5,6 +5,7 @@ import zlib
 from collections.abc import Callable, Hashable, Iterable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,12 @@ def held(key: Hashable, make: Callable[[], Any]) -> Any:
     return _held[key]
 
 
+def ascending(values: np.ndarray) -> np.ndarray:
+    """Distinct values in ascending order: by one sort, which for integers is many times faster than a hash table."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def identity(name: str, *data: bytes) -> Hashable:
     """A key for `held`: what is made of these bytes under this name."""
     return (name, *((len(d), zlib.crc32(d)) for d in data))
