@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from ledgerline.llm.common import arrow_map, keep_ids
+from ledgerline.llm.common import arrow_map, ascending, keep_ids
 from ledgerline.llm.components import components
 from ledgerline.session import materialize
 
@@ -75,7 +75,7 @@ class Shingler:
         out = np.full(n, size, np.uint64)
         for i in range(size):
             out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : n + i])
-        return np.unique(out)
+        return ascending(out)
 
 
 def signature(shingles: np.ndarray) -> tuple[list[int], bytes]:

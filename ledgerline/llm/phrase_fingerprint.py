@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import arrow_map
+from ledgerline.llm.common import arrow_map, ascending
 
 #: Phrases of this level and above are features; a phrase is some three symbols of the level below.
 BASE_LEVEL = 2
@@ -100,7 +100,7 @@ def fingerprints(texts: list[str], size: int = SIZE, base: int = BASE_LEVEL) ->
         owners.append(owner)
         hashes.append((_mix(names + np.uint64(level if level >= base else 0)) >> np.uint64(32)).astype(np.uint32))
     owner, found = np.concatenate(owners), np.concatenate(hashes)
-    key = np.unique(owner.astype(np.uint64) << np.uint64(32) | found)  # by text, then ascending, without repeats
+    key = ascending(owner.astype(np.uint64) << np.uint64(32) | found)  # by text, then ascending, without repeats
     ends = np.searchsorted(key >> np.uint64(32), np.arange(len(texts) + 1))
     low = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     return [low[i : min(j, i + size)] for i, j in zip(ends.tolist(), ends[1:].tolist())]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm import golomb
-from ledgerline.llm.common import arrow_map, keep_ids
+from ledgerline.llm.common import arrow_map, ascending, keep_ids
 from ledgerline.llm.kneser_ney import CLASSES, Coding, class_of, discounts, unigram, TOKEN
 from ledgerline.session import materialize
 
@@ -85,15 +85,15 @@ def _coded(source, model, block_ids: int) -> Iterator[dict]:
             a = np.array(ids, "<u4")
             block = (part << 32) + seq
             put(block, doc_id, lang, len(a) - 1, extra, zlib.compress(a.tobytes() if size > 1 << 16 else a.astype("<u2").tobytes(), 6), None)
-            pairs.append(np.unique(a[:-1].astype(np.uint64) * size + a[1:]))
+            pairs.append(ascending(a[:-1].astype(np.uint64) * size + a[1:]))
             have += len(a)
             if have >= block_ids:
-                put(block, None, None, None, None, None, golomb.encode(np.unique(np.concatenate(pairs)), int(size) ** 2))
+                put(block, None, None, None, None, None, golomb.encode(ascending(np.concatenate(pairs)), int(size) ** 2))
                 pairs, have, seq = [], 0, seq + 1
         last = (block, None, None, None, None, None)
         yield out
     if pairs:
-        done = golomb.encode(np.unique(np.concatenate(pairs)), int(size) ** 2)
+        done = golomb.encode(ascending(np.concatenate(pairs)), int(size) ** 2)
         yield {c: [v] for c, v in zip(("block", "doc_id", "lang", "n", "extra", "ids", "pairs"), (*last, done), strict=True)}
 
 
