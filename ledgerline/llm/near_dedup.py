@@ -229,9 +229,13 @@ def _linked(members: DataFrame, data: DataFrame, alike_of, name: str) -> DataFra
     each piece. Buckets of more than PIECE members or PIECE_BYTES are cut; see the module's text. In the second pass a
     task holds one block of the members left alone and one piece, however many are alone.
     """
+    # Buckets with the same members, as similar ones share many bands, are one: their ids are told by two hashes.
+    whole = members.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("total"), F.min("doc_id").alias("hub"),
+        F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"),
+    ).where("size > 1")
     sizes = materialize(
-        members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("total"), F.min("doc_id").alias("hub"))
-        .where("size > 1"), f"{name}-sizes",
+        whole.groupBy("size", "hub", "x", "y").agg(F.min("bucket").alias("bucket"), F.min("total").alias("total")), f"{name}-sizes"
     )
     parts = F.least("size", F.greatest(F.ceil(F.col("size") / PIECE), F.ceil(F.col("total") / PIECE_BYTES))).cast("int")
     rows = members.join(sizes.select("bucket", "hub", parts.alias("n_pieces")), "bucket").withColumn("several", F.col("n_pieces") > 1)
