@@ -227,7 +227,7 @@ def test_shingles_and_bands():
 
 
 def _windows(x):
-    return {x[i : i + 5] for i in range(max(1, len(x) - 4))}
+    return {x[i : i + line_dedup.WIDTH] for i in range(max(1, len(x) - line_dedup.WIDTH + 1))}
 
 
 def test_lines_by_every_window(documents):
@@ -254,7 +254,7 @@ def test_lines_by_every_window(documents):
 def test_short_sets_share_a_band():
     rng = random.Random(12)
     for _ in range(400):
-        x = "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(8, 36)))
+        x = "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(9, 37)))
         n = len(_windows(x))
         line, hashes = line_dedup.every_shingle([x, x[: len(x) - n // 5]])
         row, names = line_dedup.bands(line, hashes, line_dedup.SHORT)
