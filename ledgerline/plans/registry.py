@@ -475,7 +475,7 @@ def _features(w: Warehouse):
 def _(w):
     """Attribution of every order item, against all items."""
     model, items, background = _features(w)
-    return items.select("order_item_id", *demand.FEATURES).join(explain.explain(model, items, background), demand.FEATURES)
+    return explain.Explainer(model, background).explain(items.select("order_item_id", *demand.FEATURES))
 
 
 query("a12_importance")(lambda w: explain.importance(*_features(w)))

@@ -161,6 +161,26 @@ def test_whole_background(star, model):
     assert off.agg(F.max(F.abs(F.col("p") - F.col("prediction")))).first()[0] < 1e-9
 
 
+def test_grid_and_leaves_agree(star, model, monkeypatch):
+    """A forest with a large grid is explained by its leaves: the same values, for rows with columns beside them."""
+    rows = demand.encode(star.master, model.codes, keep=("order_item_id",))
+    background = rows.where("pmod(hash(order_item_id), 3) = 0")
+    odd = rows.limit(2).unionByName(rows.limit(1)).withColumns({"unit_price": F.lit(float("nan")), "category": F.lit(None).cast("double")})
+    some = rows.limit(200).unionByName(odd)
+    both = []
+    for cells in (explain.GRID_CELLS, 0):
+        monkeypatch.setattr(explain, "GRID_CELLS", cells)
+        explainer = explain.Explainer(model, background)
+        got = explainer.explain(some).toPandas()
+        assert list(got.columns) == [*some.columns, "base_value", "prediction", *[f"phi_{f}" for f in demand.FEATURES]]
+        assert explainer.explain(some.limit(0)).count() == 0
+        empty = explain.Explainer(model, background.limit(0)).explain(some).toPandas()
+        assert len(empty) == 203 and empty.drop(columns=some.columns).isna().all().all()
+        both.append(got.sort_values([*demand.FEATURES, "order_item_id"]).drop(columns="order_item_id").to_numpy(float))
+    assert both[0].shape == (203, 14)
+    np.testing.assert_allclose(*both, rtol=1e-9, atol=1e-9)
+
+
 def test_importance_and_beeswarm(star, model):
     features = demand.encode(star.master, model.codes)
     rows = explain.importance(model, features, features, n=20).collect()
