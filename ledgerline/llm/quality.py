@@ -2,7 +2,7 @@
 
 1. Trusted texts give the vocabulary and the counts of neighbouring ids. Both are count tables, sharded by key.
 2. All texts are stored as ids, in blocks. A block asks each shard for the distinct pairs it has, as one Golomb-coded
-   list; the shard answers with the discounted probabilities of those it knows. This is the join of pairs and counts: a
+   list; the shard answers with a bit for each, and the discounted probabilities of those it knows. This is the join of pairs and counts: a
    pair goes once for each block, and texts do not move to the counts.
 3. A block with its answers gives each of its documents a perplexity. What depends on one id alone (lower level,
    back-off weights) is bounded by the vocabulary and broadcast.
@@ -120,15 +120,19 @@ def _pair_counts(source, size: int) -> Iterator[dict]:
         yield out()
 
 
+def _by_shard(pairs: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Ascending pairs cut by shard, in the order of shards: pair modulo shards is the shard."""
+    shard = (pairs % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+    return ((s, pairs[order[cuts[s] : cuts[s + 1]]]) for s in range(shards) if cuts[s] < cuts[s + 1])
+
+
 def _ask(source, shards: int) -> Iterator[dict]:
-    """A block's pairs, cut by shard: pair modulo shards is the shard, the rest of the division is sent."""
+    """A block's pairs, cut by shard; the rest of the division by shards is sent."""
     for batch in source:
         for block, data in zip(batch["block"], batch["pairs"], strict=True):
-            pairs = golomb.decode(data)
-            shard = (pairs % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-            rows = [(s, pairs[order[cuts[s] : cuts[s + 1]]] // np.uint64(shards)) for s in range(shards) if cuts[s] < cuts[s + 1]]
+            rows = [(s, x // np.uint64(shards)) for s, x in _by_shard(golomb.decode(data), shards)]
             yield {
                 "block": [block] * len(rows), "shard": [s for s, _ in rows],
                 "list": [golomb.encode(x, int(x[-1]) + 1) for _, x in rows],
@@ -136,7 +140,7 @@ def _ask(source, shards: int) -> Iterator[dict]:
 
 
 def _answer(shards: int):
-    """Answers of one shard: of each list the pairs that were counted, and their discounted probabilities."""
+    """Answers of one shard: a bit for each pair of a list, set if it was counted, and the discounted probabilities of those."""
 
     def run(asked: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
         counted = counted.sort_values("pair")
@@ -148,21 +152,28 @@ def _answer(shards: int):
             hit = at < len(keys)
             hit[hit] = keys[at[hit]] == pairs[hit]
             if hit.any():
-                found = pairs[hit] // np.uint64(shards)
-                rows.append((block, shard, golomb.encode(found, int(found[-1]) + 1), zlib.compress(p[at[hit]].astype("<f4").tobytes(), 6)))
-        return pd.DataFrame(rows, columns=["block", "shard", "list", "p"])
+                rows.append((block, shard, np.packbits(hit).tobytes(), zlib.compress(p[at[hit]].astype("<f4").tobytes(), 6)))
+        return pd.DataFrame(rows, columns=["block", "shard", "known", "p"])
 
     return run
 
 
 def _score(shards: int, model):
-    """Sums of negative log probabilities of a block's documents."""
+    """Sums of negative log probabilities of a block's documents. Which pairs the block has asked for follows from its ids."""
 
     def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         size, lower, weight = model.value
-        keys = [golomb.decode(x) * np.uint64(shards) + np.uint64(s) for x, s in zip(answers["list"], answers["shard"], strict=True)]
-        keys = np.concatenate([*keys, np.array([1 << 63], np.uint64)])
-        p = np.concatenate([*(np.frombuffer(zlib.decompress(x), "<f4") for x in answers["p"]), [0.0]])
+        asked = ascending(np.concatenate([
+            np.zeros(0, np.uint64), *(ascending(a[:-1] * np.uint64(size) + a[1:]) for a in (_ids(x, size) for x in docs["ids"]))
+        ]))
+        replies = {s: (known, p) for s, known, p in zip(answers["shard"], answers["known"], answers["p"], strict=True)}
+        keys, p = [], []
+        for shard, pairs in _by_shard(asked, shards):
+            if shard in replies:
+                known, of = replies[shard]
+                keys.append(pairs[np.unpackbits(np.frombuffer(known, np.uint8), count=len(pairs)).astype(bool)])
+                p.append(np.frombuffer(zlib.decompress(of), "<f4"))
+        keys, p = np.concatenate([*keys, np.array([1 << 63], np.uint64)]), np.concatenate([*p, [0.0]])
         order = np.argsort(keys)
         keys, p = keys[order], p[order]
         sums = []
@@ -218,7 +229,7 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame, vocabulary: int) -> Da
         stored.where("pairs IS NOT NULL"), ["block", "pairs"], "block long, shard int, list binary", lambda s: _ask(s, shards)
     )
     answers = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInPandas(
-        _answer(shards), "block long, shard int, list binary, p binary"
+        _answer(shards), "block long, shard int, known binary, p binary"
     )
     shared = spark.sparkContext.broadcast((size, unigram(before), weight))
     return rows.select("block", "doc_id", "lang", "n", "extra", "ids").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
