@@ -5,12 +5,14 @@ different words before v, and is interpolated with a uniform distribution. D has
 """
 
 import re
+from collections.abc import Callable, Iterable
+from itertools import chain
 
 import numpy as np
 
+Spell = Callable[[list[str]], Iterable[Iterable[tuple[int, str]]]]
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-#: Tokens outside the vocabulary become their class. A class is as likely as its tokens together; each of them has an
-#: equal share of it.
+#: What a token becomes that can't be spelled in pieces that trusted texts have.
 CLASSES = ("<start>", "<lower>", "<title>", "<upper>", "<number>", "<mixed>", "<sign>")
 
 
@@ -23,24 +25,33 @@ def class_of(token: str) -> int:
 
 
 class Coding:
-    """Tokens to ids: the classes, then the vocabulary."""
-
-    def __init__(self, vocabulary: list[str], types: dict[int, int]) -> None:
-        self.ids = {w: i for i, w in enumerate(vocabulary, len(CLASSES))}
-        self.size = len(CLASSES) + len(vocabulary)
-        self.spread = [float(np.log(max(1, types.get(c, 1)))) for c in range(len(CLASSES))]
-
-    def __call__(self, text: str | None) -> tuple[list[int], float]:
-        """Ids with `<start>` in front, and what the classes' tokens add to the negative log likelihood."""
-        tokens = TOKEN.findall(text or "")
-        ids = list(map(self.ids.get, tokens))
-        extra = 0.0
-        if None in ids:
-            for i, known in enumerate(ids):
-                if known is None:
-                    ids[i] = class_of(tokens[i])
-                    extra += self.spread[ids[i]]
-        return [0, *ids], extra
+    """Tokens to ids: the classes, then the vocabulary, then the pieces in which all other tokens are spelled.
+
+    `spell` gives the pieces of tokens, as (number, text) pairs; `pieces` are the numbers of those that have an id. Another
+    piece, and without `spell` another token, becomes its class.
+    """
+
+    def __init__(self, vocabulary: list[str], pieces: Iterable[int], spell: Spell | None = None) -> None:
+        self.ids = {w: (i,) for i, w in enumerate(vocabulary, len(CLASSES))}
+        self.pieces = {p: i for i, p in enumerate(sorted(pieces), len(CLASSES) + len(vocabulary))}
+        self.size = len(CLASSES) + len(vocabulary) + len(self.pieces)
+        self.spell = spell
+
+    def _spelled(self, tokens: list[str]) -> Iterable[tuple[int, ...]]:
+        if self.spell is None:
+            return ((class_of(t),) for t in tokens)
+        get = self.pieces.get
+        return (tuple([class_of(x) if (i := get(p)) is None else i for p, x in found]) for found in self.spell(tokens))
+
+    def many(self, texts: list[str | None]) -> list[tuple[list[int], int]]:
+        """Of each text its ids with `<start>` in front, and its number of tokens."""
+        tokens = [TOKEN.findall(t or "") for t in texts]
+        rest = list(set().union(*tokens) - self.ids.keys())
+        ids = self.ids | dict(zip(rest, self._spelled(rest), strict=True)) if rest else self.ids
+        return [([0, *chain.from_iterable(map(ids.__getitem__, some))], len(some)) for some in tokens]
+
+    def __call__(self, text: str | None) -> tuple[list[int], int]:
+        return self.many([text])[0]
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:

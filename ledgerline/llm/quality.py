@@ -1,6 +1,8 @@
 """Quality classifier: perplexity under a Kneser-Ney model of trusted text, per language (operator 3).
 
-1. Trusted texts give the vocabulary and the counts of neighbouring ids. Both are count tables, sharded by key.
+1. Trusted texts give the vocabulary and the counts of neighbouring ids. Both are count tables, sharded by key. A word
+   outside the vocabulary is a run of ids: the pieces that a SentencePiece model spells it in. So any number of words is told
+   apart, as words before and behind others too, by counts that grow with the trusted texts.
 2. All texts are stored as ids, in blocks. A block asks each shard for the distinct pairs it has, as one Golomb-coded
    list; the shard answers with a bit for each, and the discounted probabilities of those it knows. This is the join of pairs and counts: a
    pair goes once for each block, and texts do not move to the counts.
@@ -16,12 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
+import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm import golomb
-from ledgerline.llm.common import arrow_map, ascending, keep_ids
-from ledgerline.llm.kneser_ney import CLASSES, Coding, class_of, discounts, unigram, TOKEN
+from ledgerline.llm.common import arrow_map, ascending, file_of, keep_ids
+from ledgerline.llm.kneser_ney import CLASSES, Coding, discounts, Spell, unigram, TOKEN
 from ledgerline.session import materialize
 
 SCHEMA = "doc_id long, lang string, n_tokens long, score double, perplexity double, threshold double, kept boolean"
@@ -32,7 +36,7 @@ def _tokens(source) -> Iterator[dict]:
     counts: Counter = Counter()
 
     def out() -> dict:
-        return {"token": list(counts), "class": [class_of(t) for t in counts], "n": list(counts.values())}
+        return {"token": list(counts), "n": list(counts.values())}
 
     for batch in source:
         for text in batch["text"]:
@@ -44,57 +48,70 @@ def _tokens(source) -> Iterator[dict]:
         yield out()
 
 
-def _vocabulary(trusted: DataFrame, size: int) -> tuple[list[str], dict[int, int]]:
-    """Tokens that are at least so frequent that no more than `size` are, and the number of other tokens of each class.
+def _speller(model: bytes) -> Spell:
+    library = sentencepiece.SentencePieceProcessor(model_proto=model)
+    text = [library.id_to_piece(i).lstrip("▁") or "▁" for i in range(library.get_piece_size())]
+    return lambda tokens: ([(i, text[i]) for i in ids] for ids in library.encode(tokens, num_threads=1))
+
+
+def _pieces(source, model) -> Iterator[dict]:
+    spell, seen = _speller(model.value), set()
+    for batch in source:
+        seen.update(i for found in spell(batch["token"]) for i, _ in found)
+    yield {"piece": sorted(seen)}
+
+
+def _vocabulary(trusted: DataFrame, size: int, model) -> tuple[list[str], list[int]]:
+    """Tokens that are at least so frequent that no more than `size` are, and the pieces in which all others are spelled.
 
     The limit is read from a histogram of frequencies in steps of a tenth of a power of two, some hundred rows.
     """
     counts = materialize(
-        arrow_map(trusted, ["text"], "token string, class int, n long", _tokens)
-        .groupBy("token", "class").agg(F.sum("n").alias("n"))
+        arrow_map(trusted, ["text"], "token string, n long", _tokens)
+        .groupBy("token").agg(F.sum("n").alias("n"))
         .withColumn("step", F.floor(F.log2("n") * 10).cast("int")),
         "tokens",
     )
     steps = sorted(((r["step"], r["count"]) for r in counts.groupBy("step").count().collect()), reverse=True)
-    least, have = None, 0
+    least, have = math.inf, 0
     for step, n in steps:
         if have + n > size:
             break
         least, have = step, have + n
-    if least is None:
-        return [], {r["class"]: r["count"] for r in counts.groupBy("class").count().collect()}
     vocabulary = sorted(r["token"] for r in counts.where(F.col("step") >= least).select("token").collect())
-    types = counts.where(F.col("step") < least).groupBy("class").count().collect()
-    return vocabulary, {r["class"]: r["count"] for r in types}
+    rest = counts.where(F.col("step") < least)
+    # At most a row for each piece of the model.
+    pieces = arrow_map(rest, ["token"], "piece int", lambda source: _pieces(source, model)).distinct().collect()
+    return vocabulary, [r["piece"] for r in pieces]
 
 
-def _coded(source, model, block_ids: int) -> Iterator[dict]:
+def _coded(source, units, model, block_ids: int) -> Iterator[dict]:
     """A row for each document, with its ids, and one for each block, with the distinct pairs of its documents."""
-    coding = Coding(*model.value)
+    coding = Coding(*units.value, _speller(model.value))
     size = np.uint64(coding.size)
     pairs, have, seq = [], 0, 0
     for batch in source:
-        out: dict[str, list] = {c: [] for c in ("block", "doc_id", "lang", "n", "extra", "ids", "pairs")}
+        out: dict[str, list] = {c: [] for c in ("block", "doc_id", "lang", "n", "ids", "pairs")}
 
         def put(*row) -> None:
             for c, v in zip(out, row, strict=True):
                 out[c].append(v)
 
-        for doc_id, lang, text, part in zip(batch["doc_id"], batch["lang"], batch["text"], batch["part"], strict=True):
-            ids, extra = coding(text)
+        coded = coding.many(batch["text"])
+        for doc_id, lang, (ids, n), part in zip(batch["doc_id"], batch["lang"], coded, batch["part"], strict=True):
             a = np.array(ids, "<u4")
             block = (part << 32) + seq
-            put(block, doc_id, lang, len(a) - 1, extra, zlib.compress(a.tobytes() if size > 1 << 16 else a.astype("<u2").tobytes(), 6), None)
+            put(block, doc_id, lang, n, zlib.compress(a.tobytes() if size > 1 << 16 else a.astype("<u2").tobytes(), 6), None)
             pairs.append(ascending(a[:-1].astype(np.uint64) * size + a[1:]))
             have += len(a)
             if have >= block_ids:
-                put(block, None, None, None, None, None, golomb.encode(ascending(np.concatenate(pairs)), int(size) ** 2))
+                put(block, None, None, None, None, golomb.encode(ascending(np.concatenate(pairs)), int(size) ** 2))
                 pairs, have, seq = [], 0, seq + 1
-        last = (block, None, None, None, None, None)
+        last = (block, None, None, None, None)
         yield out
     if pairs:
         done = golomb.encode(ascending(np.concatenate(pairs)), int(size) ** 2)
-        yield {c: [v] for c, v in zip(("block", "doc_id", "lang", "n", "extra", "ids", "pairs"), (*last, done), strict=True)}
+        yield {c: [v] for c, v in zip(("block", "doc_id", "lang", "n", "ids", "pairs"), (*last, done), strict=True)}
 
 
 def _ids(data: bytes, size: int) -> np.ndarray:
@@ -177,31 +194,35 @@ def _score(shards: int, model):
         order = np.argsort(keys)
         keys, p = keys[order], p[order]
         sums = []
-        for data, extra in zip(docs["ids"], docs["extra"], strict=True):
+        for data in docs["ids"]:
             a = _ids(data, size)
             pairs = a[:-1] * np.uint64(size) + a[1:]
             at = np.searchsorted(keys, pairs)
             high = np.where(keys[at] == pairs, p[at], 0.0)
             u, v = a[:-1].astype(np.int64), a[1:].astype(np.int64)
-            sums.append(float(-np.log(high + weight[u] * lower[v]).sum() + extra))
+            sums.append(float(-np.log(high + weight[u] * lower[v]).sum()))
         return pd.DataFrame({"doc_id": docs["doc_id"], "lang": docs["lang"], "n": docs["n"], "sum": sums})
 
     return run
 
 
-def perplexities(docs: DataFrame, trusted_ids: DataFrame, vocabulary: int) -> DataFrame:
-    """(doc_id, lang, n, sum): number of tokens and negative log likelihood of every row of `docs`."""
+def perplexities(docs: DataFrame, trusted_ids: DataFrame, vocabulary: int, spelling: str | None = None) -> DataFrame:
+    """(doc_id, lang, n, sum): number of tokens and negative log likelihood of every row of `docs`.
+
+    `spelling` is the file of the SentencePiece model for words outside the vocabulary, piece_bpe_32k.model if none is named.
+    """
     spark = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    words, types = _vocabulary(keep_ids(docs, trusted_ids, "doc_id"), vocabulary)
-    size = len(CLASSES) + len(words)
-    coding = spark.sparkContext.broadcast((words, types))
+    model = spark.sparkContext.broadcast(file_of(spelling or public_tokenizers.path("piece_bpe_32k.model")))
+    units = _vocabulary(keep_ids(docs, trusted_ids, "doc_id"), vocabulary, model)
+    size = len(CLASSES) + sum(map(len, units))
+    coding = spark.sparkContext.broadcast(units)
     stored = materialize(
         arrow_map(
             docs.select("doc_id", "lang", "text").withColumn("part", F.spark_partition_id().cast("long")),
             ["doc_id", "lang", "text", "part"],
-            "block long, doc_id long, lang string, n long, extra double, ids binary, pairs binary",
-            lambda source: _coded(source, coding, BLOCK_IDS),
+            "block long, doc_id long, lang string, n long, ids binary, pairs binary",
+            lambda source: _coded(source, coding, model, BLOCK_IDS),
         ),
         "coded",
     )
@@ -223,16 +244,16 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame, vocabulary: int) -> Da
         weight[r["a"]] = r["off"] / r["n"]
     totals = first.select("a", F.col("n").alias("total"))
     pair = F.col("a") * size + F.col("b")
-    model = counts.join(F.broadcast(totals), "a").select(pair.alias("pair"), ((F.col("n") - off) / F.col("total")).alias("p"))
-    model = model.withColumn("shard", (F.col("pair") % shards).cast("int"))
+    known = counts.join(F.broadcast(totals), "a").select(pair.alias("pair"), ((F.col("n") - off) / F.col("total")).alias("p"))
+    known = known.withColumn("shard", (F.col("pair") % shards).cast("int"))
     asked = arrow_map(
         stored.where("pairs IS NOT NULL"), ["block", "pairs"], "block long, shard int, list binary", lambda s: _ask(s, shards)
     )
-    answers = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInPandas(
+    answers = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(
         _answer(shards), "block long, shard int, known binary, p binary"
     )
     shared = spark.sparkContext.broadcast((size, unigram(before), weight))
-    return rows.select("block", "doc_id", "lang", "n", "extra", "ids").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
+    return rows.select("block", "doc_id", "lang", "n", "ids").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
         _score(shards, shared), "doc_id long, lang string, n long, sum double"
     )
 
@@ -244,8 +265,8 @@ def quality(
     """One row for each row of `docs`: tokens, smoothed mean negative log likelihood, perplexity, threshold, kept.
 
     Trusted texts are those of documents with quality 1 that no label calls toxic. Four fifths of them, by a hash of the
-    id, train the model (all their tokens and pairs; `vocabulary` bounds the words that have an id of their own), the
-    rest sets the thresholds. A document's score is its negative log likelihood with `weight` more tokens of its language's
+    id, train the model (all their tokens and pairs; the `vocabulary` most frequent words have an id of their own, all others are
+    spelled in pieces), the rest sets the thresholds. A document's score is its negative log likelihood with `weight` more tokens of its language's
     mean, by number of tokens, so a short text is not rejected for one rare word. It is rejected if its score is above
     the `quantile` of its language's held-out texts, or of all of them if the language has none, by more than `slack` of the
     way from their median to that quantile, divided by sqrt(1 + number of held-out texts expected above it): the quantile of

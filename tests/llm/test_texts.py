@@ -276,6 +276,20 @@ def test_perplexities(documents, spark, monkeypatch):
     assert all(got[d][1] == pytest.approx(want[d][1], rel=1e-5, abs=1e-6) for d in docs)
 
 
+def test_words_outside_the_vocabulary_are_told_apart(documents, spark):
+    """However small the vocabulary is, words outside it, and which of them follow each other, are judged by trusted texts."""
+    rng = random.Random(6)
+    first, second = ["amber", "birch", "cedar", "delta"], ["ember", "flint", "gravel", "harbor"]
+    pairs = [f"{rng.choice(first)} {rng.choice(second)}" for _ in range(400)]
+    asked = {1000: "the cat amber gravel", 1001: "the cat gravel amber", 1002: "the cat vjqxk wzpfh"}
+    docs = [*((i, "the cat " + t) for i, t in enumerate(pairs)), *asked.items()]
+    ids = spark.createDataFrame([(i,) for i in range(400)], "doc_id long")
+    got = {r["doc_id"]: (r["n"], r["sum"]) for r in quality.perplexities(documents(docs), ids, 2).collect()}
+    assert [got[d][0] for d in asked] == [4, 4, 4]
+    trusted, turned, strange = (got[d][1] for d in asked)
+    assert trusted + 1 < turned and turned + 5 < strange
+
+
 def test_quality_separates(documents, spark):
     rng = random.Random(4)
     clean = lambda n: " ".join(rng.choice(["the", "cat", "sat", "on", "a", "mat", "today", "again."]) for _ in range(n))
