@@ -30,6 +30,8 @@ from ledgerline.session import materialize
 
 SCHEMA = "doc_id long, lang string, n_tokens long, score double, perplexity double, threshold double, kept boolean"
 BLOCK_IDS = 1_000_000
+#: Words that are spelled at once, which bounds a worker's lists.
+SPELLED = 10_000
 
 
 def _tokens(source) -> Iterator[dict]:
@@ -51,7 +53,10 @@ def _tokens(source) -> Iterator[dict]:
 def _speller(model: bytes) -> Spell:
     library = sentencepiece.SentencePieceProcessor(model_proto=model)
     text = [library.id_to_piece(i).lstrip("▁") or "▁" for i in range(library.get_piece_size())]
-    return lambda tokens: ([(i, text[i]) for i in ids] for ids in library.encode(tokens, num_threads=1))
+    return lambda tokens: (
+        [(i, text[i]) for i in ids]
+        for at in range(0, len(tokens), SPELLED) for ids in library.encode(tokens[at : at + SPELLED], num_threads=1)
+    )
 
 
 def _pieces(source, model) -> Iterator[dict]:
