@@ -23,6 +23,7 @@ class Codec:
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.table = PrefixTable(self.library)
         self.kind = "<u2" if self.library.get_piece_size() <= 1 << 16 else "<u4"
+        self.decimal = list(map(str, range(self.library.get_piece_size())))
         self.end = self._packed([self.library.eos_id()])
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}  # the cache before; what is asked for again moves to the new one
@@ -62,7 +63,7 @@ def _batches(source, model, cache_entries: int, digest: bool, key: Hashable) ->
             decoded = codec.decode(ids)
             out["n_tokens"].append(len(ids))
             if digest:
-                out["ids_sha256"].append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+                out["ids_sha256"].append(hashlib.sha256(" ".join(map(codec.decimal.__getitem__, ids)).encode()).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
             else:
                 out["ids"].append(ids)

@@ -101,7 +101,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_sentencepiece")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_decode(
-        table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digest=True
+        table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), cache_entries=300_000, digest=True
     )
 
 
