@@ -4,10 +4,10 @@
    outside the vocabulary is a run of ids: the pieces that a SentencePiece model spells it in. So any number of words is told
    apart, as words before and behind others too, by counts that grow with the trusted texts.
 2. All texts are stored as ids, in blocks. A block asks each shard for the distinct pairs it has, as one Golomb-coded
-   list; the shard answers with a bit for each, and the discounted probabilities of those it knows. This is the join of pairs and counts: a
-   pair goes once for each block, and texts do not move to the counts.
+   list; the shard answers with a bit for each, and the counts of those it knows. This is the join of pairs and counts: a
+   pair goes once for each block, and neither texts nor ids move: who asks and who scores reads a block where it is stored.
 3. A block with its answers gives each of its documents a perplexity. What depends on one id alone (lower level,
-   back-off weights) is bounded by the vocabulary and broadcast.
+   totals, back-off weights) is bounded by the vocabulary and broadcast.
 4. Documents above their language's quantile of held-out trusted texts are rejected.
 """
 
@@ -19,7 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import sentencepiece
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +35,8 @@ SCHEMA = "doc_id long, lang string, n_tokens long, score double, perplexity doub
 BLOCK_IDS = 1_000_000
 #: Words that are spelled at once, which bounds a worker's lists.
 SPELLED = 10_000
+#: The stored ids: pages of many documents are compressed together, and a block is found without reading the whole file.
+STORED = {"compression": "zstd", "parquet.block.size": str(4 << 20), "parquet.page.size": str(4 << 20), "parquet.enable.dictionary": "false"}
 
 
 def _tokens(source) -> Iterator[dict]:
@@ -91,36 +96,24 @@ def _vocabulary(trusted: DataFrame, size: int, model) -> tuple[list[str], list[i
 
 
 def _coded(source, units, model, block_ids: int) -> Iterator[dict]:
-    """A row for each document, with its ids, and one for each block, with the distinct pairs of its documents."""
+    """A row for each document, with its block and its ids."""
     coding = Coding(*units.value, _speller(model.value))
-    size = np.uint64(coding.size)
-    pairs, have, seq = [], 0, 0
+    kind = "<u4" if coding.size > 1 << 16 else "<u2"
+    have, seq = 0, 0
     for batch in source:
-        out: dict[str, list] = {c: [] for c in ("block", "doc_id", "lang", "n", "ids", "pairs")}
-
-        def put(*row) -> None:
-            for c, v in zip(out, row, strict=True):
-                out[c].append(v)
-
-        coded = coding.many(batch["text"])
-        for doc_id, lang, (ids, n), part in zip(batch["doc_id"], batch["lang"], coded, batch["part"], strict=True):
-            a = np.array(ids, "<u4")
-            block = (part << 32) + seq
-            put(block, doc_id, lang, n, zlib.compress(a.tobytes() if size > 1 << 16 else a.astype("<u2").tobytes(), 6), None)
-            pairs.append(ascending(a[:-1].astype(np.uint64) * size + a[1:]))
-            have += len(a)
+        out: dict[str, list] = {"block": [], "n": [], "ids": []}
+        for (ids, n), part in zip(coding.many(batch["text"]), batch["part"], strict=True):
+            out["block"].append((part << 32) + seq)
+            out["n"].append(n)
+            out["ids"].append(np.array(ids, kind).tobytes())
+            have += len(ids)
             if have >= block_ids:
-                put(block, None, None, None, None, golomb.encode(ascending(np.concatenate(pairs)), int(size) ** 2))
-                pairs, have, seq = [], 0, seq + 1
-        last = (block, None, None, None, None)
-        yield out
-    if pairs:
-        done = golomb.encode(ascending(np.concatenate(pairs)), int(size) ** 2)
-        yield {c: [v] for c, v in zip(("block", "doc_id", "lang", "n", "ids", "pairs"), (*last, done), strict=True)}
+                have, seq = 0, seq + 1
+        yield out | {"doc_id": batch["doc_id"], "lang": batch["lang"]}
 
 
 def _ids(data: bytes, size: int) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), "<u4" if size > 1 << 16 else "<u2").astype(np.uint64)
+    return np.frombuffer(data, "<u4" if size > 1 << 16 else "<u2").astype(np.uint64)
 
 
 def _pair_counts(source, size: int) -> Iterator[dict]:
@@ -128,7 +121,7 @@ def _pair_counts(source, size: int) -> Iterator[dict]:
 
     def out() -> dict:
         keys, n = np.unique(np.concatenate(held), return_counts=True)
-        return {"a": (keys // np.uint64(size)).tolist(), "b": (keys % np.uint64(size)).tolist(), "n": n.tolist()}
+        return {"pair": keys.astype(np.int64), "n": n}
 
     for batch in source:
         for data in batch["ids"]:
@@ -142,31 +135,88 @@ def _pair_counts(source, size: int) -> Iterator[dict]:
         yield out()
 
 
+def _stored_block(block: int, paths: list[str]) -> pa.Table:
+    """The documents of a block, from the files that hold them."""
+    parts = []
+    for path in paths:
+        files, place = fs.FileSystem.from_uri(path)
+        parts.append(pq.read_table(
+            place, columns=["doc_id", "lang", "n", "ids"], filters=[("block", "=", block)], filesystem=files, use_threads=False
+        ))
+    return pa.concat_tables(parts)
+
+
+def _pairs(docs: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """All neighbouring ids of a block's documents, and where those of each document begin (and the last one's end)."""
+    found = [a[:-1] * np.uint64(size) + a[1:] for a in (_ids(x.as_buffer(), size) for x in docs.column("ids"))]
+    return np.concatenate([np.zeros(0, np.uint64), *found]), np.cumsum([0, *map(len, found)])
+
+
 def _by_shard(pairs: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Ascending pairs cut by shard, in the order of shards: pair modulo shards is the shard."""
+    """Places of ascending pairs by shard, in the order of shards: pair modulo shards is the shard."""
     shard = (pairs % np.uint64(shards)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
     cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-    return ((s, pairs[order[cuts[s] : cuts[s + 1]]]) for s in range(shards) if cuts[s] < cuts[s + 1])
+    return ((s, order[cuts[s] : cuts[s + 1]]) for s in range(shards) if cuts[s] < cuts[s + 1])
 
 
-def _ask(source, shards: int) -> Iterator[dict]:
-    """A block's pairs, cut by shard; the rest of the division by shards is sent."""
+def _ask(source, shards: int, size: int) -> Iterator[dict]:
+    """A block's distinct pairs, cut by shard; the rest of the division by shards is sent."""
     for batch in source:
-        for block, data in zip(batch["block"], batch["pairs"], strict=True):
-            rows = [(s, x // np.uint64(shards)) for s, x in _by_shard(golomb.decode(data), shards)]
+        for block, paths in zip(batch["block"], batch["paths"], strict=True):
+            pairs = ascending(_pairs(_stored_block(block, paths), size)[0])
+            rows = [(s, pairs[at] // np.uint64(shards)) for s, at in _by_shard(pairs, shards)]
             yield {
                 "block": [block] * len(rows), "shard": [s for s, _ in rows],
                 "list": [golomb.encode(x, int(x[-1]) + 1) for _, x in rows],
             }
 
 
+def packed_counts(n: np.ndarray) -> bytes:
+    """Counts, most of them small: a byte each, and behind them those of 255 and more."""
+    return zlib.compress(np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype("<i8").tobytes(), 6)
+
+
+def unpacked_counts(data: bytes, size: int) -> np.ndarray:
+    data = zlib.decompress(data)
+    n = np.frombuffer(data, np.uint8, size).astype(np.int64)
+    n[n == 255] = np.frombuffer(data, "<i8", offset=size)
+    return n
+
+
+def _known(source, shards: int, most: int = 1_000_000) -> Iterator[dict]:
+    """Counted pairs as lists like those that are asked for, with their counts."""
+    held, have = [], 0
+
+    def out() -> dict:
+        pairs, n = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(pairs)
+        pairs, n = pairs[order], n[order]
+        rows = [(s, pairs[at] // np.uint64(shards), n[at]) for s, at in _by_shard(pairs, shards)]
+        return {
+            "shard": [s for s, _, _ in rows], "list": [golomb.encode(x, int(x[-1]) + 1) for _, x, _ in rows],
+            "n": [packed_counts(x) for _, _, x in rows],
+        }
+
+    for batch in source:
+        held.append((np.array(batch["pair"], np.uint64), np.array(batch["n"], np.int64)))
+        have += len(batch["n"])
+        if have >= most:
+            yield out()
+            held, have = [], 0
+    if have:
+        yield out()
+
+
 def _answer(shards: int):
-    """Answers of one shard: a bit for each pair of a list, set if it was counted, and the discounted probabilities of those."""
+    """Answers of one shard: a bit for each pair of a list, set if it was counted, and the counts of those."""
 
     def run(asked: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
-        counted = counted.sort_values("pair")
-        keys, p = counted["pair"].to_numpy(np.uint64), counted["p"].to_numpy()
+        lists = [(x := golomb.decode(data), unpacked_counts(n, len(x))) for data, n in zip(counted["list"], counted["n"], strict=True)]
+        keys = np.concatenate([np.zeros(0, np.uint64), *(x for x, _ in lists)]) * np.uint64(shards)
+        order = np.argsort(keys)
+        n = np.concatenate([np.zeros(0, np.int64), *(x for _, x in lists)])[order]
+        keys = keys[order] + np.uint64(counted["shard"].iloc[0] if len(counted) else 0)
         rows = []
         for block, shard, data in zip(asked["block"], asked["shard"], asked["list"], strict=True):
             pairs = golomb.decode(data) * np.uint64(shards) + np.uint64(shard)
@@ -174,8 +224,8 @@ def _answer(shards: int):
             hit = at < len(keys)
             hit[hit] = keys[at[hit]] == pairs[hit]
             if hit.any():
-                rows.append((block, shard, np.packbits(hit).tobytes(), zlib.compress(p[at[hit]].astype("<f4").tobytes(), 6)))
-        return pd.DataFrame(rows, columns=["block", "shard", "known", "p"])
+                rows.append((block, shard, np.packbits(hit).tobytes(), packed_counts(n[at[hit]])))
+        return pd.DataFrame(rows, columns=["block", "shard", "known", "n"])
 
     return run
 
@@ -183,30 +233,22 @@ def _answer(shards: int):
 def _score(shards: int, model):
     """Sums of negative log probabilities of a block's documents. Which pairs the block has asked for follows from its ids."""
 
-    def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        size, lower, weight = model.value
-        asked = ascending(np.concatenate([
-            np.zeros(0, np.uint64), *(ascending(a[:-1] * np.uint64(size) + a[1:]) for a in (_ids(x, size) for x in docs["ids"]))
-        ]))
-        replies = {s: (known, p) for s, known, p in zip(answers["shard"], answers["known"], answers["p"], strict=True)}
-        keys, p = [], []
-        for shard, pairs in _by_shard(asked, shards):
+    def run(places: pa.Table, answers: pa.Table) -> pa.Table:
+        size, d, lower, total, weight = model.value
+        docs = pa.concat_tables([_stored_block(r["block"], r["paths"]) for r in places.to_pylist()])
+        pairs, ends = _pairs(docs, size)
+        asked = ascending(pairs)
+        n = np.zeros(len(asked), np.int64)
+        replies = {r["shard"]: r for r in answers.to_pylist()}
+        for shard, at in _by_shard(asked, shards):
             if shard in replies:
-                known, of = replies[shard]
-                keys.append(pairs[np.unpackbits(np.frombuffer(known, np.uint8), count=len(pairs)).astype(bool)])
-                p.append(np.frombuffer(zlib.decompress(of), "<f4"))
-        keys, p = np.concatenate([*keys, np.array([1 << 63], np.uint64)]), np.concatenate([*p, [0.0]])
-        order = np.argsort(keys)
-        keys, p = keys[order], p[order]
-        sums = []
-        for data in docs["ids"]:
-            a = _ids(data, size)
-            pairs = a[:-1] * np.uint64(size) + a[1:]
-            at = np.searchsorted(keys, pairs)
-            high = np.where(keys[at] == pairs, p[at], 0.0)
-            u, v = a[:-1].astype(np.int64), a[1:].astype(np.int64)
-            sums.append(float(-np.log(high + weight[u] * lower[v]).sum()))
-        return pd.DataFrame({"doc_id": docs["doc_id"], "lang": docs["lang"], "n": docs["n"], "sum": sums})
+                known = at[np.unpackbits(np.frombuffer(replies[shard]["known"], np.uint8), count=len(at)).astype(bool)]
+                n[known] = unpacked_counts(replies[shard]["n"], len(known))
+        u, v = (asked // np.uint64(size)).astype(np.int64), (asked % np.uint64(size)).astype(np.int64)
+        high = np.maximum(n - np.array([0.0, *d])[np.minimum(n, 3)], 0.0) / total[u]
+        losses = np.append(-np.log(high + weight[u] * lower[v])[np.searchsorted(asked, pairs)], 0.0)
+        sums = np.where(ends[1:] > ends[:-1], np.add.reduceat(losses, ends[:-1]), 0.0)
+        return pa.table({"doc_id": docs.column("doc_id"), "lang": docs.column("lang"), "n": docs.column("n"), "sum": sums})
 
     return run
 
@@ -222,43 +264,40 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame, vocabulary: int, spell
     units = _vocabulary(keep_ids(docs, trusted_ids, "doc_id"), vocabulary, model)
     size = len(CLASSES) + sum(map(len, units))
     coding = spark.sparkContext.broadcast(units)
-    stored = materialize(
+    rows = materialize(
         arrow_map(
             docs.select("doc_id", "lang", "text").withColumn("part", F.spark_partition_id().cast("long")),
             ["doc_id", "lang", "text", "part"],
-            "block long, doc_id long, lang string, n long, ids binary, pairs binary",
+            "block long, doc_id long, lang string, n long, ids binary",
             lambda source: _coded(source, coding, model, BLOCK_IDS),
         ),
-        "coded",
+        "coded", STORED,
     )
-    rows = stored.where("ids IS NOT NULL")
     counts = materialize(
-        arrow_map(keep_ids(rows, trusted_ids, "doc_id"), ["ids"], "a long, b long, n long", lambda s: _pair_counts(s, size))
-        .groupBy("a", "b").agg(F.sum("n").alias("n")),
+        arrow_map(keep_ids(rows, trusted_ids, "doc_id"), ["ids"], "pair long, n long", lambda s: _pair_counts(s, size))
+        .groupBy("pair").agg(F.sum("n").alias("n")),
         "pairs",
     )
     d = discounts([counts.where(f"n = {k}").count() for k in (1, 2, 3, 4)])
     off = F.least(F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2]), F.col("n"))
-    # One row for each id of the vocabulary at most.
-    first = counts.groupBy("a").agg(F.sum("n").alias("n"), F.sum(off).alias("off"))
     before = np.zeros(size, np.int64)
-    for r in counts.groupBy("b").agg(F.count("a").alias("n")).collect():
+    for r in counts.groupBy(F.expr(f"pair % {size}").alias("b")).agg(F.count("pair").alias("n")).collect():
         before[r["b"]] = r["n"]
-    weight = np.ones(size)
-    for r in first.collect():
-        weight[r["a"]] = r["off"] / r["n"]
-    totals = first.select("a", F.col("n").alias("total"))
-    pair = F.col("a") * size + F.col("b")
-    known = counts.join(F.broadcast(totals), "a").select(pair.alias("pair"), ((F.col("n") - off) / F.col("total")).alias("p"))
-    known = known.withColumn("shard", (F.col("pair") % shards).cast("int"))
+    weight, total = np.ones(size), np.ones(size)
+    # One row for each id of the vocabulary at most.
+    for r in counts.groupBy(F.expr(f"pair div {size}").alias("a")).agg(F.sum("n").alias("n"), F.sum(off).alias("off")).collect():
+        weight[r["a"]], total[r["a"]] = r["off"] / r["n"], r["n"]
+    places = rows.groupBy("block").agg(F.collect_set("_metadata.file_path").alias("paths"))
+    places = materialize(places, "places")
     asked = arrow_map(
-        stored.where("pairs IS NOT NULL"), ["block", "pairs"], "block long, shard int, list binary", lambda s: _ask(s, shards)
+        places.repartition(shards, "block"), ["block", "paths"], "block long, shard int, list binary", lambda s: _ask(s, shards, size)
     )
+    known = arrow_map(counts, ["pair", "n"], "shard int, list binary, n binary", lambda s: _known(s, shards))
     answers = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(
-        _answer(shards), "block long, shard int, known binary, p binary"
+        _answer(shards), "block long, shard int, known binary, n binary"
     )
-    shared = spark.sparkContext.broadcast((size, unigram(before), weight))
-    return rows.select("block", "doc_id", "lang", "n", "ids").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
+    shared = spark.sparkContext.broadcast((size, d, unigram(before), total, weight))
+    return places.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         _score(shards, shared), "doc_id long, lang string, n long, sum double"
     )
 

@@ -276,6 +276,22 @@ def test_perplexities(documents, spark, monkeypatch):
     assert all(got[d][1] == pytest.approx(want[d][1], rel=1e-5, abs=1e-6) for d in docs)
 
 
+def test_ids_of_texts_are_not_shuffled(documents, spark):
+    """Blocks are read where they are stored; pairs and counts move as packed lists."""
+    docs = documents([(i, "the cat sat on the mat again") for i in range(300)] + [(None, "the mat"), (1 << 60, None)])
+    found = quality.perplexities(docs, spark.createDataFrame([(i,) for i in range(290)], "doc_id long"), 1000)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "ids#" not in plan
+    got = {r["doc_id"]: (r["n"], r["sum"]) for r in found.collect()}
+    assert len(got) == 302 and got[1 << 60] == (0, 0.0) and len({got[i] for i in range(300)}) == 1 and got[None][0] == 2
+
+
+def test_packed_counts():
+    n = np.array([1, 254, 255, 256, 3, 10**12, 1, 255])
+    assert quality.unpacked_counts(quality.packed_counts(n), len(n)).tolist() == n.tolist()
+    assert quality.unpacked_counts(quality.packed_counts(n[:0]), 0).tolist() == []
+
+
 def test_words_outside_the_vocabulary_are_told_apart(documents, spark):
     """However small the vocabulary is, words outside it, and which of them follow each other, are judged by trusted texts."""
     rng = random.Random(6)
