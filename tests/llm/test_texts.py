@@ -225,6 +225,22 @@ def test_decontamination_by_shuffles_only(documents, spark, monkeypatch):
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_signs_behind_a_word_need_no_whole_encoding(monkeypatch):
+    """Letters and the signs behind them are encoded each once; all other words by the library as a whole."""
+    tokenizer = id_files.Tokenizer(common.file_of(WORDS), 1000)
+    library = Tokenizer.from_file(WORDS)
+    rng = random.Random(11)
+    letters = ["".join(rng.choice("abcXYZéßø") for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    signs = ["$$$", "&&&", "!!", ".%%%", ",***", "###", "<|", '"', "^`", "-", "/", "~", "{}"]
+    words = [a + rng.choice(signs) for a in letters] + ["don't!!", "a_b$$$", "x$$$y", "9!!", "<|endoftext|>", "a<|endoftext|>", "a'$$", "é\u0301!!"]
+    want = [library.encode(w, add_special_tokens=False).ids for w in words]
+    assert [np.frombuffer(tokenizer.encode(w), "<u4").tolist() for w in words] == want
+    whole = []
+    monkeypatch.setattr(tokenizer, "_ids", lambda text: whole.append(text) or library.encode(text, add_special_tokens=False).ids)
+    tokenizer.encode(" ".join(a + "q$$$" for a in letters))
+    assert not whole
+
+
 # --- quality
 
 
