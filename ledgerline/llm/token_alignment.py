@@ -26,7 +26,7 @@ from ledgerline.session import materialize
 
 #: Fixed value: how a byte-level pre-tokenizer cuts texts.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links binary"
+SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, width int, links binary"
 #: Windows of more bytes of ids are aligned each time, so that the memory's bytes are bounded by its entries.
 LONGEST_WINDOW = 96
 #: Characters that are aligned together.
@@ -218,12 +218,12 @@ class Sides:
         is_end[a_end] += 1
         is_end[b_end] += 1
         a_last, b_last = is_end[a_end] == 2, is_end[b_end] == 2
-        links = np.empty((np.count_nonzero(a_last), 2), "<u4")
+        links = np.empty((np.count_nonzero(a_last), 2), self.kind)
         links[:, 0], links[:, 1] = a[a_last], b[b_last]
         text, start = self._digest_text([(a, a_last), (b, b_last)])
         window_end = np.cumsum(np.fromiter((len(h[1]) // self.width for h in halves), np.int64, len(some))) - 1
         groups = np.concatenate([[0], np.cumsum(b_last)[window_end]])
-        cut, data, groups = start[groups].tolist(), links.tobytes(), (groups * 8).tolist()
+        cut, data, groups = start[groups].tolist(), links.tobytes(), (groups * 2 * self.width).tolist()
         for i, j, m, n in zip(cut, cut[1:], groups, groups[1:]):
             yield text[i : j - 1], data[m:n]
 
@@ -260,9 +260,9 @@ def _aligned(source, a, b, entries: int, key: Hashable) -> Iterator[dict]:
             yield {
                 "doc_id": batch["doc_id"][some],
                 "n_a": [len(x) // sides.width for x, _ in coded], "n_b": [len(x) // sides.width for _, x in coded],
-                "n_groups": [len(x) // 8 for _, x in found],
+                "n_groups": [len(x) // (2 * sides.width) for _, x in found],
                 "groups_sha256": [hashlib.sha256(g.encode()).hexdigest() if g else "" for g, _ in found],
-                "links": [x for _, x in found],
+                "width": [sides.width] * len(coded), "links": [x for _, x in found],
             }
 
 
@@ -277,14 +277,14 @@ def _pieces(texts: list[str | None], size: int) -> Iterator[slice]:
 
 
 def aligned_documents(docs: DataFrame, a_path: str, b_path: str, entries: int = 150_000) -> DataFrame:
-    """Of each row its ids' numbers, groups and links (pairs of little-endian u32: id of A, id of B)."""
+    """Of each row its ids' numbers, groups and links (id of A, id of B, each little-endian of `width` bytes: 2 if all ids fit)."""
     a, b = (docs.sparkSession.sparkContext.broadcast(file_of(p)) for p in (a_path, b_path))
     key = identity(f"alignment {entries}", a.value, b.value)
     return arrow_map(docs, ["doc_id", "text"], SCHEMA, lambda source: _aligned(source, a, b, entries, key), key)
 
 
-def _codes(links: bytes) -> np.ndarray:
-    pairs = np.frombuffer(links, "<u4").astype(np.int64).reshape(-1, 2)
+def _codes(links: bytes, width: int) -> np.ndarray:
+    pairs = np.frombuffer(links, f"<u{width}").astype(np.int64).reshape(-1, 2)
     return pairs[:, 1] << 32 | pairs[:, 0]
 
 
@@ -299,8 +299,8 @@ def _pair_counts(source, most: int = 1_000_000) -> Iterator[dict]:
 
     waiting, size = [], 0
     for batch in source:
-        for links in batch["links"]:
-            waiting.append(_codes(links))
+        for links, width in zip(batch["links"], batch["width"], strict=True):
+            waiting.append(_codes(links, width))
             size += len(waiting[-1])
             if size >= most:
                 codes, counts = merged(waiting)
@@ -315,7 +315,7 @@ def _pair_counts(source, most: int = 1_000_000) -> Iterator[dict]:
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
     """(code, n, best): how many links hold a pair of ids, and whether no other A id has more links with its B id."""
-    n = arrow_map(aligned, ["links"], "code long, n long", _pair_counts).groupBy("code").agg(F.sum("n").alias("n"))
+    n = arrow_map(aligned, ["links", "width"], "code long, n long", _pair_counts).groupBy("code").agg(F.sum("n").alias("n"))
     n = materialize(n, "pair-counts").withColumn("b", F.shiftright("code", 32))
     most = n.groupBy("b").agg(F.max("n").alias("most"))
     return n.join(most, "b").select("code", "n", (F.col("n") == F.col("most")).alias("best"))
@@ -324,19 +324,20 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
 def _sums(source, table) -> Iterator[dict]:
     codes, counts, best = table.value
     for batch in source:
-        sizes = [len(x) // 8 for x in batch["links"]]
-        at = np.searchsorted(codes, _codes(b"".join(batch["links"])))
+        width = max(batch["width"])  # the same in all rows
+        sizes = [len(x) // (2 * width) for x in batch["links"]]
+        at = np.searchsorted(codes, _codes(b"".join(batch["links"]), width))
         ends = np.cumsum([0, *sizes])
         sums = [np.concatenate([[0], np.cumsum(x[at])]) for x in (best, counts)]
         n_best, count_sum = ((s[ends[1:]] - s[ends[:-1]]).tolist() for s in sums)
-        yield {k: v for k, v in batch.items() if k != "links"} | {"n_links": sizes, "n_best": n_best, "count_sum": count_sum}
+        yield {k: v for k, v in batch.items() if k not in ("links", "width")} | {"n_links": sizes, "n_best": n_best, "count_sum": count_sum}
 
 
 def _exploded(source) -> Iterator[dict]:
     """(row, code, times) of the distinct links of each row."""
     for batch in source:
-        for row, links in zip(batch["row"], batch["links"], strict=True):
-            codes, times = np.unique(_codes(links), return_counts=True)
+        for row, links, width in zip(batch["row"], batch["links"], batch["width"], strict=True):
+            codes, times = np.unique(_codes(links, width), return_counts=True)
             yield {"row": np.full(len(codes), row), "code": codes, "times": times}
 
 
@@ -351,7 +352,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, broadcast_bytes: int = BROA
     any length are encoded whole; a repeated row counts each time; a null doc_id is returned like any other. An empty table
     gives an empty result. Only doc_id and text are read.
 
-    Texts are encoded once and stay where they are; their links are stored, 8 bytes each before compression. A task sums
+    Texts are encoded once and stay where they are; their links are stored, 4 bytes each before
+    compression (8 if a vocabulary has more than 65,280 ids), which also halves the batches that reach a worker. A task sums
     pairs before they are shuffled. The table of pairs is bounded by the vocabularies, but that bound is large, so its
     size is counted: up to `broadcast_bytes` every worker gets it, beyond it is joined by a shuffle of distinct links.
     """
@@ -365,9 +367,9 @@ def align(docs: DataFrame, a_path: str, b_path: str, broadcast_bytes: int = BROA
         codes, n, best = (found.column(c).to_numpy() for c in ("code", "n", "best"))
         table = spark.sparkContext.broadcast((codes, n, best.astype(np.int8)))
         schema = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, n_links long, n_best long, count_sum long"
-        return arrow_map(aligned, [*columns, "links"], schema, lambda source: _sums(source, table)).select(out)
+        return arrow_map(aligned, [*columns, "links", "width"], schema, lambda source: _sums(source, table)).select(out)
     rows = materialize(aligned.withColumn("row", F.monotonically_increasing_id()), "aligned-rows")
-    links = arrow_map(rows, ["row", "links"], "row long, code long, times long", _exploded)
+    links = arrow_map(rows, ["row", "links", "width"], "row long, code long, times long", _exploded)
     sums = links.join(counts, "code").groupBy("row").agg(
         F.sum("times").alias("n_links"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"),
         F.sum(F.col("times") * F.col("n")).alias("count_sum"),

@@ -96,3 +96,9 @@ def test_empty(documents):
     assert token_alignment.align(documents([]), A, B).count() == 0
     only = token_alignment.align(documents([(1, None), (2, "")]), A, B).collect()
     assert sorted(map(tuple, only)) == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
+
+
+def test_links_take_as_few_bytes_as_ids_need(documents):
+    """A batch of rows that a worker gets holds its links: two bytes an id where the vocabularies allow it."""
+    rows = token_alignment.aligned_documents(documents([(1, "two words"), (2, None)]), A, B).collect()
+    assert [(r["width"], len(r["links"])) for r in rows] == [(2, 4 * r["n_groups"]) for r in rows] and rows[0]["n_groups"] > 0
