@@ -50,3 +50,21 @@ def test_pipeline_stages(spark):
     assert sizes[-1] < sizes[1] < sizes[0]
     out = corpus_pipeline.run(spark, SF_DIR)
     assert {r["doc_id"] for r in out.collect()} == last and out.columns[0] == "doc_id"
+
+
+def test_batches_are_bounded(spark):
+    """What the JVM sends to a worker at once is bounded by bytes, not by 10,000 texts of any length."""
+    from pyspark.sql import functions as F
+
+    from ledgerline.llm.common import BATCH_BYTES, arrow_map
+
+    texts = spark.range(4000, numPartitions=1).select(F.repeat(F.lit("word "), 1000).alias("text"))
+    read = arrow_map(texts, ["text"], "n long", lambda source: ({"n": [len(t) for t in batch["text"]]} for batch in source))
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        return (pa.RecordBatch.from_pydict({"size": [b.nbytes]}) for b in batches)
+
+    assert read.groupBy("n").count().collect() == [(5000, 4000)]
+    assert max(r["size"] for r in texts.mapInArrow(sizes, "size long").collect()) < 1.1 * BATCH_BYTES
