@@ -1,12 +1,12 @@
 """Fuzzy line deduplication by MinHash (operator 4).
 
 Lines are compared by their character shingles in lower case: all windows of 6 characters; a shorter line is one shingle.
-Every shingle has one hash. The hash range is cut into 16 parts; the four smallest hashes from a part's start on are a
-band, that is, MinHash samples under 16 rotations of one order. Two long lines have no band in common once in about 4,500
-at similarity 0.8, once in 140,000 at 0.85. A line of up to 32 shingles has a band from each of its shingles on: of two such
-lines at 0.8 at least a fifth of their bands agree, so none is missed. Lines of 60 characters that differ in one are similar.
-Of all bands of 0.1 GB, 13 % are shared by different lines with three hashes a band, 6 % with four; with windows of 5
-characters 33 % and 12 %, as unlike lines then have more shingles in common, the more the more lines there are.
+Every shingle has one hash. The hash range is cut into 24 parts; the five smallest hashes from a part's start on are a
+band, that is, MinHash samples under 24 rotations of one order. Two long lines have no band in common once in about 14,000
+at similarity 0.8. A line of up to 32 shingles also has a band of four from each of its shingles on: of two such lines at 0.8
+at least a fifth of these agree, so none is missed. Lines of 60 characters that differ in one are similar. Unlike lines share
+bands too, the more the more lines there are: of 255,415 lines of 98 MB 24,826 share one with 16 parts and four hashes a band,
+11,408 with 24 and five (both counted with one kind of band for short lines).
 
 Lines with a band in common are compared by the exact Jaccard similarity of their whole shingle sets, in pieces (see
 near_dedup); the lines themselves move there, as they are shorter than their sets. Distributed union-find makes groups of
@@ -30,10 +30,11 @@ from ledgerline.llm.near_dedup import _linked, _mix
 from ledgerline.session import materialize
 
 WIDTH = 6
-SAMPLES = 4  # hashes of a band
+PARTS, SAMPLES = 24, 5  # bands of a long line, hashes of a band
+SHORT_SAMPLES = 4  # with more, two short sets at 0.8 may have no band in common
 #: Bits of a band's name. A name that two bands share by chance only costs a comparison.
 BITS = 44
-#: Sets of up to so many shingles have a band from each shingle on.
+#: Sets of up to so many shingles also have a band from each shingle on.
 SHORT = 32
 DOCUMENTS_A_STEP = 400
 
@@ -87,23 +88,31 @@ def _alike_lines(data: list[bytes], percent: int) -> Callable[[int], np.ndarray]
     return alike
 
 
+def _bands_from(at: np.ndarray, line: np.ndarray, hashes: np.ndarray, part: np.ndarray, samples: int) -> np.ndarray:
+    """Names of the bands of `samples` hashes from the places `at` on, going round at the end of a line's."""
+    begin = np.searchsorted(line, line[at])
+    size = np.searchsorted(line, line[at], "right") - begin
+    name = part[at]
+    for k in range(samples):
+        name = _mix(name * np.uint64(0x9E3779B97F4A7C15) + hashes[begin + (at - begin + k) % size])
+    return (name >> np.uint64(64 - BITS)).astype(np.int64)
+
+
 def bands(line: np.ndarray, hashes: np.ndarray, short: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(line, band): of each part of the hash range that has some, the first SAMPLES hashes, going round at the end.
+    """(line, band), by line: of each part of the hash range that has some, the first SAMPLES hashes, going round at the end.
 
-    Sets of up to `short` hashes have a band from each hash on.
+    Sets of up to `short` hashes also have a band of SHORT_SAMPLES from each hash on.
     """
-    part = hashes >> np.uint64(60)
+    part = (hashes >> np.uint64(32)) * np.uint64(PARTS) >> np.uint64(32)
     first = np.ones(len(line), bool)
     first[1:] = (line[1:] != line[:-1]) | (part[1:] != part[:-1])
-    if short and len(line):
-        first |= np.bincount(line)[line] <= short
     at = np.flatnonzero(first)
-    begin = np.searchsorted(line, line[at])
-    size = np.searchsorted(line, line[at], "right") - begin
-    name = part[at]
-    for k in range(SAMPLES):
-        name = _mix(name * np.uint64(0x9E3779B97F4A7C15) + hashes[begin + (at - begin + k) % size])
-    return line[at], (name >> np.uint64(64 - BITS)).astype(np.int64)
+    names = _bands_from(at, line, hashes, part, SAMPLES)
+    if short and len(line) and len(more := np.flatnonzero(np.bincount(line)[line] <= short)):
+        names = np.concatenate([names, _bands_from(more, line, hashes, part, SHORT_SAMPLES)])
+        at = np.concatenate([at, more])
+    order = np.argsort(line[at], kind="stable")
+    return line[at][order], names[order]
 
 
 def _normal(text: str | None) -> list[tuple[int, str]]:

@@ -286,3 +286,16 @@ def test_lines_of_one_id_are_told_apart(documents, monkeypatch):
     two = lines.groupBy("id").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low < high").select("id")
     got = line_dedup._told_apart(lines, two).collect()
     assert len({r["id"] for r in got}) == 20 and len({(r["id"], r["doc_id"] % 20) for r in got}) == 20
+
+
+def test_unlike_lines_share_few_bands():
+    """Bands that unlike lines share are what is shuffled and compared for nothing; similar lines share some all the same."""
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(60)]
+    lines = [" ".join(rng.choices(words, k=30)) for _ in range(400)]
+    row, names = line_dedup.bands(*line_dedup.every_shingle(lines), line_dedup.SHORT)
+    _, where, n = np.unique(names, return_inverse=True, return_counts=True)
+    assert (n[where] > 1).mean() < 0.01
+    for x in lines[:50]:
+        row, names = line_dedup.bands(*line_dedup.every_shingle([x, x[:90] + "#" + x[91:]]), line_dedup.SHORT)
+        assert set(names[row == 0].tolist()) & set(names[row == 1].tolist())
