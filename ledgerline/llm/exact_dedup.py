@@ -83,6 +83,16 @@ def _marked(width: int):
     return run
 
 
+def _suspected(width: int):
+    """An owner's answers, read back by the same worker: a second one for each task would take an executor's memory, and stay."""
+    read = _marked(width)
+
+    def run(lists: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([pd.DataFrame({"part": pd.Series(dtype="int32"), "fp": pd.Series(dtype="int64")}), *read(iter([_answers(lists)]))])
+
+    return run
+
+
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row for each row of `docs`: which row of its equal texts stays, and how many there are.
 
@@ -101,8 +111,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
     width = -(-(1 << BITS) // owners)
     lists = narrow.select("part", "fp").mapInPandas(_lists(owners), "owner long, part int, list binary, twice binary")
-    answers = lists.groupBy("owner").applyInPandas(_answers, "owner long, part int, list binary, bits binary")
-    marked = answers.mapInPandas(_marked(width), "part int, fp long")
+    marked = lists.groupBy("owner").applyInPandas(_suspected(width), "part int, fp long")
     suspects = materialize(narrow.join(marked, ["part", "fp"], "left_semi"), "suspects")
 
     # The bytes decide: suspects' texts, grouped by what they are.

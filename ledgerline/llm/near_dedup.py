@@ -81,8 +81,8 @@ class Shingler:
 def signature(shingles: np.ndarray) -> tuple[list[int], bytes]:
     """Band keys and the odd sketch of a set that is not empty."""
     low = np.full(len(_SEEDS), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 4096):  # bounds the memory a very long text takes
-        part = shingles[at : at + 4096] * _SEEDS[:, None]
+    for at in range(0, len(shingles), 1024):  # bounds the memory a long text takes, and stays in a core's cache
+        part = shingles[at : at + 1024] * _SEEDS[:, None]
         low = np.minimum(low, (part ^ (part >> np.uint64(32))).min(1))
     keys = np.zeros(BANDS, np.uint64)
     for row in low.reshape(BANDS, ROWS).T:

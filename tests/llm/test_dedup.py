@@ -112,6 +112,25 @@ def test_exact_dedup(documents, monkeypatch, bits):
     assert sorted(str(tuple(r)) for r in got) == _exact(rows)
 
 
+def _python_steps(plan):
+    """Most Python steps in one stage of a plan, and those in the stage of its root: each takes a worker process for each task."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        plan = plan.initialPlan()
+    below = [_python_steps(plan.children().apply(i)) for i in range(plan.children().size())]
+    here = sum(n for _, n in below) + ("InPandas" in plan.nodeName() or "InArrow" in plan.nodeName())
+    most = max([here, *(n for n, _ in below)])
+    return (most, 0) if "Exchange" in plan.nodeName() else (most, here)
+
+
+def test_one_worker_for_each_task(documents, monkeypatch):
+    seen, write = [], exact_dedup.materialize
+    monkeypatch.setattr(
+        exact_dedup, "materialize", lambda df, name: seen.append(_python_steps(df._jdf.queryExecution().executedPlan())[0]) or write(df, name)
+    )
+    exact_dedup.exact_dedup(documents([(1, "a b"), (2, "ab"), (3, "c")], parts=2)).collect()
+    assert max(seen) == 1
+
+
 def test_exact_dedup_of_nothing(documents):
     assert exact_dedup.exact_dedup(documents([])).count() == 0
 
