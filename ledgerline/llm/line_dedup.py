@@ -36,7 +36,7 @@ SHORT_SAMPLES = 4  # with more, two short sets at 0.8 may have no band in common
 BITS = 44
 #: Sets of up to so many shingles also have a band from each shingle on.
 SHORT = 32
-DOCUMENTS_A_STEP = 400
+DOCUMENTS_A_STEP = 100  # their shingles stay in a core's cache
 
 _FACTORS = np.random.default_rng(16).integers(1, 1 << 62, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -68,24 +68,49 @@ def every_shingle(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (packed >> np.uint64(40)).astype(np.int64), packed << np.uint64(24)
 
 
-def _alike_lines(data: list[bytes], percent: int) -> Callable[[int], np.ndarray]:
-    """Exact similarity of whole sets; a comparison reads the lines that have one of the line's shingles."""
-    line, hashes = _windows([d.decode("utf-8", "surrogatepass") for d in data])
-    _, token = np.unique(hashes, return_inverse=True)
-    pairs = ascending(token.astype(np.uint64) * np.uint64(len(data)) + line.astype(np.uint64))
-    token, line = (pairs // np.uint64(len(data))).astype(np.int64), (pairs % np.uint64(len(data))).astype(np.int64)
-    cuts = np.searchsorted(token, np.arange(token[-1] + 2))
-    by_line = np.argsort(line, kind="stable")
-    own = np.split(token[by_line], np.cumsum(np.bincount(line, minlength=len(data)))[:-1])
-    sizes = np.array([len(x) for x in own])
+class _AlikeLines:
+    """Exact similarity of whole sets. Many small groups are read at once, and compared with their first lines at once."""
 
-    def alike(i: int) -> np.ndarray:
-        begin, n = cuts[own[i]], cuts[own[i] + 1] - cuts[own[i]]
-        at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        common = np.bincount(line[at], minlength=len(data))
-        return 100 * common >= percent * (sizes + sizes[i] - common)
+    def __init__(self, percent: int) -> None:
+        self.percent = percent
 
-    return alike
+    def __call__(self, data: list[bytes]) -> Callable[[int], np.ndarray]:
+        return self.many([data])[0]
+
+    def many(self, groups: list[list[bytes]]) -> list[Callable[[int], np.ndarray]]:
+        sizes = np.array([len(g) for g in groups])
+        ends = np.cumsum(sizes)
+        line, hashes = _windows([d.decode("utf-8", "surrogatepass") for g in groups for d in g])
+        group = np.repeat(np.arange(len(groups)), sizes)
+        hashes += group.astype(np.uint64)[line] * np.uint64(0x9E3779B97F4A7C15)  # a group's shingles are its own
+        order = np.argsort(hashes)
+        token = np.empty(len(order), np.int64)
+        token[order] = np.cumsum(np.diff(hashes[order], prepend=hashes[order[0]]) != 0)
+        pairs = ascending((line << 32) | token)
+        line, token = pairs >> 32, pairs & 0xFFFFFFFF
+        starts = np.searchsorted(line, np.arange(len(group) + 1))
+        n = np.diff(starts)
+        mark = np.zeros(len(order), bool)
+
+        def similar(own: np.ndarray, n_own: np.ndarray, begin: int, end: int) -> np.ndarray:
+            mark[own] = True
+            hits = np.cumsum(mark[token[starts[begin] : starts[end]]])
+            mark[own] = False
+            common = np.diff(hits[starts[begin + 1 : end + 1] - starts[begin] - 1], prepend=0)
+            return 100 * common >= self.percent * (n[begin:end] + n_own - common)
+
+        is_first = np.zeros(len(group), bool)
+        is_first[ends - sizes] = True
+        firsts = similar(token[is_first[line]], n[(ends - sizes)[group]], 0, len(group))
+
+        def alike_of(begin: int, end: int) -> Callable[[int], np.ndarray]:
+            def alike(i: int) -> np.ndarray:
+                i += begin
+                return similar(token[starts[i] : starts[i + 1]], n[i], begin, end) if i > begin else firsts[begin:end]
+
+            return alike
+
+        return [alike_of(end - size, end) for size, end in zip(sizes, ends, strict=True)]
 
 
 def _bands_from(at: np.ndarray, line: np.ndarray, hashes: np.ndarray, part: np.ndarray, samples: int) -> np.ndarray:
@@ -207,7 +232,7 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     # A line's set takes some tens of bytes for each of its shingles.
     sizes = own.groupBy("id").agg((F.max(F.octet_length("data")) * F.lit(40).cast("long")).alias("bytes"))
     named = members.join(sizes, "id").select(F.col("id").alias("doc_id"), "bucket", "bytes")
-    groups = components(_linked(named, own.withColumnRenamed("id", "doc_id"), lambda data: _alike_lines(data, percent), "lines"))
+    groups = components(_linked(named, own.withColumnRenamed("id", "doc_id"), _AlikeLines(percent), "lines"))
 
     root = F.coalesce("root", "id").alias("root")
     named = lines.join(small(groups.withColumnRenamed("node", "id")), "id", "left").select("doc_id", "text_hash", "place", root)

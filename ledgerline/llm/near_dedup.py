@@ -35,6 +35,7 @@ SKETCH_BITS = 512
 MARGIN = 0.17
 PIECE = 2048  # members of a bucket or cluster that one step compares
 PIECE_BYTES = 16 << 20  # and the bytes of what they are compared by; one member may have more
+STEP_BYTES = 1 << 15  # of small pieces that are compared in one step
 SCHEMA = "doc_id long, n_shingles long, component_id long, kept boolean"
 
 _SEEDS = np.random.default_rng(20).integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -143,7 +144,7 @@ def join_up(n: int, alike: Callable[[int], np.ndarray]) -> tuple[np.ndarray, lis
                 links.append((at, int(mate)))
                 component[component == component[mate]] = component[at]
         counts = np.bincount(component, minlength=n)
-        if counts.max() == n:
+        if counts.max() == n or done.sum() >= n - 1:  # the last one was compared with all others
             break
         open_ones = np.flatnonzero(~done & (component != counts.argmax()))
         if not len(open_ones):
@@ -180,41 +181,53 @@ def _pieces(rows: DataFrame, alike_of: Callable[[list[bytes]], Callable[[int], n
     """Links inside each (bucket, piece) of `rows` (doc_id, data, bucket, piece, hub).
 
     Also a row (a, a, bucket, alone) for each member of a piece that is not connected with the hub, if there are
-    several pieces. Rows of a piece come one after another, and one piece at a time is held.
+    several pieces. Rows of a piece come one after another; one piece at a time is held, and small ones before it up to
+    STEP_BYTES. If `alike_of` has `many`, that reads several pieces at once.
     """
     kind = _parse_datatype_string(_LINK)
     arrow = to_arrow_schema(kind)
 
-    def solve(ids: list[int], data: list[bytes], bucket: int, hub: int, several: bool) -> list[tuple]:
-        unique = dict(zip(ids, data, strict=True))
-        ids = [hub, *(i for i in unique if i != hub)] if hub in unique else list(unique)
-        if len(ids) < 2:
-            return []
-        component, links = join_up(len(ids), alike_of([unique[i] for i in ids]))
-        out = [(ids[a], ids[b], bucket, False) for a, b in links]
-        if several:
-            out += [(ids[k], ids[k], bucket, True) for k in np.flatnonzero(component != component[0])]
-        return out
+    many = getattr(alike_of, "many", lambda groups: [alike_of(data) for data in groups])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, data = None, [], []
+    def solve(waiting: list[tuple]) -> Iterator[tuple]:
+        for (ids, _, bucket, several), alike in zip(waiting, many([data for _, data, *_ in waiting]), strict=True):
+            component, links = join_up(len(ids), alike)
+            yield from ((ids[a], ids[b], bucket, False) for a, b in links)
+            if several:
+                yield from ((ids[k], ids[k], bucket, True) for k in np.flatnonzero(component != component[0]))
 
-        def finished() -> list[tuple]:
-            return solve(ids, data, now[0], now[2], now[3]) if len(ids) > 1 else []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, unique = None, {}
+        waiting, size = [], 0
+
+        def finish() -> None:
+            nonlocal size
+            if len(unique) > 1:
+                bucket, _, hub, several = now
+                ids = [hub, *(i for i in unique if i != hub)] if hub in unique else list(unique)
+                waiting.append((ids, [unique[i] for i in ids], bucket, several))
+                size += sum(map(len, unique.values()))
+
+        def solved() -> pa.RecordBatch:
+            nonlocal size
+            out = list(solve(waiting)) if waiting else []
+            waiting.clear()
+            size = 0
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), arrow)], schema=arrow) if out else pa.RecordBatch.from_pylist([], arrow)
 
         for batch in batches:
-            out: list[tuple] = []
             c = {name: batch.column(name).to_pylist() for name in ("doc_id", "data", "bucket", "piece", "hub", "several")}
             for doc_id, row, *group in zip(c["doc_id"], c["data"], c["bucket"], c["piece"], c["hub"], c["several"], strict=True):
                 if group != now:
                     if now is not None:
-                        out += finished()
-                    now, ids, data = group, [], []
-                ids.append(doc_id)
-                data.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), arrow)], schema=arrow) if out else pa.RecordBatch.from_pylist([], arrow)
-        if now is not None and (out := finished()):
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), arrow)], schema=arrow)
+                        finish()
+                        if size >= STEP_BYTES:
+                            yield solved()
+                    now, unique = group, {}
+                unique[doc_id] = row
+        if now is not None:
+            finish()
+        yield solved()
 
     columns = ["doc_id", "data", "bucket", "piece", "hub", "several"]
     return (

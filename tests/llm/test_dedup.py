@@ -318,3 +318,20 @@ def test_unlike_lines_share_few_bands():
     for x in lines[:50]:
         row, names = line_dedup.bands(*line_dedup.every_shingle([x, x[:90] + "#" + x[91:]]), line_dedup.SHORT)
         assert set(names[row == 0].tolist()) & set(names[row == 1].tolist())
+
+
+def test_many_small_groups_at_once():
+    """Groups that are read together are told apart, and the last of a group's lines is not compared once more."""
+    rng = random.Random(17)
+    groups = []
+    for size in (2, 3, 2, 7, 1, 5):
+        x = "".join(rng.choices("abcdefgh ", k=90))
+        groups.append([x] + [rng.choice([x[:40] + "#" + x[41:], x[45:] + x[:45], "".join(rng.choices("abcdefgh ", k=60)), "abc"]) for _ in range(size - 1)])
+    groups.append(groups[0][::-1])
+    for lines, alike in zip(groups, line_dedup._AlikeLines(80).many([[x.encode() for x in g] for g in groups]), strict=True):
+        sets = [_windows(x) for x in lines]
+        for i in [*range(len(lines)), 0]:
+            assert alike(i).tolist() == [100 * len(a & sets[i]) >= 80 * len(a | sets[i]) for a in sets]
+    asked = []
+    near_dedup.join_up(2, lambda i: (asked.append(i), np.arange(2) == i)[1])
+    assert asked == [0]
