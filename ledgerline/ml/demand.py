@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.exprs import uniform
 from ledgerline.functions.ranking import running_number
+from ledgerline.ml import forest as cells
 from ledgerline.ml.saved import load_or_train
 from ledgerline.schemas import DEMAND_FEATURES as FEATURES
 from ledgerline.session import materialize
@@ -25,6 +26,8 @@ COST_SHARE = {"Software": 0.2, "Hardware": 0.63, "Consulting": 0.58, "Support":
 OTHER_COST_SHARE = 0.5
 
 CODE_SCHEMA = "feature string, label string, code int"
+#: More rows than these are counted by cell and label before trees are grown: MLlib keeps a weight for every row and tree.
+MOST_ROWS = 2_000_000
 
 
 def fixed_codes(spark: SparkSession) -> DataFrame:
@@ -89,12 +92,18 @@ class DemandModel:
         """Fit on 80 percent drawn by a hash of the item, measure on the rest. Codes default to the labels found."""
         codes = codes_from(m) if codes is None else codes
         draw = uniform("order_item_id", seed=seed) < 0.8
-        rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(
-            training_rows(m.withColumn("fit", draw), codes, keep=("fit",))
-        )
-        forest = RandomForestRegressor(
+        rows = training_rows(m.withColumn("fit", draw), codes, keep=("fit",))
+        estimator = RandomForestRegressor(
             numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="all", maxMemoryInMB=1024, cacheNodeIds=True
-        ).fit(rows.where("fit").select("features", "label"))
+        )
+        many = m.count()
+        if many > MOST_ROWS:
+            cuts = cells.find_cuts(rows.where("fit"), FEATURES, min(1.0, cells.CUT_ROWS / (0.8 * many)), seed)
+            counts = cells.Counts.of(rows, FEATURES, cuts)
+            if counts.cells() <= cells.CELLS:
+                return cls._of_counts(counts, estimator, codes)
+        rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
+        forest = estimator.fit(rows.where("fit").select("features", "label"))
         test = forest.transform(rows.where("NOT fit")).select("label", "prediction")
         error = F.col("label") - F.col("prediction")
         row = test.agg(
@@ -104,6 +113,24 @@ class DemandModel:
         ).first()
         return cls(forest, codes, {k: float(v) if v is not None else float("nan") for k, v in row.asDict().items()})
 
+    @classmethod
+    def _of_counts(cls, counts: cells.Counts, estimator: RandomForestRegressor, codes: DataFrame) -> "DemandModel":
+        """The same from counts: a cell's rows have one prediction, so the measures come from sums of their labels."""
+        model = cls(cells.grow(counts, estimator), codes)
+        p, n, total, squares = (F.col(c) for c in ("prediction", "n", "total", "squares"))
+        row = model.predict(counts.others()).agg(
+            F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"),
+            F.sum(squares - 2 * p * total + p * p * n).alias("error"),
+        ).first()
+        test_rows = float(row.n or 0)
+        spread = row.squares - row.total**2 / test_rows if test_rows else 0.0
+        model.metrics = {
+            "rmse": (row.error / test_rows) ** 0.5 if test_rows else float("nan"),
+            "r2": 1 - row.error / spread if spread else float("nan"),
+            "test_rows": test_rows,
+        }
+        return model
+
     def predict(self, features: DataFrame) -> DataFrame:
         """Add ``prediction`` to encoded feature rows."""
         vector = VectorAssembler(inputCols=FEATURES, outputCol="features")
