@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ledgerline.functions.exprs import cuts_below
 from ledgerline.ml.demand import FEATURES, DemandModel
 from ledgerline.schemas import DEMAND_LABELS
 from ledgerline.session import scratch
@@ -104,13 +105,7 @@ class _Forest:
 
     def bins(self) -> list[Column]:
         """Of each feature, the number of cuts below its value."""
-        def below(f: str):
-            return lambda cut: cut < F.col(f)
-
-        return [
-            F.size(F.filter(F.array(*[F.lit(float(v)) for v in c]).cast("array<double>"), below(f))).alias(b)
-            for f, b, c in zip(FEATURES, _BINS, self.cuts)
-        ]
+        return [cuts_below(f, c).alias(b) for f, b, c in zip(FEATURES, _BINS, self.cuts)]
 
     def masks(self, tree: int, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For the different rows that a tree sees, rows x leaves: the features on which a row meets a leaf's conditions;
