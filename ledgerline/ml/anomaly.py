@@ -101,21 +101,27 @@ def _grow(sample: pd.DataFrame, seed: int) -> pd.DataFrame:
     return pd.DataFrame(nodes, columns=[c.split()[0] for c in NODE.split(", ")])
 
 
-def _mean_depth(data: np.ndarray, forest: list[dict[str, np.ndarray]]) -> np.ndarray:
+def _steps(tree: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """A tree as tables: of each node its column, cut, right and left child, a leaf being its own; its depth in millionths."""
+    here = np.arange(len(tree["feature"]))
+    leaf = tree["feature"] < 0
+    child = np.column_stack([np.where(leaf, here, tree[side]) for side in ("right", "left")]).ravel().astype(np.int64)
+    return np.where(leaf, 0, tree["feature"]).astype(np.int64), tree["cut"].astype(float), child, np.rint(tree["depth"] * 1e6).astype(np.int64)
+
+
+def _mean_depth(data: np.ndarray, forest: list[tuple[np.ndarray, ...]]) -> np.ndarray:
     """Mean depth of each row, from an exact sum of millionths, so equal rows have equal scores in any order of trees."""
     total = np.zeros(len(data), dtype=np.int64)
-    row = np.arange(len(data))
-    for tree in forest:
+    flat, row = np.ascontiguousarray(data).ravel(), np.arange(len(data)) * data.shape[1]
+    for feature, cut, child, depth in forest:
         at = np.zeros(len(data), dtype=np.int64)
         while True:
-            feature = tree["feature"][at]
-            inner = feature >= 0
-            if not inner.any():
+            goes_left = flat.take(row + feature.take(at)) <= cut.take(at)
+            further = child.take(2 * at + goes_left)
+            if np.array_equal(further, at):
                 break
-            value = data[row, np.where(inner, feature, 0)]
-            step = np.where(value <= tree["cut"][at], tree["left"][at], tree["right"][at])
-            at = np.where(inner, step, at)
-        total += np.rint(tree["depth"] * 1e6).astype(np.int64)[at]
+            at = further
+        total += depth.take(at)
     return total / 1e6 / len(forest)
 
 
@@ -156,9 +162,10 @@ class AnomalyDetector:
 
         @F.pandas_udf("double")
         def raw_score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+            trees = [_steps(tree) for tree in shipped.value]
             for columns in batches:
                 data = np.column_stack([c.to_numpy(dtype=float) for c in columns])
-                yield pd.Series(-np.exp2(-_mean_depth(data, shipped.value) / scale))
+                yield pd.Series(-np.exp2(-_mean_depth(data, trees) / scale))
 
         return m.withColumn("raw_score", raw_score(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in FEATURES]))
 

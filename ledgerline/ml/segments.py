@@ -1,9 +1,12 @@
 """Customer segments: features per customer, k-means, persona names."""
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from ledgerline.session import materialize
 
 KEYS = ["customer_id", "customer_name", "customer_segment"]
 RESTARTS, ROUNDS = 10, 20
+PART = f"start int, cluster int, n double, {', '.join(f'{f} double' for f in FEATURES)}"
 
 # Persona names.
 RETURN_RISK, VIP = "High Return Risk", "VIP High-Value"
@@ -66,6 +70,22 @@ def _nearest(gaps: Column) -> Column:
     return (F.array_position(gaps, F.array_min(gaps)) - 1).cast("int")
 
 
+def _parts(batches: Iterator[pa.RecordBatch], centers: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of this task's customers, by start and nearest center: how many there are and the sums of their features."""
+    starts, k, width = centers.shape
+    sums = np.zeros((1 + width, starts * k))
+    for batch in batches:
+        point = [column.to_numpy() for column in batch.columns]
+        for start in range(starts):
+            gaps = [reduce(add, [(x - c) * (x - c) for x, c in zip(point, center)]) for center in centers[start]]
+            index = start * k + np.argmin(gaps, axis=0)  # the first of equally near ones
+            for i, x in enumerate([None, *point]):
+                sums[i] += np.bincount(index, x, starts * k)
+    held = np.flatnonzero(sums[0])
+    columns = [(held // k).astype(np.int32), (held % k).astype(np.int32), *sums[:, held]]
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["start", "cluster", "n", *FEATURES])
+
+
 @dataclass
 class Segmenter:
     """Centers of clusters in standardised features, and the persona of each cluster."""
@@ -86,8 +106,8 @@ class Segmenter:
     ) -> "Segmenter":
         """Lloyd's rounds from several starts at once; the start with the lowest cost wins.
 
-        A start is the k customers with the lowest hashes of their keys. A round is one aggregate over a stored row for
-        each customer; what comes back is k centers for each start. A cluster that loses all its customers keeps its center.
+        A start is the k customers with the lowest hashes of their keys. A round is one pass over a stored row for
+        each customer; a task returns k sums for each start. A cluster that loses all its customers keeps its center.
         """
         customers = materialize(rfm(m).fillna(0.0, FEATURES), "customer-features")
         doubles = [F.col(f).cast("double") for f in FEATURES]
@@ -107,10 +127,13 @@ class Segmenter:
             centers[r["start"]].append([r[f] for f in FEATURES])
         here = [F.col(f) for f in FEATURES]
         for _ in range(rounds):
-            clusters = F.transform(
-                _constant(centers), lambda c, start: F.struct(start.alias("start"), _nearest(_gaps(here, c)).alias("cluster"))
-            )
-            means = scaled.select(*FEATURES, F.inline(clusters)).groupBy("start", "cluster").agg(*[F.avg(f).alias(f) for f in FEATURES])
+            now = np.array(centers).reshape(restarts, -1, len(FEATURES))
+
+            def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                return _parts(batches, now)
+
+            parted = scaled.select(*FEATURES).mapInArrow(parts, PART)  # a row for each center and task
+            means = parted.groupBy("start", "cluster").agg(*[(F.sum(f) / F.sum("n")).alias(f) for f in FEATURES])
             moved = 0.0  # until rounding alone moves a center
             for row in means.collect():  # a row for each center
                 new = [row[f] for f in FEATURES]
