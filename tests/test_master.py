@@ -5,8 +5,9 @@ from decimal import Decimal
 import pytest
 from small import tables
 
-from ledgerline.operators.master import build_master
+from ledgerline.operators.master import build_master, fact_inputs, order_frame, with_date_parts, with_rules
 from ledgerline.schemas import LEAKAGE_CAUSES, MASTER, MASTER_COLUMNS
+from ledgerline.sources import warehouse
 
 
 @pytest.fixture(scope="module")
@@ -83,3 +84,44 @@ def test_customer_features(fact):
     assert {r.customer_ltv for r in c1} == {sum(r.net_revenue for r in c1)}
     assert {r.high_risk_customer for r in c1} == {1}
     assert fact["I4"].high_risk_customer == 1  # score 1.0
+
+
+@pytest.mark.parametrize("rows", [1, 3, 100])
+def test_stored_in_slices(spark, fact, tmp_path, monkeypatch, rows):
+    """Slices of any size give the same fact, items without an order and orders without items included."""
+    monkeypatch.setattr(warehouse, "SLICE_ROWS", rows, raising=False)
+    given = tables(spark)
+    given["order_items"] = given["order_items"].unionByName(given["order_items"].limit(1).selectExpr(
+        "'I9' AS order_item_id", "CAST(NULL AS STRING) AS order_id", "product_id", "quantity", "unit_price"
+    ))
+    warehouse.store_master(spark, given, str(tmp_path / "fact"))
+    got = warehouse.read_master(spark, str(tmp_path / "fact")).collect()
+    whole = build_master(given).collect()
+    assert len(got) == 9 and sorted(map(repr, got)) == sorted(map(repr, whole))
+    assert {r.order_item_id: r for r in got if r.order_item_id != "I9"} == fact
+
+
+def test_slices_drop_their_shuffle_files(spark, star, tmp_path, monkeypatch):
+    """Every step but the last leaves its shuffle files to be deleted before the next one begins."""
+    monkeypatch.setattr(warehouse, "SLICE_ROWS", 2000)
+    freed = []
+    monkeypatch.setattr(warehouse, "release", lambda session: freed.append(session))
+    warehouse.store_master(spark, star.tables, str(tmp_path / "fact"))
+    slices = -(-star.tables["order_items"].count() // 2000)
+    assert slices > 1 and len(freed) == 2 + slices + 1
+    got = warehouse.read_master(spark, str(tmp_path / "fact"))
+    assert got.exceptAll(star.master).count() == 0 and got.count() == star.master.count()
+
+
+def test_wide_shuffle_has_no_derived_columns(spark, star, tmp_path):
+    """Columns that follow from others are added behind the rebalance, not carried through it."""
+    seen = []
+
+    def finish(rows):
+        seen.extend(rows.columns)
+        return with_rules(rows)
+
+    rows = with_date_parts(fact_inputs(star.tables["order_items"], star.tables["products"], order_frame(star.tables)))
+    warehouse._write_by_month(rows, str(tmp_path / "fact"), finish)
+    assert not {"net_revenue", "leakage_amount", "leakage_score", "season", "profit_margin"} & set(seen)
+    assert warehouse.read_master(spark, str(tmp_path / "fact")).exceptAll(star.master).count() == 0
