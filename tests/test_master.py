@@ -3,9 +3,11 @@
 from decimal import Decimal
 
 import pytest
+from conftest import SF_DIR
 from small import tables
 
 from ledgerline.operators.master import build_master, fact_inputs, order_frame, with_date_parts, with_rules
+from ledgerline.plans.registry import QUERIES
 from ledgerline.schemas import LEAKAGE_CAUSES, MASTER, MASTER_COLUMNS
 from ledgerline.sources import warehouse
 
@@ -125,3 +127,15 @@ def test_wide_shuffle_has_no_derived_columns(spark, star, tmp_path):
     warehouse._write_by_month(rows, str(tmp_path / "fact"), finish)
     assert not {"net_revenue", "leakage_amount", "leakage_score", "season", "profit_margin"} & set(seen)
     assert warehouse.read_master(spark, str(tmp_path / "fact")).exceptAll(star.master).count() == 0
+
+
+@pytest.mark.parametrize("name", ["m8_profit_margin", "s11_ad_hoc_sql", "s2_star_orders"])
+def test_fact_is_built_when_asked_for(spark, monkeypatch, name):
+    """Queries of the base tables build no fact."""
+    def fail(*args):
+        raise AssertionError("the fact was built")
+
+    monkeypatch.setattr(warehouse, "_open", {})
+    monkeypatch.setattr(warehouse, "store_master", fail, raising=False)
+    monkeypatch.setattr(warehouse, "write_master", fail)
+    assert QUERIES[name](spark, SF_DIR).count() > 0
